@@ -29,44 +29,57 @@ def prefix_sums(
     order_col: str,
     sum_cols: Sequence[str],
     group_cols: Sequence[str] = (),
-    n_buckets: int = 512,
-    accuracy: int = 20000,
+    n_buckets: int = 256,
+    accuracy: int = 10000,
+    max_groups: int | None = None,
+    with_total: bool = False,
 ) -> DataFrame:
+    """Add ``<c>_before`` (and with ``with_total`` also ``<c>_total``) for every ``c`` in ``sum_cols``.
+
+    ``max_groups``: a bound on the number of groups the caller can prove (for
+    example the number of profiled columns); without it the bound table is
+    counted before it is broadcast.
+    """
     groups = list(group_cols)
-    gkey = groups if groups else []
     grid = [i / n_buckets for i in range(1, n_buckets)]
+    ordv = F.col(order_col)
+    bounds_agg = F.percentile_approx(ordv, grid, accuracy)
 
-    # 1. range bounds per group: one row per group, n_buckets-1 values each.
-    bounds_agg = F.percentile_approx(F.col(order_col), grid, accuracy).alias("_bounds")
-    bounds = df.groupBy(*gkey).agg(bounds_agg)
-    n_groups = bounds.count() if groups else 1
-    if n_groups * n_buckets > _MAX_BROADCAST_ROWS:
-        raise ValueError(f"{n_groups} groups x {n_buckets} ranges is too many for a prefix sum")
-
+    # 1. range bounds: n_buckets-1 values per group.
     if groups:
+        bounds = df.groupBy(*groups).agg(bounds_agg.alias("_bounds"))
+        n_groups = max_groups if max_groups is not None else bounds.count()
+        if n_groups * n_buckets > _MAX_BROADCAST_ROWS:
+            raise ValueError(f"{n_groups} groups x {n_buckets} ranges is too many for a prefix sum")
         withb = df.join(F.broadcast(bounds), on=groups, how="inner")
+        bucket = F.size(F.filter("_bounds", lambda b: b < ordv))
     else:
-        # A global key: the bound list is a literal of n_buckets-1 numbers.
-        row = bounds.first()
-        lits = [F.lit(v) for v in (row["_bounds"] or [])] if row is not None else []
-        withb = df.withColumn("_bounds", F.array(*lits) if lits else F.array().cast("array<double>"))
-    ordv = F.col(order_col)
-    bucketed = withb.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < ordv))).drop("_bounds")
+        # Global order: the bounds are one scalar subquery, evaluated once.
+        withb = df.withColumn("_bounds", df.agg(bounds_agg).scalar())
+        bucket = F.size(F.filter("_bounds", lambda b: b < ordv))
+    # Non-nullable bucket: no IsNotNull is inferred and pushed below the aggregate.
+    bucketed = withb.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
+    if "_bounds" in bucketed.columns:
+        bucketed = bucketed.drop("_bounds")
 
-    # 2. per-range totals and offsets: groups * n_buckets rows at most.
-    tot = bucketed.groupBy(*gkey, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    w_off = Window.partitionBy(*gkey).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(
-        *gkey, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols]
-    )
+    # 2. running sum inside each range (one shuffle on (group, range)).
+    w_in = Window.partitionBy(*groups, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    inner = bucketed.select("*", *[F.coalesce(F.sum(c).over(w_in), F.lit(0)).alias(f"_i_{c}") for c in sum_cols])
 
-    # 3. running sum inside each range, plus the range offset.
-    w_in = Window.partitionBy(*gkey, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    inner = bucketed.select(
-        "*", *[F.coalesce(F.sum(c).over(w_in), F.lit(0)).alias(f"_i_{c}") for c in sum_cols]
+    # 3. per-range totals and offsets (groups * n_buckets rows), derived from the
+    #    same windowed table so both sides share one exchange.
+    tot = inner.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    w_off = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*groups)
+    offsets = tot.select(
+        *groups, "_bucket",
+        *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+        *[F.sum(f"_t_{c}").over(w_all).alias(f"_a_{c}") for c in sum_cols],
     )
-    out = inner.join(F.broadcast(offsets), on=[*gkey, "_bucket"], how="inner")
+    out = inner.join(F.broadcast(offsets), on=[*groups, "_bucket"], how="inner")
+    extra = [F.col(f"_a_{c}").alias(f"{c}_total") for c in sum_cols] if with_total else []
     return out.select(
-        *[c for c in df.columns],
+        *df.columns,
         *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}_before") for c in sum_cols],
+        *extra,
     )

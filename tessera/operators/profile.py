@@ -93,40 +93,37 @@ def _long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(cols), "column", "value").filter(F.col("value").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    names: Sequence[str] | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles (same definition as SQL
     ``percentile`` / ``quantile_cont``), computed distributively.
 
     Values are counted per distinct value, ranked with ``prefix_sums`` and the
-    two neighbours of rank ``(N-1)*p`` are picked by a conditional aggregate;
-    no group of values is gathered into one task.
-    Result: ``(column, p, value)``.
+    two neighbours of rank ``(N-1)*p`` are picked by one conditional
+    aggregate; no group of values is gathered into one task.
+    Result: ``(column, <name_0>, <name_1>, ...)``, one row per column.
     """
     cols, probs = list(cols), [float(p) for p in probs]
+    names = list(names or [f"q{j}" for j in range(len(probs))])
     long = _long_numeric(df, cols)
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sums(vc, "value", ["n"], group_cols=["column"])
-    totals = ranked.groupBy("column").agg(F.sum("n").alias("n_total"))
+    ranked = prefix_sums(vc, "value", ["n"], group_cols=["column"], max_groups=len(cols), with_total=True)
+    start, stop = F.col("n_before"), F.col("n_before") + F.col("n")
     picks = []
     for j, p in enumerate(probs):
         h = (F.col("n_total") - 1) * F.lit(p)
         lo, hi = F.floor(h), F.ceil(h)
-        hit_lo = (F.col("n_before") <= lo) & (lo < F.col("n_before") + F.col("n"))
-        hit_hi = (F.col("n_before") <= hi) & (hi < F.col("n_before") + F.col("n"))
         picks += [
-            F.max(F.when(hit_lo, F.col("value"))).alias(f"lo{j}"),
-            F.max(F.when(hit_hi, F.col("value"))).alias(f"hi{j}"),
-            F.max(h).alias(f"h{j}"),
+            F.max(F.when((start <= lo) & (lo < stop), F.col("value"))).alias(f"lo{j}"),
+            F.max(F.when((start <= hi) & (hi < stop), F.col("value"))).alias(f"hi{j}"),
+            F.max(h - F.floor(h)).alias(f"fr{j}"),
         ]
-    per_col = ranked.join(F.broadcast(totals), "column").groupBy("column").agg(*picks)
-    rows = []
-    for j, p in enumerate(probs):
-        v = F.col(f"lo{j}") + (F.col(f"h{j}") - F.floor(F.col(f"h{j}"))) * (F.col(f"hi{j}") - F.col(f"lo{j}"))
-        rows.append(per_col.select("column", F.lit(p).alias("p"), v.alias("value")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    per_col = ranked.groupBy("column").agg(*picks)
+    return per_col.select(
+        "column",
+        *[(F.col(f"lo{j}") + F.col(f"fr{j}") * (F.col(f"hi{j}") - F.col(f"lo{j}"))).alias(names[j])
+          for j in range(len(probs))],
+    )
 
 
 def summary_exact(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -141,12 +138,8 @@ def summary_exact(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    qw = q.groupBy("column").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name) for p, name in
-          [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]]
-    )
-    return moments.join(qw, "column", "left").select(
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    return moments.join(q, "column", "left").select(
         "column", "n", "mean", "stddev", "min", "p25", "p50", "p75", "max"
     )
 
