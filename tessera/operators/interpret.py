@@ -40,7 +40,7 @@ def fold_importance(imp: DataFrame, positional: Mapping[str, str] | None = None)
     base = F.regexp_replace(F.split(feat, "_vec_").getItem(0), "_(idx|index)$", "")
     if positional:
         lookup = F.create_map(*[F.lit(x) for kv in positional.items() for x in kv])
-        base = F.coalesce(lookup.getItem(feat), base)
+        base = F.coalesce(lookup[feat], base)
     return (
         imp.groupBy(base.alias("feature"))
         .agg(F.sum("importance").alias("importance"))
