@@ -116,12 +116,14 @@ def group_modes(df: DataFrame, targets: Sequence[str], groups: Sequence[str], me
         w = Window.partitionBy(*groups, "__target").orderBy(F.desc("__n"), F.asc("__value"))
         best = counts.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") == 1)
         best = best.select(*groups, "__target", F.col("__value").alias("__mode"))
-    else:
-        best = counts.groupBy(*groups, "__target").agg(
-            F.min(F.struct((-F.col("__n")).alias("neg"), F.col("__value").alias("v"))).alias("__b")
-        ).select(*groups, "__target", F.col("__b.v").alias("__mode"))
-    wide = best.groupBy(*groups).pivot("__target", targets).agg(F.first("__mode"))
-    return wide.select(*groups, *[F.col(t).alias(f"{t}_mode") for t in targets])
+        wide = best.groupBy(*groups).pivot("__target", targets).agg(F.first("__mode"))
+        return wide.select(*groups, *[F.col(t).alias(f"{t}_mode") for t in targets])
+    # One aggregate per group: for each target the smallest (-count, value).
+    key = F.struct((-F.col("__n")).alias("neg"), F.col("__value").alias("v"))
+    best = counts.groupBy(*groups).agg(
+        *[F.min(F.when(F.col("__target") == t, key)).alias(f"__b{i}") for i, t in enumerate(targets)]
+    )
+    return best.select(*groups, *[F.col(f"__b{i}.v").alias(f"{t}_mode") for i, t in enumerate(targets)])
 
 
 class GroupedModeImputer(Estimator, Persistable):

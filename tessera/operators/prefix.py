@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 # Largest number of (group, range) rows we broadcast; the real size is
 # groups * n_buckets and is checked before the join.
 _MAX_BROADCAST_ROWS = 1_000_000
@@ -33,13 +35,21 @@ def prefix_sums(
     accuracy: int = 10000,
     max_groups: int | None = None,
     with_total: bool = False,
+    materialize: bool = True,
 ) -> DataFrame:
     """Add ``<c>_before`` (and with ``with_total`` also ``<c>_total``) for every ``c`` in ``sum_cols``.
 
     ``max_groups``: a bound on the number of groups the caller can prove (for
     example the number of profiled columns); without it the bound table is
     counted before it is broadcast.
+    ``materialize``: write the (pre-aggregated, hence small) input once to the
+    shared checkpoint folder, so the bound sketch, the window pass and the
+    offsets all read that table instead of recomputing the upstream plan, and
+    a lost executor does not send the job back to the raw scan.
     """
+    if materialize:
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     groups = list(group_cols)
     grid = [i / n_buckets for i in range(1, n_buckets)]
     ordv = F.col(order_col)
