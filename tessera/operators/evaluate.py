@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import prefix_sums
+from tessera.session import checkpoint_dir
 
 
 def score_expr(df: DataFrame, score: str) -> Column:
@@ -42,15 +43,9 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
     )
 
 
-def _multiclass_metrics(pred: DataFrame, label: str, prediction: str) -> DataFrame:
-    """One row: accuracy, weighted_precision, weighted_recall, f1, n_scored."""
-    ok = F.col(label).isNotNull() & F.col(prediction).isNotNull()
-    cm = (
-        pred.filter(ok)
-        .groupBy(F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # Per class c: tp, label count, prediction count (tiny table: classes^2 rows).
+def _metrics_from_counts(cm: DataFrame) -> DataFrame:
+    """One row (accuracy, weighted_precision, weighted_recall, f1, n_scored)
+    from a confusion table ``(y, p, n)`` - classes^2 rows."""
     by_label = cm.groupBy(F.col("y").alias("c")).agg(
         F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"),
         F.sum("n").alias("n_label"),
@@ -72,53 +67,75 @@ def _multiclass_metrics(pred: DataFrame, label: str, prediction: str) -> DataFra
     )
 
 
-# V2 ---------------------------------------------------------------------------
-def auc_roc(pred: DataFrame, label: str = "label", score: str = "rawPrediction") -> DataFrame:
-    """One row ``auc``: exact area under the ROC curve, ties counted half."""
-    s = pred.select(F.col(label).cast("double").alias("y"), score_expr(pred, score).alias("s")).filter(
-        F.col("y").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s")
-    )
-    per_score = s.groupBy("s").agg(
-        F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)).cast("bigint").alias("pos"),
-        F.sum(F.when(F.col("y") > 0.5, 0).otherwise(1)).cast("bigint").alias("neg"),
-    )
-    ranked = prefix_sums(per_score, "s", ["neg"])
+def _auc_from_score_counts(sc: DataFrame, materialize: bool) -> DataFrame:
+    """One row ``auc`` from ``(s, pos, neg)`` - one row per distinct score."""
+    ranked = prefix_sums(sc, "s", ["neg"], materialize=materialize)
     credit = F.col("pos").cast("double") * (F.col("neg_before").cast("double") + F.col("neg").cast("double") / 2)
     pn = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.agg((F.sum(credit) / F.nullif(pn, F.lit(0.0))).alias("auc"))
 
 
+def _score_counts(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``(s, pos, neg)`` from rows with ``y`` and ``s`` (and an optional row weight)."""
+    w = weight if weight is not None else F.lit(1).cast("bigint")
+    ok = F.col("y").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s")
+    return df.filter(ok).groupBy("s").agg(
+        F.sum(F.when(F.col("y") > 0.5, w).otherwise(0)).cast("bigint").alias("pos"),
+        F.sum(F.when(F.col("y") > 0.5, 0).otherwise(w)).cast("bigint").alias("neg"),
+    )
+
+
+# V2 ---------------------------------------------------------------------------
+def auc_roc(pred: DataFrame, label: str = "label", score: str = "rawPrediction") -> DataFrame:
+    """One row ``auc``: exact area under the ROC curve, ties counted half."""
+    s = pred.select(F.col(label).cast("double").alias("y"), score_expr(pred, score).alias("s"))
+    return _auc_from_score_counts(_score_counts(s), materialize=True)
+
+
 # V1 ---------------------------------------------------------------------------
 def classification_report(
     pred: DataFrame,
     label: str = "label",
     prediction: str = "prediction",
     score: str | None = "rawPrediction",
+    materialize: bool = True,
 ) -> DataFrame:
     """One row: ``accuracy, weighted_precision, weighted_recall, f1, auc, n_in, n_scored``.
 
-    Weighted recall equals accuracy by definition (T-14); both are returned (T-13).
+    One pass over the predictions builds ``(y, p, s, n)`` (rows per label,
+    prediction and score); with ``materialize`` it is checkpointed to the
+    shared folder, and the confusion metrics, row counts and AUC are all
+    computed from that table. Weighted recall equals accuracy by definition
+    (T-14); both are returned (T-13).
     """
-    m = _multiclass_metrics(pred, label, prediction)
-    n_in = pred.agg(F.count(F.lit(1)).alias("n_in"))
+    has_score = score is not None and score in pred.columns
+    s = score_expr(pred, score) if has_score else F.lit(None).cast("double")
+    z = pred.groupBy(
+        F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p"), s.alias("s")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    if materialize:
+        checkpoint_dir(pred.sparkSession)
+        z = z.checkpoint(eager=True)
+    cm = z.filter(F.col("y").isNotNull() & F.col("p").isNotNull()).groupBy("y", "p").agg(F.sum("n").alias("n"))
+    m = _metrics_from_counts(cm)
+    dbl = ["accuracy", "weighted_precision", "weighted_recall", "f1"]
+    none_d = [F.lit(None).cast("double").alias(c) for c in dbl]
     parts = [
-        m.select(F.lit("m").alias("k"), "accuracy", "weighted_precision", "weighted_recall", "f1", "n_scored",
-                 F.lit(None).cast("double").alias("auc"), F.lit(None).cast("bigint").alias("n_in")),
-        n_in.select(F.lit("n").alias("k"), *[F.lit(None).cast("double").alias(c) for c in
-                    ["accuracy", "weighted_precision", "weighted_recall", "f1"]],
-                    F.lit(None).cast("bigint").alias("n_scored"), F.lit(None).cast("double").alias("auc"), "n_in"),
+        m.select(F.lit("m").alias("k"), *dbl, "n_scored", F.lit(None).cast("double").alias("auc"),
+                 F.lit(None).cast("bigint").alias("n_in")),
+        z.agg(F.sum("n").cast("bigint").alias("n_in")).select(
+            F.lit("n").alias("k"), *none_d, F.lit(None).cast("bigint").alias("n_scored"),
+            F.lit(None).cast("double").alias("auc"), "n_in"),
     ]
-    if score is not None and score in pred.columns:
-        a = auc_roc(pred, label, score)
-        parts.append(a.select(F.lit("a").alias("k"), *[F.lit(None).cast("double").alias(c) for c in
-                              ["accuracy", "weighted_precision", "weighted_recall", "f1"]],
-                              F.lit(None).cast("bigint").alias("n_scored"), "auc",
+    if has_score:
+        a = _auc_from_score_counts(_score_counts(z, F.col("n")), materialize=False)
+        parts.append(a.select(F.lit("a").alias("k"), *none_d, F.lit(None).cast("bigint").alias("n_scored"), "auc",
                               F.lit(None).cast("bigint").alias("n_in")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
     return u.agg(
-        *[F.max(c).alias(c) for c in ["accuracy", "weighted_precision", "weighted_recall", "f1", "auc"]],
+        *[F.max(c).alias(c) for c in [*dbl, "auc"]],
         F.max("n_in").alias("n_in"),
         F.coalesce(F.max("n_scored"), F.lit(0).cast("bigint")).alias("n_scored"),
     )

@@ -36,9 +36,16 @@ REGRESSORS: dict[str, tuple[type, dict[str, Any]]] = {
 }
 TRACKED_RF = {"maxDepth": 10, "numTrees": 10, "maxBins": 42}
 
+# Execution settings for tree ensembles (they change how many nodes are split
+# per pass over the data and whether node ids are cached between passes, not
+# the fitted model): fewer passes for deep trees; node-id caches are
+# checkpointed every ``checkpointInterval`` iterations into the shared folder.
+TREE_EXECUTION = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
+_TREES = (RandomForestClassifier, GBTClassifier, RandomForestRegressor, GBTRegressor)
+
 
 def _build(cls: type, params: dict[str, Any], features: str, label: str, seed: int):
-    kwargs = dict(params)
+    kwargs = {**(TREE_EXECUTION if issubclass(cls, _TREES) else {}), **params}
     kwargs.update(featuresCol=features, labelCol=label)
     est = cls(**kwargs)
     if est.hasParam("seed"):

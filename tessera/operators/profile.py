@@ -131,9 +131,15 @@ def summary_exact(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     with exact quantiles (oracle-checkable form of ``summary()``)."""
     cols = list(cols or numeric_cols(df))
     long = _long_numeric(df, cols)
+    # The mean's sum is taken in DECIMAL(38,10): exact, so it does not depend on
+    # the summation order (i.e. on partitioning); then one double division.
+    # Values that do not fit, or a sum that overflows, fall back to avg(double).
+    dec = F.col("value").try_cast("decimal(38,10)")
+    exact_mean = F.when(F.count(dec) == F.count("value"),
+                        F.try_sum(dec).cast("double") / F.count(dec).cast("double"))
     moments = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"),
+        F.coalesce(exact_mean, F.avg("value")).alias("mean"),
         F.stddev_samp("value").alias("stddev"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),

@@ -180,7 +180,8 @@ def q_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _SUMMARY_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, "
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, round(sum(CAST({c} AS DECIMAL(38, 10))) / count({c}), 6) AS mean, "
+    f"round(stddev_samp({c}), 6) AS stddev, "
     f"min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
     f"round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max FROM lineitem"
     for c in _LI_NUM

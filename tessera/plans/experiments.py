@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, interpret
-from tessera.session import scratch_path
+from tessera.session import checkpoint_dir, scratch_path
 from tessera.sources.models import save_model
 
 RUNS_SCHEMA = "run_id string, ts timestamp, kind string, key string, value string"
@@ -36,9 +36,23 @@ def _report(pred: DataFrame, task: str, label: str) -> DataFrame:
     return evaluate.regression_report(pred, label, "prediction")
 
 
+def fit(pipeline: Pipeline, train: DataFrame):
+    """Fit with the training input persisted (MEMORY_AND_DISK) for the duration
+    of the fit: indexers, scalers and the model's own passes read the cached
+    rows instead of recomputing the upstream plan. Released in ``finally``.
+    The shared checkpoint folder is registered first, so iterative models
+    (``checkpointInterval``) can cut their lineage."""
+    checkpoint_dir(train.sparkSession)
+    cached = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(cached)
+    finally:
+        cached.unpersist()
+
+
 def fit_and_report(pipeline: Pipeline, train: DataFrame, test: DataFrame, task: str, label: str):
     """(fitted model, one-row report of the model on ``test``)."""
-    model = pipeline.fit(train)
+    model = fit(pipeline, train)
     return model, _report(model.transform(test), task, label)
 
 
@@ -55,7 +69,8 @@ def compare_models(
     """Fit the preprocessing once on ``train``, fit every estimator on the
     prepared train set, score ``val``; one report row per model, best first.
     Only the report rows (one per model) reach the driver."""
-    prep_model = prep.fit(train)
+    checkpoint_dir(spark)
+    prep_model = fit(prep, train)
     tr = prep_model.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     va = prep_model.transform(val).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
@@ -86,7 +101,7 @@ def compare_imputers(
     both parts (no statistics from ``val``, trap T-4); same features and model."""
     rows = []
     for name, strategy in strategies.items():
-        imp = strategy.fit(train)
+        imp = fit(strategy, train)
         tr, va = imp.transform(train), imp.transform(val)
         pipe = Pipeline(stages=[*prep.getStages(), estimator])
         _, rep = fit_and_report(pipe, tr, va, "classification", label)
@@ -144,7 +159,7 @@ def tracked_run(
     instead of raising (K5)."""
     run_id = uuid.uuid4().hex
     path = path or runs_path(spark)
-    model = pipeline.fit(train)
+    model = fit(pipeline, train)
     artifacts: dict[str, str] = {}
     uri = scratch_path(spark, f"model-{run_id}")
     try:

@@ -67,9 +67,9 @@ def q_importance_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest importances named from the vector metadata,
     folded to source columns, largest first (top 15)."""
     p = census_parts(spark, sf_dir)
-    prep = census_prep().fit(p["train"])
+    prep = experiments.fit(census_prep(), p["train"])
     tr = prep.transform(p["train"])
-    rf = models.classifier("random_forest").fit(tr)
+    rf = experiments.fit(Pipeline(stages=[models.classifier("random_forest")]), tr).stages[-1]
     names = interpret.feature_names(tr, "features")
     imp = interpret.importance(spark, rf, names)
     folded = interpret.fold_importance(imp, interpret.scaled_names("num_features_scaled", NUM))
@@ -155,7 +155,7 @@ WHAT_IF_ROW = (3.0, "1-URGENT", "MACHINERY", "P", 62.0, 55.0)
 def q_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score a literal row with the forest fitted on the training part."""
     p = gems_parts(spark, sf_dir)
-    model = Pipeline(stages=[*gems_stages(), models.regressor("random_forest")]).fit(p["train"])
+    model = experiments.fit(Pipeline(stages=[*gems_stages(), models.regressor("random_forest")]), p["train"])
     row = files.literal_rows(spark, [WHAT_IF_ROW],
                              "carat double, cut string, color string, clarity string, depth double, tbl double")
     return model.transform(row).select("carat", "cut", "color", "clarity", "prediction")
@@ -165,7 +165,7 @@ def q_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_tree_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6: forest predictions never exceed the largest training price."""
     p = gems_parts(spark, sf_dir)
-    model = Pipeline(stages=[*gems_stages(), models.regressor("random_forest")]).fit(p["train"])
+    model = experiments.fit(Pipeline(stages=[*gems_stages(), models.regressor("random_forest")]), p["train"])
     return evaluate.tree_bound(model.transform(p["test"]), p["train"], "price")
 
 

@@ -22,6 +22,9 @@ def get_session(master: str | None = None, app: str = "tessera", shuffle_partiti
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Local mode runs everything in the driver JVM; its heap is the only memory knob.
+            builder = builder.config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "12g"))
     spark = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -16,9 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables (filters and projections push down to the scan)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
+    """One of the driver's Parquet tables (filters and projections push down to the scan).
+
+    A scan gets one task per file split; a small single-row-group file is one
+    task, and everything up to the first shuffle (including cached ML training
+    input) would then run on one core. When the scan has fewer partitions than
+    ``min_partitions`` (default: the cluster's default parallelism) it is
+    spread round-robin. For large inputs the scan already has more splits and
+    this is a no-op.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    target = spark.sparkContext.defaultParallelism if min_partitions is None else int(min_partitions)
+    if target > 1 and df.rdd.getNumPartitions() < target:
+        df = df.repartition(target)
+    return df
 
 
 def read_csv(
