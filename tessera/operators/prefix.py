@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import checkpoint_dir
@@ -26,6 +26,17 @@ from tessera.session import checkpoint_dir
 _MAX_BROADCAST_ROWS = 1_000_000
 
 
+def _range_index(bounds: Column, value: Column, lo: int, hi: int) -> Column:
+    """Number of bounds strictly below ``value`` (bounds sorted ascending), as a
+    balanced binary search: ``log2(hi - lo)`` comparisons per row, plain
+    ``CASE``/array-access expressions that stay in generated code."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(bounds[mid] < value, _range_index(bounds, value, mid + 1, hi)).otherwise(
+        _range_index(bounds, value, lo, mid))
+
+
 def prefix_sums(
     df: DataFrame,
     order_col: str,
@@ -36,6 +47,7 @@ def prefix_sums(
     max_groups: int | None = None,
     with_total: bool = False,
     materialize: bool = True,
+    rows_per_bucket: int = 1_000_000,
 ) -> DataFrame:
     """Add ``<c>_before`` (and with ``with_total`` also ``<c>_total``) for every ``c`` in ``sum_cols``.
 
@@ -46,37 +58,44 @@ def prefix_sums(
     shared checkpoint folder, so the bound sketch, the window pass and the
     offsets all read that table instead of recomputing the upstream plan, and
     a lost executor does not send the job back to the raw scan.
+    The number of ranges per group is ``n_rows / rows_per_bucket`` (at least 1,
+    at most ``n_buckets``): each window partition sorts about
+    ``rows_per_bucket`` keys, whatever the input size.
     """
     if materialize:
         checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     groups = list(group_cols)
-    grid = [i / n_buckets for i in range(1, n_buckets)]
     ordv = F.col(order_col)
-    bounds_agg = F.percentile_approx(ordv, grid, accuracy)
-
-    # 1. range bounds: n_buckets-1 values per group.
-    if groups:
-        bounds = df.groupBy(*groups).agg(bounds_agg.alias("_bounds"))
-        n_groups = max_groups if max_groups is not None else bounds.count()
-        if n_groups * n_buckets > _MAX_BROADCAST_ROWS:
-            raise ValueError(f"{n_groups} groups x {n_buckets} ranges is too many for a prefix sum")
-        withb = df.join(F.broadcast(bounds), on=groups, how="inner")
-        bucket = F.size(F.filter("_bounds", lambda b: b < ordv))
+
+    n_rows = df.count()
+    n_groups = max_groups if max_groups is not None else (
+        df.select(*groups).distinct().count() if groups else 1)
+    buckets = int(min(n_buckets, max(1, -(-n_rows // max(1, n_groups * rows_per_bucket)))))
+    if n_groups * buckets > _MAX_BROADCAST_ROWS:
+        raise ValueError(f"{n_groups} groups x {buckets} ranges is too many for a prefix sum")
+
+    # 1. range index per row from n_buckets-1 approximate quantiles of the keys.
+    if buckets == 1:
+        bucketed = df.withColumn("_bucket", F.lit(0))
     else:
-        # Global order: the bounds are one scalar subquery, evaluated once.
-        withb = df.withColumn("_bounds", df.agg(bounds_agg).scalar())
-        bucket = F.size(F.filter("_bounds", lambda b: b < ordv))
-    # Non-nullable bucket: no IsNotNull is inferred and pushed below the aggregate.
-    bucketed = withb.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
-    if "_bounds" in bucketed.columns:
-        bucketed = bucketed.drop("_bounds")
+        grid = [i / buckets for i in range(1, buckets)]
+        bounds_agg = F.percentile_approx(ordv, grid, accuracy)
+        if groups:
+            bounds = df.groupBy(*groups).agg(bounds_agg.alias("_bounds"))
+            withb = df.join(F.broadcast(bounds), on=groups, how="inner")
+        else:
+            # Global order: the bounds are one scalar subquery, evaluated once.
+            withb = df.withColumn("_bounds", df.agg(bounds_agg).scalar())
+        idx = _range_index(F.col("_bounds"), ordv, 0, buckets - 1)
+        # Non-nullable range index: no IsNotNull is inferred and pushed upstream.
+        bucketed = withb.withColumn("_bucket", F.coalesce(idx, F.lit(0))).drop("_bounds")
 
     # 2. running sum inside each range (one shuffle on (group, range)).
     w_in = Window.partitionBy(*groups, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     inner = bucketed.select("*", *[F.coalesce(F.sum(c).over(w_in), F.lit(0)).alias(f"_i_{c}") for c in sum_cols])
 
-    # 3. per-range totals and offsets (groups * n_buckets rows), derived from the
+    # 3. per-range totals and offsets (groups * ranges rows), derived from the
     #    same windowed table so both sides share one exchange.
     tot = inner.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -104,7 +104,12 @@ def test_exact_quantiles_equal_numpy_linear(spark, xs):
                 min_size=1, max_size=60, unique_by=lambda t: (t[0], t[1])))
 def test_prefix_sums_equal_bruteforce(spark, rows):
     df = spark.createDataFrame(rows, "g string, k int, w int").withColumn("w", F.col("w").cast("bigint"))
-    got = {(r.g, r.k): r.w_before for r in prefix.prefix_sums(df, "k", ["w"], ["g"], n_buckets=4).collect()}
+    ranked = prefix.prefix_sums(df, "k", ["w"], ["g"], n_buckets=4, rows_per_bucket=3)
+    got = {(r.g, r.k): r.w_before for r in ranked.collect()}
+    glob = {r.k: r.w_before for r in prefix.prefix_sums(df.filter("g = 'g1'"), "k", ["w"], n_buckets=8,
+                                                          rows_per_bucket=2).collect()}
+    for k, before in glob.items():
+        assert before == got[("g1", k)]
     for g, k, _ in rows:
         assert got[(g, k)] == sum(w for g2, k2, w in rows if g2 == g and k2 < k)
 
