@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.clean import FillConstant
+from tessera.operators.joins import lookup_join
 from tessera.operators.profile import mode_values
 from tessera.operators.stages import Persistable, int_param, list_param, str_param
 from tessera.session import scratch_path
@@ -150,6 +151,7 @@ class GroupedModeImputer(Estimator, Persistable):
         model._set(tableSchema=table.schema.json())
         limit = self.getOrDefault(self.maxInlineGroups)
         n = table.count()
+        model._set(tableCount=n)
         if n <= limit:
             rows = [list(r) for r in table.collect()]
             model._set_json(model.tableRows, rows)
@@ -167,11 +169,12 @@ class GroupedModeImputerModel(Model, Persistable):
     tableSchema = str_param("tableSchema", "schema JSON of the group-mode table")
     tableRows = str_param("tableRows", "JSON rows of a small group-mode table")
     tablePath = str_param("tablePath", "Parquet path of a large group-mode table")
+    tableCount = int_param("tableCount", "rows of the group-mode table")
 
     @keyword_only
     def __init__(self, targetCols: list[str] | None = None, groupCols: list[str] | None = None):
         super().__init__()
-        self._setDefault(globalModes="{}", tablePath="")
+        self._setDefault(globalModes="{}", tablePath="", tableCount=0)
         self._set(**self._input_kwargs)
 
     def mode_table(self, spark: SparkSession) -> tuple[DataFrame, bool]:
@@ -187,7 +190,10 @@ class GroupedModeImputerModel(Model, Persistable):
         groups = self.getOrDefault(self.groupCols)
         glob = self._get_json(self.globalModes, {})
         table, small = self.mode_table(df.sparkSession)
-        joined = df.join(F.broadcast(table) if small else table, on=groups, how="left")
+        # Small tables (bounded at fit time) are broadcast; large ones are joined
+        # with salting, so a group holding a large share of the rows is split.
+        n = self.getOrDefault(self.tableCount)
+        joined = lookup_join(df, table, groups, n, how="left", broadcast_rows=n if small else -1)
         fills = {
             t: F.coalesce(F.col(t), F.col(f"{t}_mode"), F.lit(glob.get(t)).cast("string")).alias(t)
             for t in targets

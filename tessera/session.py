@@ -67,3 +67,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scale_settings(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """SQL settings for a cluster run, sized from the input volume.
+
+    About ``partition_bytes`` per scan split and per shuffle partition (AQE
+    coalesces small ones and splits skewed ones at run time); at least two
+    tasks per core. At 100 TB and 256 MB that is ~400k shuffle partitions.
+    """
+    shuffle = max(2 * int(total_cores), int(input_bytes) // int(partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return spark

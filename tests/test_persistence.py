@@ -36,3 +36,13 @@ def test_large_group_table_goes_to_parquet(spark):
     assert model.getOrDefault(model.tablePath)
     out = model.transform(df)
     assert out.filter("t IS NULL").count() == 0
+
+
+def test_salted_lookup_join_equals_plain_join(spark):
+    from tessera.operators.joins import lookup_join
+
+    big = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(300)], "k int, v int")
+    lk = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k int, name string")
+    plain = sorted(map(tuple, lookup_join(big, lk, ["k"], 3).collect()), key=str)
+    salted = sorted(map(tuple, lookup_join(big, lk, ["k"], 3, broadcast_rows=0, salts=4).collect()), key=str)
+    assert plain == salted and len(plain) == 300
