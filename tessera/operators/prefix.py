@@ -77,7 +77,18 @@ def prefix_sums(
 
     # 1. range index per row from n_buckets-1 approximate quantiles of the keys.
     if buckets == 1:
-        bucketed = df.withColumn("_bucket", F.lit(0))
+        # One range (at most rows_per_bucket keys per group, counted above): the
+        # running sum is one window per group; no offsets, no join.
+        part = groups or [F.lit(0)]
+        w1 = Window.partitionBy(*part).orderBy(order_col)
+        before = w1.rowsBetween(Window.unboundedPreceding, -1)
+        extra = [F.sum(c).over(Window.partitionBy(*part)).alias(f"{c}_total") for c in sum_cols] if with_total \
+            else []
+        return df.select(
+            *df.columns,
+            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sum_cols],
+            *extra,
+        )
     else:
         grid = [i / buckets for i in range(1, buckets)]
         bounds_agg = F.percentile_approx(ordv, grid, accuracy)
