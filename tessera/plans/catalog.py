@@ -85,6 +85,14 @@ def q_csv_scan_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("preview", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders "
+                  "ORDER BY o_orderkey LIMIT 20")
+def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bounded preview of a table (first rows in key order; the limit is the feature)."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return files.preview(orders.orderBy("o_orderkey"), 20)
+
+
 # ---------------------------------------------------------------------------
 # Projections, filters, scalar functions
 # ---------------------------------------------------------------------------

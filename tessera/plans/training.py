@@ -102,6 +102,8 @@ def q_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = split.hash_split(df, "id", split.TRAIN_TEST_80)
     prep = features.indexed(CAT, NUM)
     rf = models.classifier("random_forest", **models.TRACKED_RF)
+    # Trees on indexed categories need maxBins >= the largest category count (T-21).
+    rf = models.with_min_bins(rf, features.max_category_count(parts["train"], CAT))
     pipe = Pipeline(stages=[*prep.getStages(), rf])
     params = {"model_type": "RandomForest", "max_depth": 10, "num_trees": 10}
     names = [c + "_idx" for c in CAT] + NUM

@@ -45,3 +45,27 @@ def test_run_log_round_trip(spark):
     assert r["param_model_type"] == "RandomForest" and r["param_num_trees"] == "10"
     assert float(r["metric_auc"]) > 0.8
     assert r["artifact_model"] and r["artifact_importance"]
+
+
+def test_failed_model_save_is_recorded_with_warn_policy(spark, monkeypatch):
+    """K5: on_error='warn' records the failure in the run log instead of raising."""
+    from pyspark.ml import Pipeline
+
+    from tessera.operators import models
+    from tessera.plans import experiments
+    from tessera.plans.training import gems_parts, gems_stages
+    from tessera.session import scratch_path
+
+    def boom(model, uri):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(experiments, "save_model", boom)
+    p = gems_parts(spark, SF_SMALL)
+    pipe = Pipeline(stages=[*gems_stages(), models.regressor("linear")])
+    path = scratch_path(spark, "runs-k5")
+    with pytest.raises(OSError):
+        experiments.tracked_run(spark, pipe, p["train"], p["test"], {"m": "lr"}, "regression", "price", path=path)
+    run = experiments.tracked_run(spark, pipe, p["train"], p["test"], {"m": "lr"}, "regression", "price",
+                                  path=path, on_error="warn")
+    row = experiments.compare_runs(experiments.read_runs(spark, path)).filter(f"run_id = '{run}'").first()
+    assert "disk full" in row["artifact_model_error"] and float(row["metric_r2"]) > 0.5
