@@ -23,7 +23,7 @@ from tessera.operators.clean import FillConstant
 from tessera.operators.joins import lookup_join
 from tessera.operators.profile import mode_values
 from tessera.operators.stages import Persistable, int_param, list_param, str_param
-from tessera.session import scratch_path
+from tessera.session import checkpoint_dir, scratch_path
 
 # Group-mode tables up to this many rows are kept in the model params and
 # broadcast at transform time; larger ones are written to the shared
@@ -94,23 +94,23 @@ def mean_mode_imputer(num_cols: Sequence[str], cat_cols: Sequence[str]) -> Pipel
     return Pipeline(stages=stages)
 
 
-def group_modes(df: DataFrame, targets: Sequence[str], groups: Sequence[str], method: str = "aggregate") -> DataFrame:
-    """``(groups..., <target>_mode...)``: most frequent non-NULL value of each
-    target inside each group, ties to the smallest value.
-
-    ``aggregate`` (default): count per (group, value), then a second hash
-    aggregate keeps ``min(struct(-count, value))`` - no sort.
-    ``window``: the reference's ``row_number() over (partition by group order
-    by count desc)`` + ``rank = 1`` (W1/W2), with the value as tie-break;
-    Spark plans it with a ``WindowGroupLimit`` before the shuffle.
-    """
+def value_counts(df: DataFrame, targets: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """``(groups..., __target, __value, __n)``: rows per non-NULL value of each
+    target inside each group (partial + final hash aggregate, so a group with a
+    large share of the rows is pre-aggregated in every task)."""
     targets, groups = list(targets), list(groups)
     long = (
         df.select(*groups, *[F.col(t).cast("string").alias(t) for t in targets])
         .unpivot(groups, targets, "__target", "__value")
         .filter(F.col("__value").isNotNull())
     )
-    counts = long.groupBy(*groups, "__target", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    return long.groupBy(*groups, "__target", "__value").agg(F.count(F.lit(1)).alias("__n"))
+
+
+def modes_from_counts(counts: DataFrame, targets: Sequence[str], groups: Sequence[str],
+                      method: str = "aggregate") -> DataFrame:
+    """``(groups..., <target>_mode...)`` from ``value_counts`` (ties to the smallest value)."""
+    targets, groups = list(targets), list(groups)
     if method == "window":
         from pyspark.sql import Window
 
@@ -127,6 +127,19 @@ def group_modes(df: DataFrame, targets: Sequence[str], groups: Sequence[str], me
     return best.select(*groups, *[F.col(f"__b{i}.v").alias(f"{t}_mode") for i, t in enumerate(targets)])
 
 
+def group_modes(df: DataFrame, targets: Sequence[str], groups: Sequence[str], method: str = "aggregate") -> DataFrame:
+    """``(groups..., <target>_mode...)``: most frequent non-NULL value of each
+    target inside each group, ties to the smallest value.
+
+    ``aggregate`` (default): count per (group, value), then a second hash
+    aggregate keeps ``min(struct(-count, value))`` - no sort.
+    ``window``: the reference's ``row_number() over (partition by group order
+    by count desc)`` + ``rank = 1`` (W1/W2), with the value as tie-break;
+    Spark plans it with a ``WindowGroupLimit`` before the shuffle.
+    """
+    return modes_from_counts(value_counts(df, targets, groups), targets, groups, method)
+
+
 class GroupedModeImputer(Estimator, Persistable):
     """Fill each target with the mode of its group (``groupCols``), else the
     global mode; NULL group keys never match and fall back to the global mode."""
@@ -145,20 +158,27 @@ class GroupedModeImputer(Estimator, Persistable):
     def _fit(self, df: DataFrame) -> "GroupedModeImputerModel":
         targets = self.getOrDefault(self.targetCols)
         groups = self.getOrDefault(self.groupCols)
-        table = group_modes(df, targets, groups)
+        # One pass over the data: the pre-aggregated counts are checkpointed and
+        # both the group modes and the global modes are derived from them.
+        checkpoint_dir(df.sparkSession)
+        counts = value_counts(df, targets, groups).checkpoint(eager=True)
+        table = modes_from_counts(counts, targets, groups)
+        totals = counts.groupBy("__target", "__value").agg(F.sum("__n").alias("__n"))
+        best = totals.groupBy("__target").agg(F.min(F.struct((-F.col("__n")).alias("neg"),
+                                                              F.col("__value").alias("v"))).alias("b"))
         model = GroupedModeImputerModel(targetCols=targets, groupCols=groups)
-        model._set_json(model.globalModes, mode_values(df, targets))
+        model._set_json(model.globalModes, {r["__target"]: r["b"]["v"] for r in best.collect()})
         model._set(tableSchema=table.schema.json())
         limit = self.getOrDefault(self.maxInlineGroups)
-        n = table.count()
-        model._set(tableCount=n)
-        if n <= limit:
-            rows = [list(r) for r in table.collect()]
-            model._set_json(model.tableRows, rows)
+        head = table.limit(limit + 1).collect()  # never more than the bound reaches the driver
+        if len(head) <= limit:
+            model._set(tableCount=len(head))
+            model._set_json(model.tableRows, [list(r) for r in head])
         else:
             path = scratch_path(df.sparkSession, "group-modes")
             table.write.mode("overwrite").parquet(path)
-            model._set(tablePath=path)
+            written = df.sparkSession.read.parquet(path)
+            model._set(tablePath=path, tableCount=written.count())
         return model
 
 
