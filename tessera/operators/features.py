@@ -61,8 +61,10 @@ def string_indexer(cols: Sequence[str], suffix: str = "_index", handle_invalid:
 
 
 def one_hot(cols: Sequence[str], in_suffix: str = "_index", out_suffix: str = "_vec", drop_last: bool = True,
-            handle_invalid: str = "keep") -> OneHotEncoder:
-    """Index -> sparse indicator vector, last category dropped."""
+            handle_invalid: str = "error") -> OneHotEncoder:
+    """Index -> sparse indicator vector, last category dropped. Indexes from
+    ``string_indexer`` are always in range (its ``keep`` reserves a slot for
+    unseen values), so the encoder itself never needs ``keep``."""
     return OneHotEncoder(
         inputCols=[c + in_suffix for c in cols], outputCols=[c + out_suffix for c in cols], dropLast=drop_last,
         handleInvalid=handle_invalid,

@@ -132,7 +132,7 @@ def q_label_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sentinel_null",
     sql("SELECT id, age, "
         + ", ".join(f"CASE WHEN trim({c}) IN ('?', '') THEN NULL ELSE {c} END AS {c}"
-                    for c in ["workclass", "occupation", "sex", "income"]).replace(", income", ", income")
+                    for c in ["workclass", "occupation", "sex", "income"])
         + ", education_num, hours_per_week FROM adults"),
 )
 def q_sentinel_null(spark: SparkSession, sf_dir: str) -> DataFrame:

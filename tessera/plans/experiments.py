@@ -113,8 +113,6 @@ def compare_imputers(
 
 # Run log ------------------------------------------------------------------------
 def runs_path(spark: SparkSession) -> str:
-    from tessera.session import checkpoint_dir
-
     return checkpoint_dir(spark).rstrip("/") + "/tessera/runs"
 
 

@@ -16,18 +16,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+# A scan split smaller than this is not worth its own task.
+MIN_SPLIT_BYTES = 256 << 10
+
+
+def _planned_bytes(df: DataFrame) -> int | None:
+    """Size estimate of a scan from file statistics (no job); None if unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics are an optimisation only
+        return None
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
     """One of the driver's Parquet tables (filters and projections push down to the scan).
 
     A scan gets one task per file split; a small single-row-group file is one
     task, and everything up to the first shuffle (including cached ML training
-    input) would then run on one core. When the scan has fewer partitions than
-    ``min_partitions`` (default: the cluster's default parallelism) it is
-    spread round-robin. For large inputs the scan already has more splits and
-    this is a no-op.
+    input) would then run on one core. Such a scan is spread round-robin to
+    ``min(default parallelism, bytes / 256 KB)`` partitions: dimension tables
+    of a few KB stay in one partition, and inputs large enough to have many
+    splits already (any real cluster input) are left as they are.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    target = spark.sparkContext.defaultParallelism if min_partitions is None else int(min_partitions)
+    if min_partitions is None:
+        size = _planned_bytes(df)
+        cap = spark.sparkContext.defaultParallelism
+        target = cap if size is None else min(cap, max(1, size // MIN_SPLIT_BYTES))
+    else:
+        target = int(min_partitions)
     if target > 1 and df.rdd.getNumPartitions() < target:
         df = df.repartition(target)
     return df

@@ -20,12 +20,19 @@ def test_salted_join_spreads_hot_key(spark):
     big = _skewed(spark)
     lookup = big.select("k").distinct().withColumn("tag", F.concat(F.lit("t"), F.col("k").cast("string")))
     n_lookup = lookup.count()
+    # The salted path is for lookup tables too large to broadcast: force the
+    # shuffle join (and keep AQE from re-planning it) to see the hot key spread.
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         salted = lookup_join(big, lookup, ["k"], n_lookup, broadcast_rows=0, salts=8)
         parts = salted.filter("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+        unsalted = big.join(lookup, "k", "left").filter("k = 0").select(F.spark_partition_id()).distinct().count()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert unsalted == 1
     assert parts >= 4
     plain = lookup_join(big, lookup, ["k"], n_lookup)
     a = sorted(map(tuple, salted.collect()))
