@@ -10,6 +10,8 @@ apply the *same* statistics to every split (trap T-4).
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Sequence
 
 from pyspark import keyword_only
@@ -202,8 +204,14 @@ class GroupedModeImputerModel(Model, Persistable):
         path = self.getOrDefault(self.tablePath)
         if path:
             return spark.read.parquet(path), False
+        # Rebuilt JVM-side from one JSON literal (no Python workers, no RDD of
+        # pickled rows); the row count is bounded by maxInlineGroups.
         schema = T.StructType.fromJson(self._get_json(self.tableSchema))
-        return spark.createDataFrame(self._get_json(self.tableRows, []), schema), True
+        names = [f.name for f in schema.fields]
+        records = [dict(zip(names, r)) for r in self._get_json(self.tableRows, [])]
+        parsed = F.from_json(F.lit(json.dumps(records)), T.ArrayType(schema))
+        table = spark.range(1).select(F.explode(parsed).alias("r")).select("r.*")
+        return table, True
 
     def _transform(self, df: DataFrame) -> DataFrame:
         targets = self.getOrDefault(self.targetCols)
