@@ -46,12 +46,15 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 def _metrics_from_counts(cm: DataFrame) -> DataFrame:
     """One row (accuracy, weighted_precision, weighted_recall, f1, n_scored)
     from a confusion table ``(y, p, n)`` - classes^2 rows."""
-    by_label = cm.groupBy(F.col("y").alias("c")).agg(
-        F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum("n").alias("n_label"),
-    )
-    by_pred = cm.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("n_pred"))
-    per = by_label.join(by_pred, "c", "left").fillna(0, subset=["n_pred"])
+    # Per class: true positives, rows with that label, rows with that prediction.
+    # One union + one aggregate (no join between the two views of the table).
+    zero = F.lit(0).cast("bigint")
+    as_label = cm.select(F.col("y").alias("c"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero)
+                         .alias("tp"), F.col("n").alias("n_label"), zero.alias("n_pred"))
+    as_pred = cm.select(F.col("p").alias("c"), zero.alias("tp"), zero.alias("n_label"), F.col("n").alias("n_pred"))
+    per = as_label.unionByName(as_pred).groupBy("c").agg(
+        F.sum("tp").alias("tp"), F.sum("n_label").alias("n_label"), F.sum("n_pred").alias("n_pred")
+    ).filter(F.col("n_label") > 0)
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     rec = F.col("tp") / F.col("n_label")
     per = per.select("tp", "n_label", prec.alias("prec"), rec.alias("rec"))
