@@ -10,8 +10,6 @@ apply the *same* statistics to every split (trap T-4).
 
 from __future__ import annotations
 
-import json
-
 from collections.abc import Sequence
 
 from pyspark import keyword_only
@@ -23,6 +21,7 @@ from pyspark.sql import types as T
 
 from tessera.operators.clean import FillConstant
 from tessera.operators.joins import lookup_join
+from tessera.sources.files import literal_rows
 from tessera.operators.profile import mode_values
 from tessera.operators.stages import Persistable, int_param, list_param, str_param
 from tessera.session import checkpoint_dir, scratch_path
@@ -207,11 +206,7 @@ class GroupedModeImputerModel(Model, Persistable):
         # Rebuilt JVM-side from one JSON literal (no Python workers, no RDD of
         # pickled rows); the row count is bounded by maxInlineGroups.
         schema = T.StructType.fromJson(self._get_json(self.tableSchema))
-        names = [f.name for f in schema.fields]
-        records = [dict(zip(names, r)) for r in self._get_json(self.tableRows, [])]
-        parsed = F.from_json(F.lit(json.dumps(records)), T.ArrayType(schema))
-        table = spark.range(1).select(F.explode(parsed).alias("r")).select("r.*")
-        return table, True
+        return literal_rows(spark, self._get_json(self.tableRows, []), schema), True
 
     def _transform(self, df: DataFrame) -> DataFrame:
         targets = self.getOrDefault(self.targetCols)

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.files import literal_rows
+
 
 def feature_names(df: DataFrame, features: str = "features") -> list[str]:
     attrs = df.schema[features].metadata.get("ml_attr", {}).get("attrs", {})
@@ -30,7 +32,7 @@ def importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
         values = [abs(v) for v in model.coefficients.toArray().tolist()]
     if len(values) != len(names):
         raise ValueError(f"{len(values)} importances for {len(names)} names")
-    return spark.createDataFrame(list(zip(names, [float(v) for v in values])), "feature string, importance double")
+    return literal_rows(spark, list(zip(names, [float(v) for v in values])), "feature string, importance double")
 
 
 def fold_importance(imp: DataFrame, positional: Mapping[str, str] | None = None) -> DataFrame:

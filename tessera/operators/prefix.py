@@ -47,20 +47,20 @@ def prefix_sums(
     max_groups: int | None = None,
     with_total: bool = False,
     materialize: bool = True,
-    rows_per_bucket: int = 1_000_000,
+    rows_per_bucket: int = 250_000,
 ) -> DataFrame:
     """Add ``<c>_before`` (and with ``with_total`` also ``<c>_total``) for every ``c`` in ``sum_cols``.
 
     ``max_groups``: a bound on the number of groups the caller can prove (for
-    example the number of profiled columns); without it the bound table is
-    counted before it is broadcast.
+    example the number of profiled columns); the groups are counted either way
+    and the bound table is broadcast only below ``groups * ranges`` = 1M rows.
     ``materialize``: write the (pre-aggregated, hence small) input once to the
     shared checkpoint folder, so the bound sketch, the window pass and the
     offsets all read that table instead of recomputing the upstream plan, and
     a lost executor does not send the job back to the raw scan.
-    The number of ranges per group is ``n_rows / rows_per_bucket`` (at least 1,
-    at most ``n_buckets``): each window partition sorts about
-    ``rows_per_bucket`` keys, whatever the input size.
+    The number of ranges is ``largest group / rows_per_bucket`` (at least 1, at
+    most ``n_buckets``): each window partition sorts about ``rows_per_bucket``
+    keys, whatever the input size.
     """
     if materialize:
         checkpoint_dir(df.sparkSession)
@@ -68,16 +68,23 @@ def prefix_sums(
     groups = list(group_cols)
     ordv = F.col(order_col)
 
-    n_rows = df.count()
-    n_groups = max_groups if max_groups is not None else (
-        df.select(*groups).distinct().count() if groups else 1)
-    buckets = int(min(n_buckets, max(1, -(-n_rows // max(1, n_groups * rows_per_bucket)))))
+    # Ranges per group from the largest group (one small job over the input):
+    # every window partition then sorts about rows_per_bucket keys at most.
+    if groups:
+        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        st = sizes.agg(F.count(F.lit(1)).alias("g"), F.max("_n").alias("m")).first()
+        n_groups, biggest = int(st["g"] or 0), int(st["m"] or 0)
+        if max_groups is not None and n_groups > max_groups:
+            raise ValueError(f"{n_groups} groups, more than the stated bound {max_groups}")
+    else:
+        n_groups, biggest = 1, df.count()
+    buckets = int(min(n_buckets, max(1, -(-biggest // rows_per_bucket))))
     if n_groups * buckets > _MAX_BROADCAST_ROWS:
         raise ValueError(f"{n_groups} groups x {buckets} ranges is too many for a prefix sum")
 
     # 1. range index per row from n_buckets-1 approximate quantiles of the keys.
     if buckets == 1:
-        # One range (at most rows_per_bucket keys per group, counted above): the
+        # One range (at most rows_per_bucket keys in any group, counted above): the
         # running sum is one window per group; no offsets, no join.
         part = groups or [F.lit(0)]
         w1 = Window.partitionBy(*part).orderBy(order_col)

@@ -11,7 +11,6 @@ recomputed from the lineage.
 
 from __future__ import annotations
 
-import datetime as _dt
 import uuid
 import warnings
 from collections.abc import Mapping, Sequence
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, interpret
 from tessera.session import checkpoint_dir, scratch_path
+from tessera.sources.files import literal_rows
 from tessera.sources.models import save_model
 
 RUNS_SCHEMA = "run_id string, ts timestamp, kind string, key string, value string"
@@ -36,6 +36,13 @@ def _report(pred: DataFrame, task: str, label: str) -> DataFrame:
     return evaluate.regression_report(pred, label, "prediction")
 
 
+def _report_table(spark: SparkSession, key: str, rows: list[dict]) -> DataFrame:
+    """One row per compared item: ``key`` string, then the report's columns."""
+    cols = [c for c in rows[0] if c != key]
+    ddl = ", ".join([f"{key} string"] + [f"{c} {'bigint' if c.startswith('n_') else 'double'}" for c in cols])
+    return literal_rows(spark, [[r[key], *[r[c] for c in cols]] for r in rows], ddl)
+
+
 def fit(pipeline: Pipeline, train: DataFrame):
     """Fit with the training input persisted (MEMORY_AND_DISK) for the duration
     of the fit: indexers, scalers and the model's own passes read the cached
@@ -83,9 +90,7 @@ def compare_models(
         tr.unpersist()
         va.unpersist()
     sort_by = sort_by or ("auc" if task == "classification" else "r2")
-    out = spark.createDataFrame(rows)
-    return out.select("model", *[c for c in out.columns if c != "model"]).orderBy(F.desc_nulls_last(sort_by),
-                                                                                F.asc("model"))
+    return _report_table(spark, "model", rows).orderBy(F.desc_nulls_last(sort_by), F.asc("model"))
 
 
 def compare_imputers(
@@ -106,9 +111,7 @@ def compare_imputers(
         pipe = Pipeline(stages=[*prep.getStages(), estimator])
         _, rep = fit_and_report(pipe, tr, va, "classification", label)
         rows.append({"strategy": name, **rep.first().asDict()})
-    out = spark.createDataFrame(rows)
-    return out.select("strategy", *[c for c in out.columns if c != "strategy"]).orderBy(
-        F.desc_nulls_last("auc"), F.asc("strategy"))
+    return _report_table(spark, "strategy", rows).orderBy(F.desc_nulls_last("auc"), F.asc("strategy"))
 
 
 # Run log ------------------------------------------------------------------------
@@ -119,11 +122,12 @@ def runs_path(spark: SparkSession) -> str:
 def log_run(spark: SparkSession, path: str, run_id: str, params: Mapping[str, Any], metrics: Mapping[str, Any],
             artifacts: Mapping[str, str]) -> None:
     """K1-K3: append one run's params, metrics and artifact locations."""
-    ts = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = [(run_id, ts, "param", k, str(v)) for k, v in params.items()]
-    rows += [(run_id, ts, "metric", k, repr(float(v)) if v is not None else None) for k, v in metrics.items()]
-    rows += [(run_id, ts, "artifact", k, v) for k, v in artifacts.items()]
-    spark.createDataFrame(rows, RUNS_SCHEMA).write.mode("append").partitionBy("run_id").parquet(path)
+    rows = [(run_id, "param", k, str(v)) for k, v in params.items()]
+    rows += [(run_id, "metric", k, repr(float(v)) if v is not None else None) for k, v in metrics.items()]
+    rows += [(run_id, "artifact", k, v) for k, v in artifacts.items()]
+    df = literal_rows(spark, rows, "run_id string, kind string, key string, value string")
+    df = df.select("run_id", F.current_timestamp().alias("ts"), "kind", "key", "value")
+    df.write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -184,7 +184,7 @@ def q_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 task="regression")
     cvm = cv.fit(p["train"])
     rows = [(float(g[lr.regParam]), float(m)) for g, m in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics)]
-    return spark.createDataFrame(rows, "reg_param double, avg_rmse double").orderBy("avg_rmse")
+    return files.literal_rows(spark, rows, "reg_param double, avg_rmse double").orderBy("avg_rmse")
 
 
 @query("linreg_single", sql(
@@ -197,4 +197,4 @@ def q_linreg_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     lr = models.regressor("linear", features="features", label="price")
     m = lr.fit(asm.transform(df))
     row = [(round(float(m.coefficients[0]), 4), round(float(m.intercept), 4), round(float(m.summary.r2), 6))]
-    return spark.createDataFrame(row, "slope double, intercept double, r2 double")
+    return files.literal_rows(spark, row, "slope double, intercept double, r2 double")

@@ -10,9 +10,11 @@ S6: ``preview`` is a bounded ``limit``; nothing unbounded is brought to the driv
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -94,9 +96,24 @@ def write_csv(df: DataFrame, path: str, header: bool = False, sep: str = ",") ->
     return path
 
 
+def _json_value(v):
+    if isinstance(v, float) and v != v:
+        return None
+    return v
+
+
 def literal_rows(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType | str) -> DataFrame:
-    """A small DataFrame from literal tuples with an explicit schema."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small DataFrame from literal tuples with an explicit schema.
+
+    Built in the JVM from one JSON literal (``from_json`` + ``explode``), so
+    no Python worker is started to deserialise pickled rows on the executors.
+    Meant for driver-side values of bounded size (a what-if row, a report).
+    """
+    st = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    names = st.fieldNames()
+    records = [dict(zip(names, [_json_value(v) for v in r])) for r in rows]
+    parsed = F.from_json(F.lit(json.dumps(records)), T.ArrayType(st))
+    return spark.range(1).select(F.explode(parsed).alias("r")).select("r.*")
 
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:
