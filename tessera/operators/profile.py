@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_missing, numeric_cols, percent, safe_corr
 from tessera.operators.prefix import prefix_sums
+from tessera.session import checkpoint_dir
 
 
 # A1 -------------------------------------------------------------------------
@@ -93,21 +94,19 @@ def _long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(cols), "column", "value").filter(F.col("value").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """Exact, linearly interpolated quantiles (same definition as SQL
-    ``percentile`` / ``quantile_cont``), computed distributively.
+def value_counts_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(column, value, n)``: rows per distinct non-NULL value of each column
+    (partial + final hash aggregate; hot values are pre-aggregated per task)."""
+    return _long_numeric(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
-    Values are counted per distinct value, ranked with ``prefix_sums`` and the
-    two neighbours of rank ``(N-1)*p`` are picked by one conditional
-    aggregate; no group of values is gathered into one task.
-    Result: ``(column, <name_0>, <name_1>, ...)``, one row per column.
-    """
-    cols, probs = list(cols), [float(p) for p in probs]
+
+def quantiles_from_counts(vc: DataFrame, n_cols: int, probs: Sequence[float],
+                          names: Sequence[str] | None = None, materialize: bool = True) -> DataFrame:
+    """Exact quantiles from a ``(column, value, n)`` table (see ``exact_quantiles``)."""
+    probs = [float(p) for p in probs]
     names = list(names or [f"q{j}" for j in range(len(probs))])
-    long = _long_numeric(df, cols)
-    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sums(vc, "value", ["n"], group_cols=["column"], max_groups=len(cols), with_total=True)
+    ranked = prefix_sums(vc, "value", ["n"], group_cols=["column"], max_groups=n_cols, with_total=True,
+                         materialize=materialize)
     start, stop = F.col("n_before"), F.col("n_before") + F.col("n")
     picks = []
     for j, p in enumerate(probs):
@@ -126,27 +125,52 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     )
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact, linearly interpolated quantiles (same definition as SQL
+    ``percentile`` / ``quantile_cont``), computed distributively.
+
+    Values are counted per distinct value, ranked with ``prefix_sums`` and the
+    two neighbours of rank ``(N-1)*p`` are picked by one conditional
+    aggregate; no group of values is gathered into one task.
+    Result: ``(column, <name_0>, <name_1>, ...)``, one row per column.
+    """
+    cols = list(cols)
+    return quantiles_from_counts(value_counts_long(df, cols), len(cols), probs, names)
+
+
 def summary_exact(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``(column, n, mean, stddev, min, p25, p50, p75, max)`` per numeric column,
-    with exact quantiles (oracle-checkable form of ``summary()``)."""
+    with exact quantiles (oracle-checkable form of ``summary()``).
+
+    One pass over the data: the per-value counts are checkpointed once and the
+    moments, extremes and quantiles are all computed from that table.
+    """
     cols = list(cols or numeric_cols(df))
-    long = _long_numeric(df, cols)
+    checkpoint_dir(df.sparkSession)
+    vc = value_counts_long(df, cols).checkpoint(eager=True)
     # The mean's sum is taken in DECIMAL(38,10): exact, so it does not depend on
     # the summation order (i.e. on partitioning); then one double division.
-    # Values that do not fit, or a sum that overflows, fall back to avg(double).
-    dec = F.col("value").try_cast("decimal(38,10)")
-    exact_mean = F.when(F.count(dec) == F.count("value"),
-                        F.try_sum(dec).cast("double") / F.count(dec).cast("double"))
-    moments = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(exact_mean, F.avg("value")).alias("mean"),
-        F.stddev_samp("value").alias("stddev"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    # Values that do not fit, or a sum that overflows, fall back to doubles.
+    v, n = F.col("value"), F.col("n")
+    dec = F.try_multiply(v.try_cast("decimal(38,10)"), n.cast("decimal(20,0)"))
+    total = F.sum(n)
+    exact_mean = F.when(F.count(dec) == F.count(v), F.try_sum(dec).cast("double") / total.cast("double"))
+    first = vc.groupBy("column").agg(
+        total.alias("n_rows"),
+        F.coalesce(exact_mean, F.sum(v * n) / total).alias("mean"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+    )
+    # Second moment about the mean: a pass over the (small) counts table.
+    dev = vc.join(F.broadcast(first.select("column", "mean", "n_rows")), "column")
+    second = dev.groupBy("column").agg(
+        F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.nullif(F.max("n_rows") - 1, F.lit(0)))
+        .alias("stddev")
     )
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    return moments.join(q, "column", "left").select(
-        "column", "n", "mean", "stddev", "min", "p25", "p50", "p75", "max"
+    q = quantiles_from_counts(vc, len(cols), [0.25, 0.5, 0.75], ["p25", "p50", "p75"], materialize=False)
+    return first.join(second, "column").join(q, "column", "left").select(
+        "column", F.col("n_rows").alias("n"), "mean", "stddev", "min", "p25", "p50", "p75", "max"
     )
 
 
