@@ -169,7 +169,8 @@ def summary_exact(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         .alias("stddev")
     )
     q = quantiles_from_counts(vc, len(cols), [0.25, 0.5, 0.75], ["p25", "p50", "p75"], materialize=False)
-    return first.join(second, "column").join(q, "column", "left").select(
+    # second and q have one row per profiled column (len(cols)): broadcast.
+    return first.join(F.broadcast(second), "column").join(F.broadcast(q), "column", "left").select(
         "column", F.col("n_rows").alias("n"), "mean", "stddev", "min", "p25", "p50", "p75", "max"
     )
 
