@@ -42,7 +42,7 @@ def prefix_sums(
     order_col: str,
     sum_cols: Sequence[str],
     group_cols: Sequence[str] = (),
-    n_buckets: int = 256,
+    n_buckets: int = 1024,
     accuracy: int = 10000,
     max_groups: int | None = None,
     with_total: bool = False,
