@@ -4,8 +4,10 @@ A window with no ``partitionBy`` moves every row into one task. Instead the
 sort key is cut into ranges by approximate quantiles of the key (a bounded
 sketch), each range gets its offset from a tiny per-range total table, and the
 running sum inside a range is a window partitioned by ``(group, range)``.
-Every range holds about ``1/n_buckets`` of the distinct keys, so the work is
-spread over ``n_buckets`` tasks per group and each sort can spill.
+The number of ranges follows the largest group (about ``rows_per_bucket`` keys
+per range, at most ``n_buckets`` ranges); each range is one window partition,
+so the work is spread over many tasks and each sort can spill. A group small
+enough for one range needs no bounds, offsets or join at all.
 
 Input rows must already be unique per ``(group_cols, order_col)`` (aggregate
 first); the output adds ``<col>_before`` = sum of ``col`` over all rows of the
