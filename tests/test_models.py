@@ -69,3 +69,21 @@ def test_failed_model_save_is_recorded_with_warn_policy(spark, monkeypatch):
                                   path=path, on_error="warn")
     row = experiments.compare_runs(experiments.read_runs(spark, path)).filter(f"run_id = '{run}'").first()
     assert "disk full" in row["artifact_model_error"] and float(row["metric_r2"]) > 0.5
+
+
+def test_leaderboard_ranks_all_models_by_auc(spark):
+    rows = q("leaderboard")(spark, SF_SMALL).collect()
+    assert [r.model for r in rows] and len(rows) == 5
+    assert {r.model for r in rows} == {"logistic_regression", "random_forest", "gbt", "linear_svc",
+                                       "factorization_machine"}
+    aucs = [r.auc for r in rows]
+    assert aucs == sorted(aucs, reverse=True)
+    assert all(r.n_scored == rows[0].n_scored > 0 for r in rows)
+
+
+def test_compare_imputers_keeps_more_rows_than_dropping(spark):
+    rows = {r.strategy: r for r in q("compare_imputers")(spark, SF_SMALL).collect()}
+    assert set(rows) == {"drop_missing", "mean_mode", "grouped_mode"}
+    assert rows["mean_mode"].n_scored > rows["drop_missing"].n_scored
+    assert rows["grouped_mode"].n_scored == rows["mean_mode"].n_scored
+    assert all(r.auc > 0.8 for r in rows.values())
