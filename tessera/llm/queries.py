@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import host_reputation, sharding
+from tessera.llm import decontaminate, host_reputation, partenum, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,87 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# -- 1: benchmark decontamination ------------------------------------------
+_DECONTAMINATE_SQL = r"""
+WITH toks AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+  WHERE item_id IS NOT NULL AND text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM toks, sizes WHERE len(w) >= n),
+hits AS (
+  SELECT r, i, p.n, item FROM (SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM places) p
+  JOIN windows USING (win, n)),
+words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits
+  GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM toks LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+
+@query("op1_decontaminate", _DECONTAMINATE_SQL)
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document lies in benchmark windows, and whether that contaminates it."""
+    judged = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                 carry=["doc_id"])
+    return judged.select("doc_id", "n_words", "n_hit", "n_items",
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+# -- 4: n-gram Jaccard join -------------------------------------------------
+_JACCARD_SQL = r"""
+WITH RECURSIVE toks AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(4, len(w)) - 1), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM toks WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE 100 * i >= 85 * (p.c + q.c - i)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, CAST(coalesce(n.c, 0) AS BIGINT) AS n_shingles, m.y AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = d.doc_id
+"""
+
+
+@query("op4_partenum_jaccard", _JACCARD_SQL)
+def op4_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 4-word shingle Jaccard 0.85 or more."""
+    joined = partenum.jaccard_components(table(spark, sf_dir, "documents"))
+    return joined.rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+# -- 5: token counts --------------------------------------------------------
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is (the same on every machine)."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+TOKEN_LIMIT = 512
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and which are over 512 tokens."""
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                        carry=["doc_id"])
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 # -- 8: sharding ------------------------------------------------------------
 _SHARDS = 16
 _CRC_SQL = """
