@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, host_reputation, partenum, sharding, token_counts
+from tessera.llm import decontaminate, host_reputation, iblt, partenum, sharding, style_tree, token_counts, warc
+from tessera.llm.store import stored
+from tessera.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +65,29 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+# -- 3: WARC ----------------------------------------------------------------
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest
+  FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (digest)
+"""
+
+
+@query("op3_warc", _WARC_SQL)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder, and read back from them."""
+    folder = scratch_path(spark, "warc")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    records = stored(warc.read_warc(manifest, folder, with_payload=False), "warc-records")
+    return warc.with_referred_pages(records).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                    "refers_to")
+
+
 # -- 4: n-gram Jaccard join -------------------------------------------------
 _JACCARD_SQL = r"""
 WITH RECURSIVE toks AS (
@@ -108,6 +133,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+# -- 6: document fingerprints -----------------------------------------------
+@query("op6_iblt")
+def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch against its edited text and the next document."""
+    return iblt.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 # -- 8: sharding ------------------------------------------------------------
 _SHARDS = 16
 _CRC_SQL = """
@@ -204,3 +236,10 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES,
                                         HOST_SUFFIXES, MAX_BAD_RATE, BOUND_Z)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+# -- 10: HTML extraction ----------------------------------------------------
+@query("op10_style_tree")
+def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return style_tree.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
