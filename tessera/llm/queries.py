@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, host_reputation, iblt, partenum, sharding, style_tree, token_counts, warc
+from tessera.llm import decontaminate, host_reputation, iblt, language_id, partenum, sharding, style_tree, token_counts, warc
 from tessera.llm.store import stored
 from tessera.session import scratch_path
 
@@ -140,6 +140,22 @@ def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+# -- 7: language ID ---------------------------------------------------------
+LANGUAGES = ("en", "de", "fr", "es")
+
+
+def identified(docs: DataFrame, **options) -> DataFrame:
+    """Documents with their language: ``lang`` is the declaration, ``source`` the host."""
+    model = language_id.train(docs, LANGUAGES)
+    return language_id.identify(docs, model, declared=F.col("lang"), host=F.col("source"), **options)
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, its probability, and whether the document is accepted."""
+    return identified(table(spark, sf_dir, "documents"), carry=["doc_id", "lang"])
+
+
 # -- 8: sharding ------------------------------------------------------------
 _SHARDS = 16
 _CRC_SQL = """
