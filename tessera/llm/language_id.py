@@ -184,17 +184,9 @@ def score(docs: DataFrame, model: TextModel, text: str = "text", keep_text: bool
         StructField("means", ArrayType(DoubleType())), StructField("grams", LongType())]))
 
 
-def _text_log(i: int) -> Column:
-    """Log-likelihood of the text for language i, as that of at most EVIDENCE independent grams."""
-    return F.element_at("means", i + 1) * F.least(F.col("grams").cast("double"), F.lit(EVIDENCE))
-
-
-def _argmax(values: list[Column]) -> Column:
-    best = F.greatest(*values) if len(values) > 1 else values[0]
-    out = F.lit(len(values) - 1)
-    for i in reversed(range(len(values) - 1)):
-        out = F.when(values[i] == best, F.lit(i)).otherwise(out)
-    return out
+def _argmax(values: Column) -> Column:
+    """Place of the first of the largest in an array, from 0."""
+    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
 def _shares(counts: DataFrame, names: list[str], above: list[Column], strength: float) -> list[Column]:
@@ -217,8 +209,7 @@ def learn(rows: DataFrame, model: TextModel, strength: float = STRENGTH) -> Evid
     k = len(model.languages)
     names = [f"n{i}" for i in range(k)]
     scored = score(rows, model).filter("grams > 0")
-    best = _argmax([_text_log(i) for i in range(k)])
-    found = stored(scored.select("declared", "suffix", "host", best.alias("best")).groupBy(
+    found = stored(scored.select("declared", "suffix", "host", _argmax(F.col("means")).alias("best")).groupBy(
         "declared", "suffix", "host", "best").agg(F.count(F.lit(1)).alias("n")), "language-counts")
     per = [F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double").alias(names[i]) for i in range(k)]
     whole = found.agg(*per).first()
@@ -260,14 +251,17 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: Co
     joined = scored.join(evidence.hosts.withColumnsRenamed({"suffix": "_suffix", "host": "_host"}),
                          ["_suffix", "_host"], "left")
     joined = joined.join(evidence.declared.withColumnRenamed("declared", "_declared"), "_declared", "left")
-    logs = [_text_log(i)
-            + F.coalesce(F.element_at("host_log", i + 1), F.lit(float(np.log(evidence.overall[i]))))
-            + F.coalesce(F.element_at("declared_log", i + 1), F.lit(0.0)) for i in range(k)]
-    joined = joined.withColumn("_logs", F.array(*logs))
-    parts = [F.element_at("_logs", i + 1) for i in range(k)]
-    top = F.greatest(*parts) if k > 1 else parts[0]
-    whole = sum((F.exp(p - top) for p in parts[1:]), F.exp(parts[0] - top))
-    joined = joined.withColumns({"_best": _argmax(parts), "_p": 1 / whole})
+    # The text's likelihood counts as that of at most EVIDENCE independent grams.
+    weight = F.least(F.col("grams").cast("double"), F.lit(EVIDENCE))
+    unseen_host = F.array(*[F.lit(float(np.log(p))) for p in evidence.overall])
+    unseen_declared = F.array(*[F.lit(0.0)] * k)
+    add = lambda x, y: x + y
+    logs = F.zip_with(F.transform("means", lambda m: m * weight), F.coalesce("host_log", unseen_host), add)
+    logs = F.zip_with(logs, F.coalesce("declared_log", unseen_declared), add)
+    joined = joined.withColumn("_logs", logs)
+    top = F.array_max("_logs")
+    whole = F.aggregate("_logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+    joined = joined.withColumns({"_best": _argmax(F.col("_logs")), "_p": 1 / whole})
     likely = F.element_at("means", F.col("_best") + 1)
     floor = F.element_at(F.array(*[F.lit(float(x)) for x in model.floor]), F.col("_best") + 1)
     accepted = (F.col("grams") > 0) & (F.col("_p") >= least) & ((likely >= floor) | (F.col("grams") < 100))

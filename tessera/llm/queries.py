@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, host_reputation, iblt, language_id, partenum, sharding, style_tree, token_counts, warc
+from tessera.llm import decontaminate, host_reputation, iblt, language_id, partenum, sharding, sp_sampling, style_tree, token_counts, warc
 from tessera.llm.store import stored
 from tessera.session import scratch_path
 
@@ -65,6 +65,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+# -- 2: SentencePiece encoding and decoding ---------------------------------
+SAMPLES = 2
+
+
+@query("op2_gumbel_top_k")
+def op2_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best sampled segmentations of every document without replacement, with inclusion scores,
+    and what they decode to."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoded = sp_sampling.encode(table(spark, sf_dir, "documents"), path, SAMPLES)
+    return sp_sampling.digests(encoded, path)
+
+
 # -- 3: WARC ----------------------------------------------------------------
 _WARC_SQL = """
 WITH p AS (
