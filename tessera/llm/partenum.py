@@ -18,7 +18,10 @@ Equal sets are one node, so copies cost one signature per task. A signature shar
 few nodes gives all their pairs. One shared by many gives a star, and once the stars'
 true links have made components, only members of *different* components that share
 it are compared, in blocks of bounded size spread over tasks, through a parity sketch
-(which never rejects a link) and then exactly. Pairs inside a component need no test.
+(which never rejects a link) and then exactly. Pairs inside a component need no test:
+first only the closest pair of any two components in a block is tried, in some rounds,
+as a link ends the matter for all their pairs; what is still apart is then compared in
+full.
 Signatures that are frequent within one run of texts are recognised there: their
 members travel spread out, not to one task.
 
@@ -60,6 +63,8 @@ FREQUENT = 64
 #: Nodes in a block of the comparison across components.
 BLOCK_NODES = 2048
 SKETCH_WORDS = 8
+#: Rounds in which only the closest pairs of components are tried, before all that are left.
+ROUNDS = 3
 #: Largest bitmap of the filter for needed ids, in bits.
 MAX_BITS = 1 << 27
 
@@ -394,23 +399,39 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "sketch": pa.array([r.tobytes() for r in packed], pa.binary())})
 
 
-def _compare(percent: int):
-    """Blocks in order of (sig, i, j) to pairs of different components that the sketch lets through."""
+def _closest(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are closest of those between the same two components."""
+    lo, hi = np.minimum(root_a, root_b), np.maximum(root_a, root_b)
+    order = np.lexsort((b, a, apart, hi, lo))
+    new = np.ones(len(order), bool)
+    new[1:] = (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])
+    return order[new]
+
+
+def _compare(percent: int, closest: bool):
+    """Blocks in order of (sig, i, j) to pairs of different components that the sketch lets through:
+    all of them, or the closest of any two components."""
     def close(rows: dict) -> tuple[np.ndarray, np.ndarray]:
         left = rows["block"] == rows["i"]
         right = rows["block"] == rows["j"]
         p, q = np.flatnonzero(left), np.flatnonzero(right)
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, SKETCH_WORDS)
-        out_a, out_b = [], []
+        out_a, out_b, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for i in p.tolist():
             o = q[(rows["root"][q] != rows["root"][i])]
             small, great = np.minimum(rows["size"][o], rows["size"][i]), np.maximum(rows["size"][o], rows["size"][i])
             o = o[small * 100 >= great * percent]
             differ = np.bitwise_count(sketch[o] ^ sketch[i]).sum(1).astype(np.int64)
-            o = o[differ * (100 + percent) <= (rows["size"][o] + rows["size"][i]) * (100 - percent)]
-            out_a.append(np.full(len(o), rows["node"][i]))
-            out_b.append(rows["node"][o])
-        a, b = np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
+            passes = differ * (100 + percent) <= (rows["size"][o] + rows["size"][i]) * (100 - percent)
+            o, differ = o[passes], differ[passes]
+            out_a.append(np.full(len(o), i))
+            out_b.append(o)
+            out_d.append(differ / (rows["size"][o] + rows["size"][i]))
+        a, b, apart = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d)
+        if closest and len(a):
+            best = _closest(a, b, rows["root"][a], rows["root"][b], apart)
+            a, b = a[best], b[best]
+        a, b = rows["node"][a], rows["node"][b]
         return np.minimum(a, b), np.maximum(a, b)
 
     names = ("sig", "i", "j", "block", "node", "root", "size", "sketch")
@@ -437,7 +458,13 @@ def _compare(percent: int):
     return scan
 
 
-def across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def sketches(sets: DataFrame) -> DataFrame:
+    """``node, size, sketch`` of every set."""
+    schema = StructType([StructField("node", LongType()), StructField("size", LongType())])
+    return sets.mapInArrow(_sketches, schema.add("sketch", "binary"))
+
+
+def across(members: DataFrame, roots: DataFrame, sketched: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Candidate pairs of different components among the members of large signatures."""
     placed = members.join(roots, "node", "left").select(
         "sig", "node", F.coalesce("root", "node").alias("root"))
@@ -445,8 +472,6 @@ def across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
     open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                       F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     open_ = stored(open_.select("sig", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")), "open")
-    schema = StructType([StructField("node", LongType()), StructField("size", LongType())])
-    sketched = sets.mapInArrow(_sketches, schema.add("sketch", "binary"))
     rows = placed.join(open_, "sig").join(sketched, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn(
@@ -456,7 +481,7 @@ def across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     out = StructType([StructField(c, LongType()) for c in ("kind", "a", "b")])
-    return dealt.mapInArrow(_compare(percent), out).select("a", "b").filter("a <> b").distinct()
+    return dealt.mapInArrow(_compare(percent, closest), out).select("a", "b").filter("a <> b").distinct()
 
 
 @dataclass
@@ -497,9 +522,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     roots = stored(components(links), "roots")
     if not members.isEmpty():
         # The members hung on one node each; what of them are still apart is compared.
-        more = stored(across(members, roots, sets, percent), "more")
-        links = links.union(stored(verified(more, sets, percent), "more-links"))
-        roots = stored(components(links), "roots")
+        members, sketched = stored(members, "members"), stored(sketches(sets), "sketches")
+        for closest in [True] * ROUNDS + [False]:
+            more = stored(across(members, roots, sketched, percent, closest), "apart")
+            new = stored(verified(more, sets, percent), "more-links")
+            if new.isEmpty():
+                if more.isEmpty():
+                    break  # nothing is close enough
+                continue
+            links = links.union(new)
+            roots = stored(components(links), "roots")
 
     placed = classes.join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root"))
