@@ -35,7 +35,7 @@ def is_float_type(df: DataFrame, name: str) -> bool:
 def is_missing(df: DataFrame, name: str, sentinels: Sequence[str] | None = None) -> Column:
     """Missing := NULL; for float columns also NaN (trap T-11); for string
     columns optionally a sentinel after trimming (``"?"``, ``" ?"``, ``""``)."""
-    c = F.col(name)
+    c = named(name)
     cond = c.isNull()
     dtype = df.schema[name].dataType
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
@@ -57,17 +57,35 @@ def percent(n: Column | str, total: Column | str) -> Column:
     return F.lit(100.0) * n.cast("double") / F.nullif(total.cast("double"), F.lit(0.0))
 
 
+def named(name: str) -> Column:
+    """A column by its whole name: dots and backticks in it are part of the name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def safe_corr(a: str, b: str) -> Column:
-    """Pearson correlation as an aggregate that returns NULL (not an ANSI
-    division error) when either column is constant (trap T-23)."""
-    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    """Pearson correlation over the rows where both columns have a value (not
+    NULL, not NaN), as an aggregate that returns NULL (not an ANSI division
+    error) when either column is constant there (trap T-23)."""
+    x, y = named(a).cast("double"), named(b).cast("double")
+    both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    x, y = F.when(both, x), F.when(both, y)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
+#: Text that stands for a NULL key.
+NULL_KEY = "<null>"
+
+
+def md5_head(key: Column | str, salt: str = "") -> Column:
+    """The first 32 bits of ``md5(salt || key)`` as a number; a NULL key is a key
+    of its own. Independent of partitioning (trap T-17) and reproducible in any
+    SQL engine that has md5."""
+    k = named(key) if isinstance(key, str) else key
+    text = F.coalesce(k.cast("string"), F.lit(NULL_KEY))
+    text = F.concat(F.lit(salt), text) if salt else text
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
 def md5_bucket(key: Column | str, buckets: int = 100, salt: str = "") -> Column:
-    """Deterministic bucket in ``[0, buckets)`` from the first 32 bits of
-    ``md5(salt || key)``. Independent of partitioning (trap T-17) and
-    reproducible in any SQL engine that has md5."""
-    k = F.col(key) if isinstance(key, str) else key
-    text = k.cast("string") if not salt else F.concat(F.lit(salt), k.cast("string"))
-    head = F.substring(F.md5(text), 1, 8)
-    return (F.conv(head, 16, 10).cast("bigint") % F.lit(int(buckets))).cast("int")
+    """Deterministic bucket in ``[0, buckets)`` from ``md5_head``."""
+    return (md5_head(key, salt) % F.lit(int(buckets))).cast("int")

@@ -8,7 +8,7 @@ are also ML stages, so cleaning is fitted/applied the same way on every split
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import DEFAULT_SENTINELS, is_missing, string_cols
-from tessera.operators.profile import top_categories
+from tessera.operators.profile import assert_no_missing, top_categories
 from tessera.operators.stages import Persistable, int_param, list_param, str_param
 
 
@@ -66,10 +66,20 @@ def drop_missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.na.drop(how="any", subset=list(cols) if cols else None)
 
 
-def drop_report(before: DataFrame, after: DataFrame) -> dict[str, int]:
-    """Rows in / out of a drop, as two counts."""
-    n_in, n_out = before.count(), after.count()
-    return {"n_in": n_in, "n_out": n_out, "n_dropped": n_in - n_out}
+def drop_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """``(n_in, n_out, n_dropped)`` of ``drop_missing``, in one aggregate."""
+    missing = None
+    for c in cols or df.columns:
+        m = is_missing(df, c, None)
+        missing = m if missing is None else missing | m
+    n_in, n_dropped = F.count(F.lit(1)), F.count_if(missing).cast("bigint")
+    return df.agg(n_in.alias("n_in"), (n_in - n_dropped).alias("n_out"), n_dropped.alias("n_dropped"))
+
+
+def drop_missing_verified(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """C4: the complete rows, verified (an error if any cell is still missing), and the drop's counts."""
+    counts = drop_counts(df, cols).first().asDict()
+    return assert_no_missing(drop_missing(df, cols), cols, "the rows that are kept"), counts
 
 
 # C8 / C9 --------------------------------------------------------------------
@@ -99,18 +109,16 @@ def validity_counts(df: DataFrame, rule: Column) -> DataFrame:
     )
 
 
-def check_conservation(df: DataFrame, rule: Column) -> dict[str, int]:
+def split_valid_checked(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(good, bad, counts); an error if the parts' rows do not add up to the input's."""
     r = validity_counts(df, rule).first().asDict()
+    good, bad = split_valid(df, rule)
     if r["n_rows"] != r["n_good"] + r["n_bad"]:
         raise AssertionError(f"rows lost by the validity split: {r}")
-    return r
+    return good, bad, r
 
 
 # C10 ------------------------------------------------------------------------
-def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    return df.na.fill(dict(values))
-
-
 def fill_unknown(df: DataFrame, cols: Sequence[str] | None = None, value: str = "Unknown") -> DataFrame:
     cols = list(cols if cols is not None else string_cols(df))
     return df.na.fill({c: value for c in cols}) if cols else df
@@ -151,24 +159,6 @@ class SentinelToNull(Transformer, Persistable):
         return sentinel_to_null(df, self.getOrDefault(self.inputCols) or None, self.getOrDefault(self.sentinels))
 
 
-class BinaryLabel(Transformer, Persistable):
-    inputCol = str_param("inputCol", "text column")
-    outputCol = str_param("outputCol", "label column")
-    positive = str_param("positive", "text of the positive class")
-    how = str_param("how", "equals | contains")
-
-    @keyword_only
-    def __init__(self, inputCol: str | None = None, outputCol: str = "label", positive: str | None = None,
-                 how: str = "equals"):
-        super().__init__()
-        self._setDefault(outputCol="label", how="equals")
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        g = self.getOrDefault
-        return df.withColumn(g(self.outputCol), label_expr(g(self.inputCol), g(self.positive), g(self.how)))
-
-
 class DropMissing(Transformer, Persistable):
     inputCols = list_param("inputCols", "columns checked (empty: all)")
 
@@ -237,27 +227,3 @@ class TopKCategoryMaskModel(Model, Persistable):
         return mask_categories(df, self.getOrDefault(self.inputCol), self.allowed_values(),
                                self.getOrDefault(self.other))
 
-
-__all__ = [
-    "BinaryLabel",
-    "DropMissing",
-    "FillConstant",
-    "SentinelToNull",
-    "TopKCategoryMask",
-    "TopKCategoryMaskModel",
-    "TrimStrings",
-    "binary_label",
-    "check_conservation",
-    "drop_missing",
-    "drop_report",
-    "fill_constant",
-    "fill_unknown",
-    "is_missing",
-    "label_expr",
-    "mask_categories",
-    "sentinel_to_null",
-    "split_valid",
-    "trim_strings",
-    "valid_rule",
-    "validity_counts",
-]

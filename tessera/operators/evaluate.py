@@ -1,9 +1,10 @@
 """Evaluation (V1-V6) as aggregations over the predictions.
 
-* Classification: one pass builds the confusion table (classes^2 rows); the
+* Classification: one aggregate builds the confusion table (classes^2 rows); the
   accuracy / weighted precision / weighted recall / F1 formulas run on that
   tiny table. Same definitions as ``MulticlassClassificationEvaluator``
-  (a class that is never predicted has precision 0).
+  (a class that is never predicted has precision 0). Only AUC needs the scores'
+  order; rows without a score (NULL or NaN) are left out of it and counted.
 * AUC: positives and negatives are counted per distinct score, negatives are
   summed cumulatively with ``prefix_sums`` (no single-partition window) and
   ``AUC = sum(pos * (neg_below + neg_tied / 2)) / (P * N)`` - the exact ROC
@@ -23,13 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import prefix_sums
-from tessera.session import checkpoint_dir
+from tessera.session import scratch_path
 
 
 def score_expr(df: DataFrame, score: str) -> Column:
-    """Positive-class score: element 1 of a raw/probability vector, or the column itself."""
+    """Positive-class score: element 1 of a raw/probability vector, or the column itself.
+    A vector of another size than 2 is not a two-class score: an error."""
     if isinstance(df.schema[score].dataType, VectorUDT):
-        return vector_to_array(F.col(score))[1]
+        v = vector_to_array(F.col(score))
+        bad = F.raise_error(F.concat(F.lit("a two-class score has 2 elements, not "), F.size(v).cast("string")))
+        return F.when(v.isNull(), F.lit(None).cast("double")).when(F.size(v) == 2, v[1]).otherwise(bad.cast("double"))
     return F.col(score).cast("double")
 
 
@@ -70,29 +74,23 @@ def _metrics_from_counts(cm: DataFrame) -> DataFrame:
     )
 
 
-def _auc_from_score_counts(sc: DataFrame, materialize: bool) -> DataFrame:
-    """One row ``auc`` from ``(s, pos, neg)`` - one row per distinct score."""
-    ranked = prefix_sums(sc, "s", ["neg"], materialize=materialize)
+def _auc(df: DataFrame) -> DataFrame:
+    """One row ``auc, n_auc`` from rows with ``y`` and ``s``."""
+    ok = F.col("y").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s")
+    positive = (F.col("y") > 0.5).cast("bigint")
+    by_score = df.filter(ok).groupBy("s").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
+    ranked = prefix_sums(by_score, "s", ["neg"])
     credit = F.col("pos").cast("double") * (F.col("neg_before").cast("double") + F.col("neg").cast("double") / 2)
     pn = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.agg((F.sum(credit) / F.nullif(pn, F.lit(0.0))).alias("auc"))
-
-
-def _score_counts(df: DataFrame, weight: Column | None = None) -> DataFrame:
-    """``(s, pos, neg)`` from rows with ``y`` and ``s`` (and an optional row weight)."""
-    w = weight if weight is not None else F.lit(1).cast("bigint")
-    ok = F.col("y").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s")
-    return df.filter(ok).groupBy("s").agg(
-        F.sum(F.when(F.col("y") > 0.5, w).otherwise(0)).cast("bigint").alias("pos"),
-        F.sum(F.when(F.col("y") > 0.5, 0).otherwise(w)).cast("bigint").alias("neg"),
-    )
+    return ranked.agg((F.sum(credit) / F.nullif(pn, F.lit(0.0))).alias("auc"),
+                      F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0)).cast("bigint").alias("n_auc"))
 
 
 # V2 ---------------------------------------------------------------------------
 def auc_roc(pred: DataFrame, label: str = "label", score: str = "rawPrediction") -> DataFrame:
     """One row ``auc``: exact area under the ROC curve, ties counted half."""
     s = pred.select(F.col(label).cast("double").alias("y"), score_expr(pred, score).alias("s"))
-    return _auc_from_score_counts(_score_counts(s), materialize=True)
+    return _auc(s).select("auc")
 
 
 # V1 ---------------------------------------------------------------------------
@@ -101,47 +99,36 @@ def classification_report(
     label: str = "label",
     prediction: str = "prediction",
     score: str | None = "rawPrediction",
-    materialize: bool = True,
 ) -> DataFrame:
-    """One row: ``accuracy, weighted_precision, weighted_recall, f1, auc, n_in, n_scored``.
+    """One row: ``accuracy, weighted_precision, weighted_recall, f1, auc, n_in, n_scored, n_auc``.
 
-    One pass over the predictions builds ``(y, p, s, n)`` (rows per label,
-    prediction and score); with ``materialize`` it is checkpointed to the
-    shared folder, and the confusion metrics, row counts and AUC are all
-    computed from that table. Weighted recall equals accuracy by definition
-    (T-14); both are returned (T-13).
+    The label, prediction and score of every row are written once to the shared folder
+    (so the model is applied once); the confusion table is a direct aggregate of that,
+    only AUC groups by score. Weighted recall equals accuracy by definition (T-14);
+    both are returned (T-13). ``n_auc`` rows have a label and a score.
     """
+    spark = pred.sparkSession
     has_score = score is not None and score in pred.columns
     s = score_expr(pred, score) if has_score else F.lit(None).cast("double")
-    z = pred.groupBy(
-        F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p"), s.alias("s")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    if materialize:
-        checkpoint_dir(pred.sparkSession)
-        z = z.checkpoint(eager=True)
-    cm = z.filter(F.col("y").isNotNull() & F.col("p").isNotNull()).groupBy("y", "p").agg(F.sum("n").alias("n"))
+    z = pred.select(F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p"), s.alias("s"))
+    path = scratch_path(spark, "scored")
+    z.write.parquet(path)
+    z = spark.read.schema(z.schema).parquet(path)
+    every = z.groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"))
+    cm = every.filter(F.col("y").isNotNull() & F.col("p").isNotNull())
     m = _metrics_from_counts(cm)
-    dbl = ["accuracy", "weighted_precision", "weighted_recall", "f1"]
-    none_d = [F.lit(None).cast("double").alias(c) for c in dbl]
-    parts = [
-        m.select(F.lit("m").alias("k"), *dbl, "n_scored", F.lit(None).cast("double").alias("auc"),
-                 F.lit(None).cast("bigint").alias("n_in")),
-        z.agg(F.sum("n").cast("bigint").alias("n_in")).select(
-            F.lit("n").alias("k"), *none_d, F.lit(None).cast("bigint").alias("n_scored"),
-            F.lit(None).cast("double").alias("auc"), "n_in"),
-    ]
+    dbl, counts = ["accuracy", "weighted_precision", "weighted_recall", "f1", "auc"], ["n_in", "n_scored", "n_auc"]
+    parts = [m, every.agg(F.sum("n").cast("bigint").alias("n_in"))]
     if has_score:
-        a = _auc_from_score_counts(_score_counts(z, F.col("n")), materialize=False)
-        parts.append(a.select(F.lit("a").alias("k"), *none_d, F.lit(None).cast("bigint").alias("n_scored"), "auc",
-                              F.lit(None).cast("bigint").alias("n_in")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.agg(
-        *[F.max(c).alias(c) for c in [*dbl, "auc"]],
-        F.max("n_in").alias("n_in"),
-        F.coalesce(F.max("n_scored"), F.lit(0).cast("bigint")).alias("n_scored"),
-    )
+        parts.append(_auc(z))
+    # Each part is one row with some of the columns.
+    u = None
+    for part in parts:
+        row = part.select(*[F.col(c) if c in part.columns else F.lit(None).cast(t).alias(c)
+                            for t, names in (("double", dbl), ("bigint", counts)) for c in names])
+        u = row if u is None else u.unionByName(row)
+    return u.agg(*[F.max(c).alias(c) for c in dbl], *[F.coalesce(F.max(c), F.lit(0).cast("bigint")).alias(c)
+                                                      for c in counts])
 
 
 # V4 ---------------------------------------------------------------------------
@@ -175,11 +162,12 @@ def residuals(pred: DataFrame, label: str = "price", prediction: str = "predicti
 
 
 def worst_residuals(pred: DataFrame, label: str = "price", prediction: str = "prediction", key: str = "id",
-                    n: int = 20, keep: Sequence[str] = ()) -> DataFrame:
-    """Top-``n`` absolute errors (ties by key): a bounded ``TakeOrderedAndProject``."""
+                    n: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Every row's error, the largest first (ties by key); with ``n`` only the first n of them."""
     r = residuals(pred, label, prediction)
     cols = [key, *keep, label, prediction, "error", "abs_error"]
-    return r.select(*cols).orderBy(F.desc("abs_error"), F.asc(key)).limit(int(n))
+    out = r.select(*cols).orderBy(F.desc("abs_error"), F.asc(key))
+    return out if n is None else out.limit(int(n))
 
 
 # V6 ---------------------------------------------------------------------------

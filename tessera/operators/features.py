@@ -9,29 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import keyword_only
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import (
     MinMaxScaler,
     OneHotEncoder,
     SQLTransformer,
     StandardScaler,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.stages import Persistable, str_param
-
-# The reference's ordinal scales for the diamonds data, lowest first.
-DIAMOND_LEVELS = {
-    "cut": ["Fair", "Good", "Very Good", "Premium", "Ideal"],
-    "color": ["J", "I", "H", "G", "F", "E", "D"],
-    "clarity": ["I1", "SI2", "SI1", "VS2", "VS1", "VVS2", "VVS1", "IF"],
-}
-
+from tessera.operators.stages import Persistable, int_param, str_param
 
 def _sql_str(v: str) -> str:
     return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -50,7 +43,11 @@ def ordinal_encoder(mapping: Mapping[str, Sequence[str]], suffix: str = "_score"
     return SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
 
 
-def string_indexer(cols: Sequence[str], suffix: str = "_index", handle_invalid: str = "keep") -> StringIndexer:
+#: Names of the columns that the stages put between the inputs and the features.
+INDEXED, ENCODED, SCALED = "__ix", "__oh", "scaled_inputs"
+
+
+def string_indexer(cols: Sequence[str], suffix: str = INDEXED, handle_invalid: str = "keep") -> StringIndexer:
     """Index by frequency (desc), ties alphabetical. Default ``keep``: NULL
     and unseen values get the extra index instead of silently dropping the row
     (trap T-3); ``skip`` reproduces the reference."""
@@ -60,7 +57,7 @@ def string_indexer(cols: Sequence[str], suffix: str = "_index", handle_invalid:
     )
 
 
-def one_hot(cols: Sequence[str], in_suffix: str = "_index", out_suffix: str = "_vec", drop_last: bool = True,
+def one_hot(cols: Sequence[str], in_suffix: str = INDEXED, out_suffix: str = ENCODED, drop_last: bool = True,
             handle_invalid: str = "error") -> OneHotEncoder:
     """Index -> sparse indicator vector, last category dropped. Indexes from
     ``string_indexer`` are always in range (its ``keep`` reserves a slot for
@@ -72,7 +69,7 @@ def one_hot(cols: Sequence[str], in_suffix: str = "_index", out_suffix: str = "_
 
 
 def one_hot_scaled(cat_cols: Sequence[str], num_cols: Sequence[str], features: str = "features",
-                   handle_invalid: str = "keep", scaled: str = "num_features_scaled") -> Pipeline:
+                   handle_invalid: str = "keep", scaled: str = SCALED) -> Pipeline:
     """Index + one-hot categoricals, assemble + standardise numerics,
     assemble everything into ``features``."""
     cat_cols, num_cols = list(cat_cols), list(num_cols)
@@ -83,11 +80,11 @@ def one_hot_scaled(cat_cols: Sequence[str], num_cols: Sequence[str], features: s
         # the encoder sees k+1 categories and dropLast leaves k columns: one per
         # seen value, the unseen value as the all-zero vector.
         stages += [string_indexer(cat_cols, handle_invalid=handle_invalid), one_hot(cat_cols, handle_invalid="error")]
-        inputs += [c + "_vec" for c in cat_cols]
+        inputs += [c + ENCODED for c in cat_cols]
     if num_cols:
         stages += [
-            VectorAssembler(inputCols=num_cols, outputCol="num_features_raw"),
-            StandardScaler(inputCol="num_features_raw", outputCol=scaled, withMean=True, withStd=True),
+            VectorAssembler(inputCols=num_cols, outputCol=f"{scaled}_in"),
+            StandardScaler(inputCol=f"{scaled}_in", outputCol=scaled, withMean=True, withStd=True),
         ]
         inputs.append(scaled)
     stages.append(VectorAssembler(inputCols=inputs, outputCol=features))
@@ -98,8 +95,8 @@ def indexed(cat_cols: Sequence[str], num_cols: Sequence[str], features: str = "f
             handle_invalid: str = "keep") -> Pipeline:
     """Tree-friendly features - category indexes and raw numerics."""
     cat_cols, num_cols = list(cat_cols), list(num_cols)
-    stages: list = [string_indexer(cat_cols, suffix="_idx", handle_invalid=handle_invalid)] if cat_cols else []
-    stages.append(VectorAssembler(inputCols=[c + "_idx" for c in cat_cols] + num_cols, outputCol=features,
+    stages: list = [string_indexer(cat_cols, handle_invalid=handle_invalid)] if cat_cols else []
+    stages.append(VectorAssembler(inputCols=[c + INDEXED for c in cat_cols] + num_cols, outputCol=features,
                                   handleInvalid="skip" if handle_invalid == "skip" else "error"))
     return Pipeline(stages=stages)
 
@@ -138,62 +135,104 @@ def vector_size(df: DataFrame, col: str) -> int:
     return sum(len(v) for v in meta.get("attrs", {}).values())
 
 
-def max_category_count(df: DataFrame, cols: Sequence[str]) -> int:
-    """Largest number of distinct values among ``cols`` - trees need
-    ``maxBins`` at least this large on indexed inputs (trap T-21). One job."""
-    if not cols:
-        return 0
-    row = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cols]).first()
-    return max(int(row[c]) for c in cols) + 1
+def category_counts(model: PipelineModel) -> dict[str, int]:
+    """Input column -> number of indexes of the fitted string indexers in ``model`` (the extra
+    one for unseen values included). Exact, no job: trees need ``maxBins`` of the largest (T-21)."""
+    out = {}
+    for stage in model.stages:
+        if isinstance(stage, StringIndexerModel):
+            extra = int(stage.getHandleInvalid() == "keep")
+            out.update({c: len(labels) + extra for c, labels in zip(stage.getInputCols(), stage.labelsArray)})
+    return out
 
 
-def single_level_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Columns with fewer than two distinct values, which ``OneHotEncoder``
-    with ``dropLast`` cannot encode (E3 pre-check). One job."""
-    if not cols:
-        return []
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] < 2]
+def check_levels(model: PipelineModel) -> None:
+    """E3 pre-check: ``OneHotEncoder`` with ``dropLast`` cannot encode a column with fewer than two
+    categories; raises with their names."""
+    few = [c for c, n in category_counts(model).items() if n < 2]
+    if few:
+        raise ValueError(f"columns with fewer than two categories cannot be one-hot encoded: {few}")
 
 
 # E10 ---------------------------------------------------------------------------
-class LogLabel(Transformer, Persistable):
-    """``out = ln(label)`` for positive labels, NULL otherwise."""
+def log_label(label: str) -> Column:
+    """``ln(label)`` of positive labels, NULL otherwise."""
+    c = F.col(label)
+    return F.when(c > 0, F.log(c))
+
 
-    inputCol = str_param("inputCol", "label column")
-    outputCol = str_param("outputCol", "log label column")
+class LogTargetRegressor(Estimator, Persistable):
+    """Fits ``pipeline`` (features and a regressor on ``log_label``) on the logarithm of ``labelCol``
+    and predicts in the label's own unit. Rows without a positive label are left out of the fit;
+    ``LogTargetModel.n_left_out`` counts them. Scoring needs no label."""
 
-    @keyword_only
-    def __init__(self, inputCol: str | None = None, outputCol: str = "log_label"):
+    labelCol = str_param("labelCol", "label column")
+
+    def __init__(self, pipeline: Pipeline | None = None, labelCol: str = "price"):
         super().__init__()
-        self._setDefault(outputCol="log_label")
-        self._set(**self._input_kwargs)
+        self.pipeline = pipeline
+        self._set(labelCol=labelCol)
+
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that.pipeline = self.pipeline
+        return that
+
+    def _fit(self, df: DataFrame) -> "LogTargetModel":
+        logged = df.withColumn(LOG_LABEL, log_label(self.getOrDefault(self.labelCol)))
+        n_in, n_used = logged.agg(F.count(F.lit(1)), F.count(LOG_LABEL)).first()
+        model = LogTargetModel(self.pipeline.fit(logged.filter(F.col(LOG_LABEL).isNotNull())))
+        model._set(leftOut=int(n_in - n_used))
+        return model
 
-    def _transform(self, df: DataFrame) -> DataFrame:
-        c = F.col(self.getOrDefault(self.inputCol))
-        return df.withColumn(self.getOrDefault(self.outputCol), F.when(c > 0, F.log(c)))
 
+LOG_LABEL = "log_label"
 
-class ExpPrediction(Transformer, Persistable):
-    """Moves the log-scale prediction to ``logCol`` and puts ``exp`` of it in ``predictionCol``."""
 
-    predictionCol = str_param("predictionCol", "prediction column")
-    logCol = str_param("logCol", "column that keeps the log-scale prediction")
+class _InnerWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        self.instance.inner.write().overwrite().save(f"{path.rstrip('/')}/inner")
 
-    @keyword_only
-    def __init__(self, predictionCol: str = "prediction", logCol: str = "log_prediction"):
+
+class _InnerReader(DefaultParamsReader):
+    def load(self, path: str) -> "LogTargetModel":
+        model = super().load(path)
+        model.inner = PipelineModel.load(f"{path.rstrip('/')}/inner")
+        return model
+
+
+class LogTargetModel(Model, Persistable):
+    """The fitted pipeline, its prediction as ``log_prediction`` and ``exp`` of that as ``prediction``."""
+
+    leftOut = int_param("leftOut", "training rows without a positive label")
+
+    def __init__(self, inner: PipelineModel | None = None):
         super().__init__()
-        self._setDefault(predictionCol="prediction", logCol="log_prediction")
-        self._set(**self._input_kwargs)
+        self._setDefault(leftOut=0)
+        self.inner = inner
+
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that.inner = self.inner
+        return that
+
+    @property
+    def n_left_out(self) -> int:
+        return self.getOrDefault(self.leftOut)
+
+    def write(self) -> _InnerWriter:
+        return _InnerWriter(self)
+
+    @classmethod
+    def read(cls) -> _InnerReader:
+        return _InnerReader(cls)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        p, lg = self.getOrDefault(self.predictionCol), self.getOrDefault(self.logCol)
-        return df.withColumnRenamed(p, lg).withColumn(p, F.exp(F.col(lg)))
+        out = self.inner.transform(df).withColumnRenamed("prediction", "log_prediction")
+        return out.withColumn("prediction", F.exp("log_prediction"))
 
 
-def log_target_pipeline(feature_stages: Sequence, regressor, label: str) -> Pipeline:
-    """E10 as one persistable pipeline: fit on ``ln(label)``, predict in the
-    original unit."""
-    regressor = regressor.copy().setLabelCol("log_label")
-    return Pipeline(stages=[LogLabel(inputCol=label, outputCol="log_label"), *feature_stages, regressor,
-                            ExpPrediction()])
+def log_target(feature_stages: Sequence, regressor, label: str) -> LogTargetRegressor:
+    """``feature_stages`` and ``regressor`` on ``ln(label)``, predictions in the label's unit."""
+    return LogTargetRegressor(Pipeline(stages=[*feature_stages, regressor.copy().setLabelCol(LOG_LABEL)]), label)

@@ -15,21 +15,19 @@ from collections.abc import Sequence
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.feature import Imputer
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators.clean import FillConstant
 from tessera.operators.joins import lookup_join
-from tessera.sources.files import literal_rows
-from tessera.operators.profile import mode_values
-from tessera.operators.stages import Persistable, int_param, list_param, str_param
+from tessera.operators.profile import assert_no_missing, mode_values
+from tessera.operators.stages import Persistable, list_param, str_param
 from tessera.session import checkpoint_dir, scratch_path
 
-# Group-mode tables up to this many rows are kept in the model params and
-# broadcast at transform time; larger ones are written to the shared
-# checkpoint folder and joined with a regular (shuffle) join.
-MAX_INLINE_GROUPS = 100_000
+
+class NoModeError(ValueError):
+    """A column to fill has no value at all in the training rows (trap T-9)."""
 
 
 class CastColumns(Transformer, Persistable):
@@ -58,8 +56,11 @@ class ModeImputer(Estimator, Persistable):
 
     def _fit(self, df: DataFrame) -> "ModeImputerModel":
         cols = self.getOrDefault(self.inputCols)
+        modes = mode_values(df, cols)
+        if empty := [c for c in cols if modes.get(c) is None]:
+            raise NoModeError(f"no value to fill {empty} with")
         m = ModeImputerModel(inputCols=cols)
-        m._set_json(m.modes, mode_values(df, cols))
+        m._set_json(m.modes, modes)
         return m
 
 
@@ -143,17 +144,15 @@ def group_modes(df: DataFrame, targets: Sequence[str], groups: Sequence[str], me
 
 class GroupedModeImputer(Estimator, Persistable):
     """Fill each target with the mode of its group (``groupCols``), else the
-    global mode; NULL group keys never match and fall back to the global mode."""
+    global mode; NULL group keys never match and fall back to the global mode,
+    NaN keys are one group."""
 
     targetCols = list_param("targetCols", "categorical columns to fill")
     groupCols = list_param("groupCols", "grouping columns")
-    maxInlineGroups = int_param("maxInlineGroups", "largest group table kept in params")
 
     @keyword_only
-    def __init__(self, targetCols: list[str] | None = None, groupCols: list[str] | None = None,
-                 maxInlineGroups: int = MAX_INLINE_GROUPS):
+    def __init__(self, targetCols: list[str] | None = None, groupCols: list[str] | None = None):
         super().__init__()
-        self._setDefault(maxInlineGroups=MAX_INLINE_GROUPS)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "GroupedModeImputerModel":
@@ -163,60 +162,71 @@ class GroupedModeImputer(Estimator, Persistable):
         # both the group modes and the global modes are derived from them.
         checkpoint_dir(df.sparkSession)
         counts = value_counts(df, targets, groups).checkpoint(eager=True)
-        table = modes_from_counts(counts, targets, groups)
         totals = counts.groupBy("__target", "__value").agg(F.sum("__n").alias("__n"))
         best = totals.groupBy("__target").agg(F.min(F.struct((-F.col("__n")).alias("neg"),
                                                               F.col("__value").alias("v"))).alias("b"))
         model = GroupedModeImputerModel(targetCols=targets, groupCols=groups)
         model._set_json(model.globalModes, {r["__target"]: r["b"]["v"] for r in best.collect()})
-        model._set(tableSchema=table.schema.json())
-        limit = self.getOrDefault(self.maxInlineGroups)
-        head = table.limit(limit + 1).collect()  # never more than the bound reaches the driver
-        if len(head) <= limit:
-            model._set(tableCount=len(head))
-            model._set_json(model.tableRows, [list(r) for r in head])
-        else:
-            path = scratch_path(df.sparkSession, "group-modes")
-            table.write.mode("overwrite").parquet(path)
-            written = df.sparkSession.read.parquet(path)
-            model._set(tablePath=path, tableCount=written.count())
+        model.table_path = scratch_path(df.sparkSession, "group-modes")
+        modes_from_counts(counts, targets, groups).write.parquet(model.table_path)
         return model
 
 
+class _TableWriter(DefaultParamsWriter):
+    """Params as usual, and the group-mode table beside them."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        table = self.instance.mode_table(self.sparkSession)
+        table.write.parquet(f"{path.rstrip('/')}/{MODES}")
+
+
+class _TableReader(DefaultParamsReader):
+    def load(self, path: str) -> "GroupedModeImputerModel":
+        model = super().load(path)
+        model.table_path = f"{path.rstrip('/')}/{MODES}"
+        return model
+
+
+MODES = "modes.parquet"
+
+
 class GroupedModeImputerModel(Model, Persistable):
+    """The group modes are a Parquet table of any size: in the shared folder after
+    fitting, inside the model's own folder once it is saved."""
+
     targetCols = list_param("targetCols", "categorical columns to fill")
     groupCols = list_param("groupCols", "grouping columns")
     globalModes = str_param("globalModes", "JSON object target -> global mode")
-    tableSchema = str_param("tableSchema", "schema JSON of the group-mode table")
-    tableRows = str_param("tableRows", "JSON rows of a small group-mode table")
-    tablePath = str_param("tablePath", "Parquet path of a large group-mode table")
-    tableCount = int_param("tableCount", "rows of the group-mode table")
+
+    table_path: str = ""
 
     @keyword_only
     def __init__(self, targetCols: list[str] | None = None, groupCols: list[str] | None = None):
         super().__init__()
-        self._setDefault(globalModes="{}", tablePath="", tableCount=0)
+        self._setDefault(globalModes="{}")
         self._set(**self._input_kwargs)
 
-    def mode_table(self, spark: SparkSession) -> tuple[DataFrame, bool]:
-        """(table, small): ``small`` tables are bounded by ``maxInlineGroups``."""
-        path = self.getOrDefault(self.tablePath)
-        if path:
-            return spark.read.parquet(path), False
-        # Rebuilt JVM-side from one JSON literal (no Python workers, no RDD of
-        # pickled rows); the row count is bounded by maxInlineGroups.
-        schema = T.StructType.fromJson(self._get_json(self.tableSchema))
-        return literal_rows(spark, self._get_json(self.tableRows, []), schema), True
+    def copy(self, extra=None):
+        that = super().copy(extra)
+        that.table_path = self.table_path
+        return that
+
+    def write(self) -> _TableWriter:
+        return _TableWriter(self)
+
+    @classmethod
+    def read(cls) -> _TableReader:
+        return _TableReader(cls)
+
+    def mode_table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.table_path)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         targets = self.getOrDefault(self.targetCols)
         groups = self.getOrDefault(self.groupCols)
         glob = self._get_json(self.globalModes, {})
-        table, small = self.mode_table(df.sparkSession)
-        # Small tables (bounded at fit time) are broadcast; large ones are joined
-        # with salting, so a group holding a large share of the rows is split.
-        n = self.getOrDefault(self.tableCount)
-        joined = lookup_join(df, table, groups, n, how="left", broadcast_rows=n if small else -1)
+        joined = lookup_join(df, self.mode_table(df.sparkSession), groups)
         fills = {
             t: F.coalesce(F.col(t), F.col(f"{t}_mode"), F.lit(glob.get(t)).cast("string")).alias(t)
             for t in targets
@@ -224,6 +234,11 @@ class GroupedModeImputerModel(Model, Persistable):
         return joined.select([fills.get(c, F.col(c)) for c in df.columns])
 
 
+def fill_verified(model, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``df`` filled by a fitted imputer; an error if a cell of ``cols`` is still missing."""
+    return assert_no_missing(model.transform(df), cols, "the filled rows")
+
+
 def predictive_grouping(targets: Sequence[str], groups: Sequence[str], fill_cols: Sequence[str]) -> Pipeline:
     """Grouped-mode fill for ``targets``, then ``"Unknown"`` for any string NULL left in ``fill_cols``."""
     return Pipeline(

@@ -1,11 +1,8 @@
 """Lookup joins against a table with one row per key.
 
-``lookup_join`` picks the strategy from a size the caller proves (a count or a
-known bound): up to ``broadcast_rows`` the lookup side is broadcast; beyond
-that it is a shuffle join whose hot keys are split by salting. The salt of a
-row is a hash of the row's own columns, so it is the same on every retry of a
-task (a random salt would change when an executor is lost and the task
-recomputed); the lookup side is replicated once per salt value.
+The join strategy is Spark's: a lookup side below the broadcast threshold (by its
+measured size, also at run time) is broadcast, a larger one is a sort-merge join
+whose skewed partitions AQE splits, also when all rows of a hot key are identical.
 """
 
 from __future__ import annotations
@@ -13,30 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-SALTS = 16
 
-
-def lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    lookup_rows: int,
-    how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """``big JOIN lookup USING (keys)``; column order of ``big`` first, then the
     lookup's value columns (the USING form would move the keys to the front)."""
     keys = list(keys)
     values = [c for c in lookup.columns if c not in keys]
-    if lookup_rows <= broadcast_rows:
-        joined = big.join(F.broadcast(lookup), on=keys, how=how)
-        return joined.select(*big.columns, *values)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
-    salted = big.withColumn("__salt", salt)
-    replicated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = salted.join(replicated, on=[*keys, "__salt"], how=how)
-    return joined.select(*big.columns, *values)
+    return big.join(lookup, on=keys, how=how).select(*big.columns, *values)

@@ -18,6 +18,9 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame
+
+from tessera.functions.columns import md5_bucket
 
 DEFAULT_SEED = 42
 
@@ -36,10 +39,12 @@ REGRESSORS: dict[str, tuple[type, dict[str, Any]]] = {
 }
 TRACKED_RF = {"maxDepth": 10, "numTrees": 10, "maxBins": 42}
 
-# Execution settings for tree ensembles (they change how many nodes are split
-# per pass over the data and whether node ids are cached between passes, not
-# the fitted model): fewer passes for deep trees; node-id caches are
-# checkpointed every ``checkpointInterval`` iterations into the shared folder.
+# Further settings of the tree ensembles: how many nodes are split per pass over the
+# data, and whether node ids are cached between passes. Fewer passes for deep trees;
+# node-id caches are checkpointed every ``checkpointInterval`` iterations into the
+# shared folder. They belong to the model's settings: the order in which nodes are
+# split decides which random feature subsets they get, so another ``maxMemoryInMB`` can
+# give another forest from the same rows.
 TREE_EXECUTION = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 _TREES = (RandomForestClassifier, GBTClassifier, RandomForestRegressor, GBTRegressor)
 
@@ -70,13 +75,21 @@ def with_min_bins(est, min_bins: int):
     return est
 
 
+FOLD = "fold"
+
+
+def with_folds(df: DataFrame, key: str, folds: int = 3, salt: str = "fold") -> DataFrame:
+    """``df`` with the fold of every row from md5 of its key: the same on any partitioning (T-17)."""
+    return df.withColumn(FOLD, md5_bucket(key, folds, salt))
+
+
 def cross_validator(pipeline, grid: dict[Any, Sequence[Any]], evaluator=None, folds: int = 3,
                     parallelism: int = 2, seed: int = DEFAULT_SEED, task: str = "classification") -> CrossValidator:
-    """Grid search with k-fold cross-validation (folds fit in parallel)."""
+    """Grid search with k-fold cross-validation (folds fit in parallel) over rows from ``with_folds``."""
     builder = ParamGridBuilder()
     for p, values in grid.items():
         builder = builder.addGrid(p, list(values))
     if evaluator is None:
         evaluator = BinaryClassificationEvaluator() if task == "classification" else RegressionEvaluator()
     return CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), evaluator=evaluator,
-                          numFolds=folds, parallelism=parallelism, seed=seed)
+                          numFolds=folds, parallelism=parallelism, seed=seed, foldCol=FOLD)

@@ -1,13 +1,11 @@
 """Distributed running sums over a sorted key, without a single-partition window.
 
-A window with no ``partitionBy`` moves every row into one task. Instead the
-sort key is cut into ranges by approximate quantiles of the key (a bounded
-sketch), each range gets its offset from a tiny per-range total table, and the
-running sum inside a range is a window partitioned by ``(group, range)``.
-The number of ranges follows the largest group (about ``rows_per_bucket`` keys
-per range, at most ``n_buckets`` ranges); each range is one window partition,
-so the work is spread over many tasks and each sort can spill. A group small
-enough for one range needs no bounds, offsets or join at all.
+A window with no ``partitionBy`` moves every row into one task. Instead the rows
+are range-partitioned by ``(group, key)`` and written once to the shared folder with
+the number of their range; a running sum inside a range is a window partitioned by
+``(group, range)``, and every range's offset is the sum of the ranges before it,
+from a table with one row for each group and range. There is no limit on groups,
+ranges or keys.
 
 Input rows must already be unique per ``(group_cols, order_col)`` (aggregate
 first); the output adds ``<col>_before`` = sum of ``col`` over all rows of the
@@ -18,25 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint_dir
+from tessera.session import scratch_path
+from tessera.sources.files import literal_rows
 
-# Largest number of (group, range) rows we broadcast; the real size is
-# groups * n_buckets and is checked before the join.
-_MAX_BROADCAST_ROWS = 1_000_000
-
-
-def _range_index(bounds: Column, value: Column, lo: int, hi: int) -> Column:
-    """Number of bounds strictly below ``value`` (bounds sorted ascending), as a
-    balanced binary search: ``log2(hi - lo)`` comparisons per row, plain
-    ``CASE``/array-access expressions that stay in generated code."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(bounds[mid] < value, _range_index(bounds, value, mid + 1, hi)).otherwise(
-        _range_index(bounds, value, lo, mid))
+RANGE = "__range"
 
 
 def prefix_sums(
@@ -44,91 +30,52 @@ def prefix_sums(
     order_col: str,
     sum_cols: Sequence[str],
     group_cols: Sequence[str] = (),
-    n_buckets: int = 1024,
-    accuracy: int = 10000,
-    max_groups: int | None = None,
+    ranges: int | None = None,
     with_total: bool = False,
-    materialize: bool = True,
-    rows_per_bucket: int = 250_000,
 ) -> DataFrame:
     """Add ``<c>_before`` (and with ``with_total`` also ``<c>_total``) for every ``c`` in ``sum_cols``.
 
-    ``max_groups``: a bound on the number of groups the caller can prove (for
-    example the number of profiled columns); the groups are counted either way
-    and the bound table is broadcast only below ``groups * ranges`` = 1M rows.
-    ``materialize``: write the (pre-aggregated, hence small) input once to the
-    shared checkpoint folder, so the bound sketch, the window pass and the
-    offsets all read that table instead of recomputing the upstream plan, and
-    a lost executor does not send the job back to the raw scan.
-    The number of ranges is ``largest group / rows_per_bucket`` (at least 1, at
-    most ``n_buckets``): each window partition sorts about ``rows_per_bucket``
-    keys, whatever the input size.
+    ``ranges``: number of range partitions (default: the session's shuffle partitions).
     """
-    if materialize:
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+    spark = df.sparkSession
     groups = list(group_cols)
-    ordv = F.col(order_col)
-
-    # Ranges per group from the largest group (one small job over the input):
-    # every window partition then sorts about rows_per_bucket keys at most.
+    n = int(ranges or spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranges")
+    dealt = df.repartitionByRange(n, *groups, order_col).withColumn(RANGE, F.spark_partition_id())
+    dealt.write.parquet(path)  # range numbers are fixed from here on
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+
+    inside = Window.partitionBy(*groups, RANGE).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    inner = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__in_{c}") for c in sum_cols])
+    totals = dealt.groupBy(*groups, RANGE).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     if groups:
-        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-        st = sizes.agg(F.count(F.lit(1)).alias("g"), F.max("_n").alias("m")).first()
-        n_groups, biggest = int(st["g"] or 0), int(st["m"] or 0)
-        if max_groups is not None and n_groups > max_groups:
-            raise ValueError(f"{n_groups} groups, more than the stated bound {max_groups}")
-    else:
-        n_groups, biggest = 1, df.count()
-    buckets = int(min(n_buckets, max(1, -(-biggest // rows_per_bucket))))
-    if n_groups * buckets > _MAX_BROADCAST_ROWS:
-        raise ValueError(f"{n_groups} groups x {buckets} ranges is too many for a prefix sum")
-
-    # 1. range index per row from n_buckets-1 approximate quantiles of the keys.
-    if buckets == 1:
-        # One range (at most rows_per_bucket keys in any group, counted above): the
-        # running sum is one window per group; no offsets, no join.
-        part = groups or [F.lit(0)]
-        w1 = Window.partitionBy(*part).orderBy(order_col)
-        before = w1.rowsBetween(Window.unboundedPreceding, -1)
-        extra = [F.sum(c).over(Window.partitionBy(*part)).alias(f"{c}_total") for c in sum_cols] if with_total \
-            else []
-        return df.select(
-            *df.columns,
-            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sum_cols],
-            *extra,
-        )
+        earlier = Window.partitionBy(*groups).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*groups)
+        offsets = totals.select(
+            *groups, RANGE,
+            *[F.coalesce(F.sum(f"__t_{c}").over(earlier), F.lit(0)).alias(f"__off_{c}") for c in sum_cols],
+            *[F.sum(f"__t_{c}").over(whole).alias(f"__all_{c}") for c in sum_cols])
+        # NULL groups are groups, too.
+        other = offsets.withColumnsRenamed({g: f"__g_{g}" for g in groups}).withColumnRenamed(RANGE, "__r")
+        same = F.col(RANGE) == F.col("__r")
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+        out = inner.join(other, same)
     else:
-        grid = [i / buckets for i in range(1, buckets)]
-        bounds_agg = F.percentile_approx(ordv, grid, accuracy)
-        if groups:
-            bounds = df.groupBy(*groups).agg(bounds_agg.alias("_bounds"))
-            withb = df.join(F.broadcast(bounds), on=groups, how="inner")
-        else:
-            # Global order: the bounds are one scalar subquery, evaluated once.
-            withb = df.withColumn("_bounds", df.agg(bounds_agg).scalar())
-        idx = _range_index(F.col("_bounds"), ordv, 0, buckets - 1)
-        # Non-nullable range index: no IsNotNull is inferred and pushed upstream.
-        bucketed = withb.withColumn("_bucket", F.coalesce(idx, F.lit(0))).drop("_bounds")
-
-    # 2. running sum inside each range (one shuffle on (group, range)).
-    w_in = Window.partitionBy(*groups, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    inner = bucketed.select("*", *[F.coalesce(F.sum(c).over(w_in), F.lit(0)).alias(f"_i_{c}") for c in sum_cols])
-
-    # 3. per-range totals and offsets (groups * ranges rows), derived from the
-    #    same windowed table so both sides share one exchange.
-    tot = inner.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    w_off = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*groups)
-    offsets = tot.select(
-        *groups, "_bucket",
-        *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
-        *[F.sum(f"_t_{c}").over(w_all).alias(f"_a_{c}") for c in sum_cols],
-    )
-    out = inner.join(F.broadcast(offsets), on=[*groups, "_bucket"], how="inner")
-    extra = [F.col(f"_a_{c}").alias(f"{c}_total") for c in sum_cols] if with_total else []
+        # One row for each of the n ranges: their sums are added up on the driver.
+        sums = {c: 0 for c in sum_cols}
+        rows = []
+        for r in sorted(totals.collect(), key=lambda r: r[RANGE]):
+            rows.append([r[RANGE], *sums.values()])
+            sums = {c: v + (r[f"__t_{c}"] or 0) for c, v in sums.items()}
+        kinds = {c: totals.schema[f"__t_{c}"].dataType.simpleString() for c in sum_cols}
+        ddl = ", ".join([f"{RANGE} int"] + [f"`__off_{c}` {kinds[c]}" for c in sum_cols])
+        offsets = literal_rows(spark, rows, ddl)
+        out = inner.join(F.broadcast(offsets), RANGE)
+        out = out.withColumns({f"__all_{c}": F.lit(sums[c]).cast(kinds[c]) for c in sum_cols})
+    extra = [F.col(f"__all_{c}").alias(f"{c}_total") for c in sum_cols] if with_total else []
     return out.select(
         *df.columns,
-        *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}_before") for c in sum_cols],
+        *[(F.col(f"__off_{c}") + F.col(f"__in_{c}")).alias(f"{c}_before") for c in sum_cols],
         *extra,
     )

@@ -26,6 +26,7 @@ from tessera.plans.common import (
     gems_valid,
     sql,
     sql_bucket,
+    sql_place,
     table,
 )
 from tessera.session import scratch_path
@@ -188,7 +189,7 @@ def q_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _SUMMARY_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS n, round(sum(CAST({c} AS DECIMAL(38, 10))) / count({c}), 6) AS mean, "
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, "
     f"round(stddev_samp({c}), 6) AS stddev, "
     f"min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
     f"round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max FROM lineitem"
@@ -204,6 +205,27 @@ def q_summary_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _r("p25").alias("p25"), _r("p50").alias("p50"), _r("p75").alias("p75"), "max")
 
 
+_SMALL = ["l_extendedprice", "l_quantity", "nothing"]
+_SMALL_SQL = "WITH t AS (SELECT l_extendedprice * 1e-7 AS l_extendedprice, CASE WHEN l_linenumber = 3 THEN 'NaN'::DOUBLE " \
+    "ELSE l_quantity * 1e-7 END AS l_quantity, CAST(NULL AS DOUBLE) AS nothing FROM lineitem), " \
+    "u AS (SELECT l_extendedprice, CASE WHEN NOT isnan(l_quantity) THEN l_quantity END AS l_quantity, nothing FROM t) " + \
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 12) AS mean, round(stddev_samp({c}), 12) AS stddev, "
+        f"round(min({c}), 12) AS min, round(quantile_cont({c}, 0.25), 12) AS p25, round(quantile_cont({c}, 0.5), 12) AS p50, "
+        f"round(quantile_cont({c}, 0.75), 12) AS p75, round(max({c}), 12) AS max FROM u" for c in _SMALL)
+
+
+@query("summary_small_values", _SMALL_SQL)
+def q_summary_small_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 T-11: values of the size 1e-7, NaN cells, and a column without any value."""
+    li = table(spark, sf_dir, "lineitem")
+    nan = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_quantity") * 1e-7)
+    t = li.select((F.col("l_extendedprice") * 1e-7).alias("l_extendedprice"), nan.alias("l_quantity"),
+                  F.lit(None).cast("double").alias("nothing"))
+    out = profile.summary_exact(t, _SMALL)
+    return out.select("column", "n", *[_r(c, 12).alias(c) for c in out.columns[2:]])
+
+
 @query("summary_approx")
 def q_summary_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 (reference form): Spark's ``summary()`` with approximate percentiles."""
@@ -223,6 +245,41 @@ def q_corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("col_a", "col_b", _r("corr").alias("corr"), (F.abs("corr") > 0.95).alias("dropped"))
 
 
+@query("corr_with_nulls", sql(" UNION ALL ".join(
+    f"SELECT 'hours_per_week' AS col_a, '{c}' AS col_b, round(corr(hours_per_week, {c}), 6) AS corr FROM adults"
+    for c in ["age", "education_num"])))
+def q_corr_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation over the rows where both columns have a value."""
+    c = profile.correlations(fixtures.adults(spark, sf_dir), "hours_per_week", ["age", "education_num"])
+    return c.select("col_a", "col_b", _r("corr").alias("corr"))
+
+
+@query("corr_drop", sql("SELECT * EXCLUDE (x, y, z) FROM gems_valid"))
+def q_corr_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: the table without the columns that say the same as carat (|corr| over 0.95)."""
+    return profile.drop_correlated(gems_valid(spark, sf_dir), "carat", ["x", "y", "z"], 0.95)[0]
+
+
+@query("missing_total", sql("SELECT count(*) FILTER (WHERE hours_per_week IS NULL) + count(*) FILTER (WHERE sex IS NULL)"
+                            " + count(*) FILTER (WHERE workclass IS NULL) + count(*) FILTER (WHERE occupation IS NULL) "
+                            "AS n_missing, CAST((SELECT count(*) FROM adults_complete) AS BIGINT) AS n_complete, "
+                            "count(*) AS n_rows FROM adults_clean"))
+def q_missing_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing cells of the whole table, and the rows that a verified drop keeps."""
+    df = adults_clean(spark, sf_dir)
+    n = profile.total_missing(df, ["hours_per_week", *ADULT_STRINGS])
+    _, counts = clean.drop_missing_verified(df)
+    return files.literal_rows(spark, [(n, counts["n_out"], counts["n_in"])],
+                              "n_missing bigint, n_complete bigint, n_rows bigint")
+
+
+@query("missing_examples", sql("SELECT id, age, occupation FROM adults_clean WHERE occupation IS NULL "
+                               "ORDER BY id LIMIT 5"))
+def q_missing_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows by key where a column is missing (a report of five)."""
+    return profile.missing_examples(adults_clean(spark, sf_dir), "occupation", "id").select("id", "age", "occupation")
+
+
 _FD_SQL = (
     "WITH pairs AS (SELECT DISTINCT c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), "
     "a AS (SELECT c_nationkey, count(*) AS k FROM pairs GROUP BY c_nationkey), "
@@ -357,7 +414,40 @@ def q_impute_grouped_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = adults_clean(spark, sf_dir)
     train = df.filter(md5_bucket("id") < 80)
     model = impute.predictive_grouping(["workclass", "occupation"], ["education_num", "sex"], ADULT_STRINGS).fit(train)
-    return model.transform(df)
+    return impute.fill_verified(model, df, ADULT_STRINGS)
+
+
+_KEYED = ("SELECT o_orderkey, o_orderdate AS day, CASE WHEN o_custkey % 7 = 0 THEN 'NaN'::DOUBLE WHEN o_custkey % 7 = 1 "
+          "THEN NULL ELSE CAST(o_custkey % 7 AS DOUBLE) END AS grp, CASE WHEN o_orderkey % 5 = 0 THEN NULL "
+          "ELSE o_orderpriority END AS target FROM orders")
+
+
+def _keyed_fill_sql(key: str) -> str:
+    # NaN is equal to NaN and NULL to nothing, in both engines.
+    return (f"coalesce(target, (SELECT v FROM m_{key} m WHERE m.k = t.{key}), (SELECT v FROM m_all))")
+
+
+@query("impute_grouped_mode_keys", f"WITH t AS ({_KEYED}), " + ", ".join(
+    f"m_{k} AS (SELECT k, v FROM (SELECT {k} AS k, target AS v, row_number() OVER (PARTITION BY {k} "
+    f"ORDER BY count(*) DESC, target) AS rn FROM t WHERE target IS NOT NULL AND {k} IS NOT NULL GROUP BY {k}, target) "
+    "WHERE rn = 1)" for k in ("day", "grp"))
+    + ", m_all AS (SELECT target AS v FROM t WHERE target IS NOT NULL GROUP BY target ORDER BY count(*) DESC, target "
+      f"LIMIT 1) SELECT o_orderkey, {_keyed_fill_sql('day')} AS by_day, {_keyed_fill_sql('grp')} AS by_grp FROM t")
+def q_impute_grouped_mode_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by a date, and by a number that is sometimes NaN or NULL; one model saved and loaded."""
+    orders = table(spark, sf_dir, "orders")
+    r = F.col("o_custkey") % 7
+    t = orders.select("o_orderkey", F.col("o_orderdate").alias("day"),
+                      F.when(r == 0, F.lit(float("nan"))).when(r != 1, r.cast("double")).alias("grp"),
+                      F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("target"))
+    by_day = impute.GroupedModeImputer(targetCols=["target"], groupCols=["day"]).fit(t)
+    path = scratch_path(spark, "day-modes")
+    by_day.write().overwrite().save(path)
+    by_day = impute.GroupedModeImputerModel.load(path)
+    by_grp = impute.GroupedModeImputer(targetCols=["target"], groupCols=["grp"]).fit(t)
+    day = by_day.transform(t).select("o_orderkey", F.col("target").alias("by_day"))
+    grp = by_grp.transform(t).select("o_orderkey", F.col("target").alias("by_grp"))
+    return day.join(grp, "o_orderkey")
 
 
 _IMPUTE_MEAN_SQL = sql(
@@ -381,7 +471,7 @@ def q_impute_mean_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = adults_clean(spark, sf_dir)
     train = df.filter(md5_bucket("id") < 80)
     model = impute.mean_mode_imputer(["age", "education_num", "hours_per_week"], ADULT_STRINGS).fit(train)
-    out = model.transform(df)
+    out = impute.fill_verified(model, df, ["age", "education_num", "hours_per_week", *ADULT_STRINGS])
     return out.select("id", "age", "workclass", "occupation", "sex", _r("education_num").alias("education_num"),
                       _r("hours_per_week").alias("hours_per_week"), "label")
 
@@ -418,17 +508,37 @@ def q_ordinal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "cut", "color", "clarity", "cut_score", "color_score", "clarity_score")
 
 
+_CUTS = split.cuts(split.TRAIN_VAL_TEST)
+
+
 @query(
     "hash_split",
-    f"SELECT o_orderkey, CASE WHEN {sql_bucket('o_orderkey')} < 60 THEN 'train' "
-    f"WHEN {sql_bucket('o_orderkey')} < 80 THEN 'val' ELSE 'test' END AS split FROM orders",
+    f"SELECT o_orderkey, CASE WHEN {sql_place('o_orderkey')} < {_CUTS[0][2]} THEN 'train' "
+    f"WHEN {sql_place('o_orderkey')} < {_CUTS[1][2]} THEN 'val' ELSE 'test' END AS split FROM orders",
 )
 def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """60/20/20 by md5 bucket of the key (partitioning-independent)."""
+    """60/20/20 by md5 of the key (partitioning-independent)."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     return split.assign_split(orders, "o_orderkey", split.TRAIN_VAL_TEST)
 
 
+_RARE = {"train": 0.996, "test": 0.004}
+_RARE_KEY = "CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderkey END"
+
+
+@query(
+    "split_null_keys",
+    f"SELECT o_orderkey, CASE WHEN {sql_place(f'({_RARE_KEY})')} < {split.cuts(_RARE)[0][2]} THEN 'train' "
+    "ELSE 'test' END AS part FROM orders",
+)
+def q_split_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small part and NULL keys; every row is in exactly one part."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_RARE_KEY).alias("key"))
+    parts = split.hash_split(orders, "key", _RARE)
+    rows = [df.select("o_orderkey", F.lit(name).alias("part")) for name, df in parts.items()]
+    return rows[0].unionByName(rows[1])
+
+
 # ---------------------------------------------------------------------------
 # Feature stages
 # ---------------------------------------------------------------------------
@@ -443,7 +553,7 @@ _INDEX_SQL = (
 def q_string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency-ordered index, ties alphabetical."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return features.string_indexer(["o_orderpriority"]).fit(orders).transform(orders)
+    return features.string_indexer(["o_orderpriority"], suffix="_index").fit(orders).transform(orders)
 
 
 @query("one_hot", _INDEX_SQL + "SELECT o_orderkey, idx AS o_orderpriority_index, "
@@ -452,9 +562,11 @@ def q_string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-hot with the last category dropped (5 levels -> 4 columns)."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    idx = features.string_indexer(["o_orderpriority"], handle_invalid="error").fit(orders).transform(orders)
-    enc = features.one_hot(["o_orderpriority"], handle_invalid="error").fit(idx).transform(idx)
-    return features.flatten_vector(enc, "o_orderpriority_vec", [f"oh_{j}" for j in range(4)],
+    idx = features.string_indexer(["o_orderpriority"], suffix="_index", handle_invalid="error").fit(orders)
+    idx = idx.transform(orders)
+    enc = features.one_hot(["o_orderpriority"], in_suffix="_index", out_suffix="_oh", handle_invalid="error")
+    enc = enc.fit(idx).transform(idx)
+    return features.flatten_vector(enc, "o_orderpriority_oh", [f"oh_{j}" for j in range(4)],
                                    keep=["o_orderkey", "o_orderpriority_index"])
 
 
@@ -533,7 +645,7 @@ def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_log_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log of the target and back."""
     df = gems_valid(spark, sf_dir).select("id", "price")
-    lg = features.LogLabel(inputCol="price", outputCol="log_price").transform(df).filter(F.col("log_price").isNotNull())
+    lg = df.withColumn("log_price", features.log_label("price")).filter(F.col("log_price").isNotNull())
     return lg.select("id", "price", _r("log_price").alias("log_price"), _r(F.exp("log_price"), 4).alias("price_back"))
 
 
@@ -573,7 +685,8 @@ _REPORT_SQL = sql(
     "round(sum(prec * n_label) / sum(n_label), 6) AS weighted_precision, "
     "round(sum(rec * n_label) / sum(n_label), 6) AS weighted_recall, "
     "round(sum(f1c * n_label) / sum(n_label), 6) AS f1, round((SELECT auc FROM auc), 6) AS auc, "
-    "(SELECT count(*) FROM p) AS n_in, CAST(sum(n_label) AS BIGINT) AS n_scored FROM pc",
+    "(SELECT count(*) FROM p) AS n_in, CAST(sum(n_label) AS BIGINT) AS n_scored, "
+    "(SELECT count(*) FROM p WHERE label IS NOT NULL AND score IS NOT NULL) AS n_auc FROM pc",
     _SCORED_CTE,
     ("cm", "SELECT label AS y, prediction AS pr, count(*) AS n FROM p "
            "WHERE label IS NOT NULL AND prediction IS NOT NULL GROUP BY 1, 2"),
@@ -593,7 +706,7 @@ def q_classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     deterministic score, with rows in / scored."""
     r = evaluate.classification_report(_scored(spark, sf_dir), "label", "prediction", "score")
     return r.select(*[_r(c).alias(c) for c in ["accuracy", "weighted_precision", "weighted_recall", "f1", "auc"]],
-                    "n_in", "n_scored")
+                    "n_in", "n_scored", "n_auc")
 
 
 @query("auc_roc", sql(
@@ -635,11 +748,11 @@ def q_regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("worst_residuals", sql(
     "SELECT id, cut, carat, price, prediction, round(price - prediction, 6) AS error, "
-    "round(abs(price - prediction), 6) AS abs_error FROM gp ORDER BY abs(price - prediction) DESC, id LIMIT 20",
+    "round(abs(price - prediction), 6) AS abs_error FROM gp",
     ("gp", f"SELECT *, {_GEM_PRED} AS prediction FROM gems_valid"),
 ))
 def q_worst_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty largest absolute errors (a top-k report)."""
-    w = evaluate.worst_residuals(_gems_pred(spark, sf_dir), "price", "prediction", "id", 20, keep=["cut", "carat"])
+    """Every row's error, the largest first."""
+    w = evaluate.worst_residuals(_gems_pred(spark, sf_dir), "price", "prediction", "id", keep=["cut", "carat"])
     return w.select("id", "cut", "carat", "price", "prediction", _r("error").alias("error"),
                     _r("abs_error").alias("abs_error"))

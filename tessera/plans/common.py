@@ -40,6 +40,11 @@ def sql_bucket(key: str) -> str:
     return f"((('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8))::BIGINT) % 100)"
 
 
+def sql_place(key: str) -> str:
+    """DuckDB form of ``functions.md5_head``: the place of a key among 2^32."""
+    return f"(('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), '<null>')), 1, 8))::BIGINT)"
+
+
 def _sentinel_sql(c: str) -> str:
     return f"CASE WHEN trim({c}) IN ('?', '') THEN NULL ELSE trim({c}) END AS {c}"
 

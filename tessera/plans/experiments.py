@@ -2,8 +2,9 @@
 tracked training runs (M14) and the run log (K1-K5).
 
 The run log replaces the tracking server: an append-only Parquet table
-``(run_id, ts, kind, key, value)`` partitioned by ``run_id`` under the shared
-checkpoint folder; ``compare_runs`` pivots it into one row per run.
+``(run_id, ts, kind, key, value)`` partitioned by ``run_id`` in a folder that the
+caller names, with the saved models beside it, so runs of other sessions are there to
+compare; ``compare_runs`` pivots it into one row per run.
 Training inputs are persisted (MEMORY_AND_DISK) around the model loop and
 released in ``finally``; if an executor is lost, the cached blocks are
 recomputed from the lineage.
@@ -21,8 +22,8 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate, interpret
-from tessera.session import checkpoint_dir, scratch_path
+from tessera.operators import evaluate, features, interpret
+from tessera.session import checkpoint_dir
 from tessera.sources.files import literal_rows
 from tessera.sources.models import save_model
 
@@ -57,10 +58,15 @@ def fit(pipeline: Pipeline, train: DataFrame):
         cached.unpersist()
 
 
-def fit_and_report(pipeline: Pipeline, train: DataFrame, test: DataFrame, task: str, label: str):
-    """(fitted model, one-row report of the model on ``test``)."""
+def fit_and_report(pipeline: Pipeline, train: DataFrame, test: DataFrame, task: str, label: str,
+                   n_in: int | None = None):
+    """(fitted model, one-row report of the model on ``test``).
+
+    ``n_in`` of the report is the number of rows before any was dropped: the caller's
+    count, or else those of ``test`` (a stage that skips rows then shows in ``n_scored``)."""
     model = fit(pipeline, train)
-    return model, _report(model.transform(test), task, label)
+    n_in = test.count() if n_in is None else n_in
+    return model, _report(model.transform(test), task, label).withColumn("n_in", F.lit(int(n_in)).cast("bigint"))
 
 
 def compare_models(
@@ -72,12 +78,15 @@ def compare_models(
     task: str = "classification",
     label: str = "label",
     sort_by: str | None = None,
+    n_in: int | None = None,
 ) -> DataFrame:
     """Fit the preprocessing once on ``train``, fit every estimator on the
     prepared train set, score ``val``; one report row per model, best first.
     Only the report rows (one per model) reach the driver."""
     checkpoint_dir(spark)
+    n_val = val.count() if n_in is None else n_in
     prep_model = fit(prep, train)
+    features.check_levels(prep_model)
     tr = prep_model.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     va = prep_model.transform(val).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
@@ -85,7 +94,7 @@ def compare_models(
         for name, est in estimators.items():
             model = est.fit(tr)
             rep = _report(model.transform(va), task, label).first().asDict()
-            rows.append({"model": name, **rep})
+            rows.append({"model": name, **rep, "n_in": n_val})
     finally:
         tr.unpersist()
         va.unpersist()
@@ -103,25 +112,23 @@ def compare_imputers(
     label: str = "label",
 ) -> DataFrame:
     """Each imputation strategy is fitted on ``train`` only and applied to
-    both parts (no statistics from ``val``, trap T-4); same features and model."""
-    rows = []
+    both parts (no statistics from ``val``, trap T-4); same features and model.
+    ``n_in`` is the rows of ``val`` before the strategy, ``n_scored`` those it left: a
+    strategy that drops rows is scored on fewer."""
+    rows, n_val = [], val.count()
     for name, strategy in strategies.items():
         imp = fit(strategy, train)
         tr, va = imp.transform(train), imp.transform(val)
         pipe = Pipeline(stages=[*prep.getStages(), estimator])
-        _, rep = fit_and_report(pipe, tr, va, "classification", label)
+        _, rep = fit_and_report(pipe, tr, va, "classification", label, n_val)
         rows.append({"strategy": name, **rep.first().asDict()})
     return _report_table(spark, "strategy", rows).orderBy(F.desc_nulls_last("auc"), F.asc("strategy"))
 
 
 # Run log ------------------------------------------------------------------------
-def runs_path(spark: SparkSession) -> str:
-    return checkpoint_dir(spark).rstrip("/") + "/tessera/runs"
-
-
 def log_run(spark: SparkSession, path: str, run_id: str, params: Mapping[str, Any], metrics: Mapping[str, Any],
             artifacts: Mapping[str, str]) -> None:
-    """K1-K3: append one run's params, metrics and artifact locations."""
+    """K1-K3: append one run's params, metrics and artifact locations to the log at ``path``."""
     rows = [(run_id, "param", k, str(v)) for k, v in params.items()]
     rows += [(run_id, "metric", k, repr(float(v)) if v is not None else None) for k, v in metrics.items()]
     rows += [(run_id, "artifact", k, v) for k, v in artifacts.items()]
@@ -131,55 +138,72 @@ def log_run(spark: SparkSession, path: str, run_id: str, params: Mapping[str, An
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(RUNS_SCHEMA).parquet(path)
 
 
-def compare_runs(runs: DataFrame, order_metric: str | None = None) -> DataFrame:
-    """K4: one row per run; columns ``<kind>_<key>`` (pivot over the log)."""
-    wide = runs.withColumn("name", F.concat_ws("_", "kind", "key")).groupBy("run_id").pivot("name").agg(
-        F.first("value"))
-    if order_metric and f"metric_{order_metric}" in wide.columns:
+def compare_runs(runs: DataFrame, params: Sequence[str] = (), metrics: Sequence[str] = (),
+                 artifacts: Sequence[str] = (), order_metric: str | None = None) -> DataFrame:
+    """K4: one row per run; columns ``<kind>_<key>`` for the named keys (NULL where a run lacks one)."""
+    keys = [("param", k) for k in params] + [("metric", k) for k in metrics] + [("artifact", k) for k in artifacts]
+    names = [f"{kind}_{k}" for kind, k in keys]
+    wide = runs.withColumn("name", F.concat_ws("_", "kind", "key")).groupBy("run_id").pivot("name", names).agg(
+        F.max("value"))
+    if order_metric:
         wide = wide.orderBy(F.col(f"metric_{order_metric}").cast("double").desc_nulls_last(), "run_id")
     return wide
 
 
+def estimator_params(est, names: Sequence[str]) -> dict[str, Any]:
+    """The settings of an estimator as it will be fitted."""
+    return {n: est.getOrDefault(n) for n in names}
+
+
 def tracked_run(
     spark: SparkSession,
     pipeline: Pipeline,
     train: DataFrame,
     test: DataFrame,
     params: Mapping[str, Any],
+    path: str,
     task: str = "classification",
     label: str = "label",
     importance_names: Sequence[str] | None = None,
-    path: str | None = None,
     on_error: str = "raise",
+    n_in: int | None = None,
 ) -> str:
     """Fit, save the model, score, log params/metrics/artifacts; returns the run id.
 
-    ``on_error="warn"`` records failed saves as an ``artifact`` with status
+    The log is the folder ``path/log``, models and importance tables lie in
+    ``path/artifacts``: a durable folder of the caller's. ``on_error="warn"`` records a
+    failed save of either as an artifact ``<name>_error`` with the whole message
     instead of raising (K5)."""
     run_id = uuid.uuid4().hex
-    path = path or runs_path(spark)
+    base = f"{path.rstrip('/')}/artifacts/{run_id}"
     model = fit(pipeline, train)
     artifacts: dict[str, str] = {}
-    uri = scratch_path(spark, f"model-{run_id}")
-    try:
-        save_model(model, uri)
-        artifacts["model"] = uri
-    except Exception as exc:  # noqa: BLE001 - K5: policy decides
-        if on_error == "raise":
-            raise
-        warnings.warn(f"model save failed: {exc}")
-        artifacts["model_error"] = str(exc)[:500]
-    pred = model.transform(test)
-    rep = _report(pred, task, label).first().asDict()
+
+    def attempt(name: str, save) -> None:
+        uri = f"{base}/{name}"
+        try:
+            save(uri)
+            artifacts[name] = uri
+        except Exception as exc:  # noqa: BLE001 - K5: policy decides
+            if on_error == "raise":
+                raise
+            warnings.warn(f"{name} save failed: {exc}")
+            artifacts[f"{name}_error"] = str(exc)
+
+    attempt("model", lambda uri: save_model(model, uri))
+    n_in = test.count() if n_in is None else n_in
+    rep = _report(model.transform(test), task, label).first().asDict() | {"n_in": n_in}
     metrics = {k: v for k, v in rep.items() if not k.startswith("n_")}
     metrics.update({k: v for k, v in rep.items() if k.startswith("n_")})
     if importance_names is not None:
-        imp = interpret.importance(spark, model.stages[-1], importance_names)
-        imp_uri = scratch_path(spark, f"importance-{run_id}")
-        imp.write.mode("overwrite").parquet(imp_uri)
-        artifacts["importance"] = imp_uri
-    log_run(spark, path, run_id, params, metrics, artifacts)
+        attempt("importance", lambda uri: interpret.importance(
+            spark, model.stages[-1], importance_names).write.mode("overwrite").parquet(uri))
+    log_run(spark, log_path(path), run_id, params, metrics, artifacts)
     return run_id
+
+
+def log_path(path: str) -> str:
+    return f"{path.rstrip('/')}/log"

@@ -2,14 +2,14 @@
 
 Everything that writes intermediate data (CSV round trips, saved models,
 the run log) goes under the shared folder named by ``spark.checkpoint.dir``.
-The setting is read from the running session; a folder of our own is only
-created when it is unset *and* the master is local (tests, laptops).
+The setting is read from the running session. Only where it is unset *and* the
+master is local, a folder beside the session's warehouse takes its place (tests may
+name another in ``TESSERA_LOCAL_CHECKPOINT_DIR``); a cluster must set it.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -44,8 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     Order: the SparkContext's checkpoint dir, then the ``spark.checkpoint.dir``
-    setting. Only when both are unset and the master is local do we create a
-    folder of our own (and register it), as tests do.
+    setting. Only when both are unset and the master is local another folder is
+    registered.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -54,12 +54,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if d:
             sc.setCheckpointDir(d)
             d = sc.getCheckpointDir() or d
-    if not d:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder every executor can reach")
-        d = os.environ.get(_LOCAL_CKPT_ENV) or tempfile.mkdtemp(prefix="tessera-ckpt-")
+    if not d and sc.master.startswith("local") and (d := os.environ.get(_LOCAL_CKPT_ENV)):
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
+    if not d and sc.master.startswith("local"):
+        # One machine, one process: nothing to share. A cluster must name its folder.
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+        d = sc.getCheckpointDir()
+    if not d:
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder every executor can reach")
     return d
 
 
@@ -67,28 +70,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tessera/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def scale_settings(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """SQL settings for a cluster run, sized from the input volume.
-
-    About ``partition_bytes`` per scan split and per shuffle partition (AQE
-    coalesces small ones and splits skewed ones at run time); at least two
-    tasks per core. At 100 TB and 256 MB that is ~400k shuffle partitions.
-    """
-    shuffle = max(2 * int(total_cores), int(input_bytes) // int(partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(shuffle),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
-    }
-
-
-def apply_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    return spark

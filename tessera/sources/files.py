@@ -4,52 +4,22 @@ S1/S2: ``read_csv`` takes an explicit ``StructType`` first; schema inference is
 only a fallback because it costs one extra pass over the files.
 S3/S4: ``name_columns`` renames positional ``_c0.._cN`` columns in one
 projection instead of a chain of ``withColumnRenamed`` calls.
-S5: ``literal_rows`` builds a small DataFrame from Python tuples and a typed schema.
+S5: ``literal_rows`` builds a small DataFrame from Python tuples and a typed schema; values must fit it.
 S6: ``preview`` is a bounded ``limit``; nothing unbounded is brought to the driver.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-
-# A scan split smaller than this is not worth its own task.
-MIN_SPLIT_BYTES = 256 << 10
-
-
-def _planned_bytes(df: DataFrame) -> int | None:
-    """Size estimate of a scan from file statistics (no job); None if unknown."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics are an optimisation only
-        return None
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
-    """One of the driver's Parquet tables (filters and projections push down to the scan).
-
-    A scan gets one task per file split; a small single-row-group file is one
-    task, and everything up to the first shuffle (including cached ML training
-    input) would then run on one core. Such a scan is spread round-robin to
-    ``min(default parallelism, bytes / 256 KB)`` partitions: dimension tables
-    of a few KB stay in one partition, and inputs large enough to have many
-    splits already (any real cluster input) are left as they are.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if min_partitions is None:
-        size = _planned_bytes(df)
-        cap = spark.sparkContext.defaultParallelism
-        target = cap if size is None else min(cap, max(1, size // MIN_SPLIT_BYTES))
-    else:
-        target = int(min_partitions)
-    if target > 1 and df.rdd.getNumPartitions() < target:
-        df = df.repartition(target)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's Parquet tables (filters and projections push down to the scan)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def read_csv(
@@ -96,24 +66,21 @@ def write_csv(df: DataFrame, path: str, header: bool = False, sep: str = ",") ->
     return path
 
 
-def _json_value(v):
-    if isinstance(v, float) and v != v:
-        return None
-    return v
-
-
 def literal_rows(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType | str) -> DataFrame:
     """A small DataFrame from literal tuples with an explicit schema.
 
-    Built in the JVM from one JSON literal (``from_json`` + ``explode``), so
-    no Python worker is started to deserialise pickled rows on the executors.
+    The rows become an Arrow table of exactly these types (dates, timestamps and
+    decimals included; a value that does not fit its type is an error), which
+    Spark holds as a local relation: no Python worker is started to read it.
     Meant for driver-side values of bounded size (a what-if row, a report).
     """
     st = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    names = st.fieldNames()
-    records = [dict(zip(names, [_json_value(v) for v in r])) for r in rows]
-    parsed = F.from_json(F.lit(json.dumps(records)), T.ArrayType(st))
-    return spark.range(1).select(F.explode(parsed).alias("r")).select("r.*")
+    arrow = to_arrow_schema(st)
+    columns = list(zip(*rows)) or [()] * len(st)
+    if len(columns) != len(st):
+        raise ValueError(f"rows of {len(columns)} values for {len(st)} columns")
+    table = pa.Table.from_arrays([pa.array(list(c)).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema=st)
 
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.session import scratch_path
-
 
 def score_stream(model: PipelineModel, stream: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """``model.transform`` on a streaming DataFrame; optionally keep only some columns."""
@@ -17,12 +15,9 @@ def score_stream(model: PipelineModel, stream: DataFrame, keep: Sequence[str] |
     return out.select(*keep) if keep else out
 
 
-def start_scoring(model: PipelineModel, stream: DataFrame, sink_path: str | None = None,
-                  keep: Sequence[str] | None = None, checkpoint: str | None = None) -> StreamingQuery:
-    """Append scored rows to Parquet; the stream's checkpoint lives in the shared folder."""
-    spark = stream.sparkSession
-    sink_path = sink_path or scratch_path(spark, "scored")
-    checkpoint = checkpoint or scratch_path(spark, "scoring-checkpoint")
+def start_scoring(model: PipelineModel, stream: DataFrame, sink_path: str, checkpoint: str,
+                  keep: Sequence[str] | None = None) -> StreamingQuery:
+    """Append scored rows to Parquet. A restart with the same ``checkpoint`` goes on where the last ended."""
     return (
         score_stream(model, stream, keep)
         .writeStream.format("parquet")

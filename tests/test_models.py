@@ -42,7 +42,8 @@ def test_importance_is_folded_and_normalised(spark):
 
 def test_run_log_round_trip(spark):
     r = q("run_log")(spark, SF_SMALL).first().asDict()
-    assert r["param_model_type"] == "RandomForest" and r["param_num_trees"] == "10"
+    assert r["param_model"] == "RandomForestClassifier" and r["param_numTrees"] == "10"
+    assert float(r["metric_n_in"]) > float(r["metric_n_scored"]) > 0
     assert float(r["metric_auc"]) > 0.8
     assert r["artifact_model"] and r["artifact_importance"]
 
@@ -64,11 +65,59 @@ def test_failed_model_save_is_recorded_with_warn_policy(spark, monkeypatch):
     pipe = Pipeline(stages=[*gems_stages(), models.regressor("linear")])
     path = scratch_path(spark, "runs-k5")
     with pytest.raises(OSError):
-        experiments.tracked_run(spark, pipe, p["train"], p["test"], {"m": "lr"}, "regression", "price", path=path)
-    run = experiments.tracked_run(spark, pipe, p["train"], p["test"], {"m": "lr"}, "regression", "price",
-                                  path=path, on_error="warn")
-    row = experiments.compare_runs(experiments.read_runs(spark, path)).filter(f"run_id = '{run}'").first()
-    assert "disk full" in row["artifact_model_error"] and float(row["metric_r2"]) > 0.5
+        experiments.tracked_run(spark, pipe, p["train"], p["test"], {"m": "lr"}, path, "regression", "price")
+    # Both the model and the importance table fail: the run goes on and says so.
+    run = experiments.tracked_run(spark, pipe, p["train"], p["test"], {"m": "lr"}, path, "regression", "price",
+                                  importance_names=["too", "few"], on_error="warn")
+    runs = experiments.read_runs(spark, experiments.log_path(path))
+    row = experiments.compare_runs(runs, ["m"], ["r2"], ["model_error", "importance_error"]).filter(
+        f"run_id = '{run}'").first()
+    assert "disk full" in row["artifact_model_error"] and "importances" in row["artifact_importance_error"]
+    assert float(row["metric_r2"]) > 0.5
+
+
+def test_run_log_collects_runs_of_several_sessions(spark, tmp_path):
+    from tessera.plans import experiments
+
+    path = str(tmp_path / "runs")
+    experiments.log_run(spark, path, "a", {"d": 1}, {"auc": 0.5}, {})
+    other = spark.newSession()
+    experiments.log_run(other, path, "b", {"d": 2}, {"auc": 0.75}, {})
+    rows = experiments.compare_runs(experiments.read_runs(other, path), ["d"], ["auc"], order_metric="auc").collect()
+    assert [(r.run_id, r.param_d) for r in rows] == [("b", "2"), ("a", "1")]
+
+
+def test_cross_validation_does_not_depend_on_partitioning(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from tessera.operators import models
+    from tessera.plans.training import gems_parts, gems_stages
+
+    train = gems_parts(spark, SF_SMALL)["train"]
+    lr = models.regressor("linear")
+    cv = models.cross_validator(Pipeline(stages=[*gems_stages(), lr]), {lr.regParam: [0.0, 0.1]},
+                                RegressionEvaluator(labelCol="price", metricName="rmse"), task="regression")
+    scores = [cv.fit(models.with_folds(train.repartition(n), "id")).avgMetrics for n in (3, 7)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-9)
+
+
+@pytest.mark.parametrize("name,least", [("random_forest", 0.85), ("factorization_machine", 0.6)])
+def test_heavy_classifier_quality(spark, name, least):
+    r = q(f"train_{name}_classifier")(spark, SF_SMALL).first()
+    assert r.auc > least and r.n_in > r.n_scored > 0
+
+
+@pytest.mark.parametrize("name", ["random_forest", "gbt"])
+def test_tree_regressor_quality(spark, name):
+    r = q(f"train_{name}_regressor")(spark, SF_SMALL).first()
+    assert r.r2 > 0.85
+
+
+def test_cross_validation_and_final_test(spark):
+    rows = q("cross_validation")(spark, SF_SMALL).collect()
+    assert len(rows) == 3 and rows[0].avg_rmse <= rows[-1].avg_rmse
+    assert q("final_test")(spark, SF_SMALL).first().auc > 0.85
 
 
 def test_leaderboard_ranks_all_models_by_auc(spark):

@@ -2,11 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as E
 from _oracle import canonical, connect
 from conftest import SF_SMALL
+from tessera.plans import catalog
+from tessera.plans import training  # noqa: F401 - registers the model queries
 
-ORACLES = E.oracle_sql()
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +16,12 @@ def con():
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(E.queries())
+    assert set(ORACLES) <= set(catalog.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
     rel = con.sql(ORACLES[name])
     ocols, orows = rel.columns, rel.fetchall()

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -59,6 +60,10 @@ cats = st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"]))
 @given(st.lists(st.tuples(cats, cats), min_size=1, max_size=40))
 def test_mode_imputer_fills_only_missing(spark, rows):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, u string, v string")
+    if any(all(r[j] is None for r in rows) for j in (0, 1)):
+        with pytest.raises(impute.NoModeError):  # nothing to fill with
+            impute.ModeImputer(inputCols=["u", "v"]).fit(df)
+        return
     out = impute.ModeImputer(inputCols=["u", "v"]).fit(df).transform(df)
     got = {r.id: r for r in out.collect()}
     for i, (u, v) in enumerate(rows):
@@ -104,11 +109,10 @@ def test_exact_quantiles_equal_numpy_linear(spark, xs):
                 min_size=1, max_size=60, unique_by=lambda t: (t[0], t[1])))
 def test_prefix_sums_equal_bruteforce(spark, rows):
     df = spark.createDataFrame(rows, "g string, k int, w int").withColumn("w", F.col("w").cast("bigint"))
-    ranked = prefix.prefix_sums(df, "k", ["w"], ["g"], n_buckets=4, rows_per_bucket=3)
+    ranked = prefix.prefix_sums(df, "k", ["w"], ["g"], ranges=4)
     got = {(r.g, r.k): r.w_before for r in ranked.collect()}
-    glob = {r.k: r.w_before for r in prefix.prefix_sums(df.filter("g = 'g1'"), "k", ["w"], n_buckets=8,
-                                                          rows_per_bucket=2).collect()}
-    single = {r.k: r.w_before for r in prefix.prefix_sums(df.filter("g = 'g1'"), "k", ["w"]).collect()}
+    glob = {r.k: r.w_before for r in prefix.prefix_sums(df.filter("g = 'g1'"), "k", ["w"], ranges=8).collect()}
+    single = {r.k: r.w_before for r in prefix.prefix_sums(df.filter("g = 'g1'"), "k", ["w"], ranges=1).collect()}
     for k, before in glob.items():
         assert before == got[("g1", k)] == single[k]
     for g, k, _ in rows:

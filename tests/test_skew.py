@@ -16,28 +16,29 @@ def _skewed(spark):
     return orders.select("o_orderkey", hot.cast("int").alias("k"), "o_orderpriority", "o_orderstatus")
 
 
-def test_salted_join_spreads_hot_key(spark):
-    big = _skewed(spark)
-    lookup = big.select("k").distinct().withColumn("tag", F.concat(F.lit("t"), F.col("k").cast("string")))
-    n_lookup = lookup.count()
-    # The salted path is for lookup tables too large to broadcast: force the
-    # shuffle join (and keep AQE from re-planning it) to see the hot key spread.
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_hot_key_is_split_by_the_join(spark):
+    """Beyond the broadcast threshold AQE splits a hot partition by its blocks, whatever its rows hold."""
+    keep = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    old = {k: spark.conf.get(k, None) for k in keep}
+    for k, v in keep.items():
+        spark.conf.set(k, v)
     try:
-        salted = lookup_join(big, lookup, ["k"], n_lookup, broadcast_rows=0, salts=8)
-        parts = salted.filter("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
-        unsalted = big.join(lookup, "k", "left").filter("k = 0").select(F.spark_partition_id()).distinct().count()
+        # Many tasks before the shuffle: a partition is split between their blocks.
+        rows = spark.range(0, 60_000, 1, 40).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).cast("int").alias("k"),
+            F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        lookup = spark.range(500).select(F.col("id").cast("int").alias("k"), F.concat(F.lit("t"), "id").alias("tag"))
+        out = lookup_join(rows, lookup.repartition(3), ["k"])
+        joined = out.select("k", "v", "tag", F.spark_partition_id().alias("p")).collect()
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert unsalted == 1
-    assert parts >= 4
-    plain = lookup_join(big, lookup, ["k"], n_lookup)
-    a = sorted(map(tuple, salted.collect()))
-    b = sorted(map(tuple, plain.collect()))
-    assert a == b and len(a) == big.count()
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len({r.p for r in joined if r.k == 0}) >= 2
+    assert len(joined) == 60_000 and all(r.tag == f"t{r.k}" for r in joined)
 
 
 def test_group_modes_exact_under_skew(spark):

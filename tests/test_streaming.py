@@ -16,7 +16,7 @@ def test_stream_scoring_equals_batch(spark):
     parts["test"].write.parquet(src)
     stream = spark.readStream.schema(parts["test"].schema).parquet(src)
     sink = scratch_path(spark, "stream-sink")
-    q = start_scoring(model, stream, sink, keep=["id", "prediction"])
+    q = start_scoring(model, stream, sink, scratch_path(spark, "stream-checkpoint"), keep=["id", "prediction"])
     q.processAllAvailable()
     q.stop()
     got = {r.id: r.prediction for r in spark.read.parquet(sink).collect()}

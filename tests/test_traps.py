@@ -71,10 +71,25 @@ def test_t16_seed_is_always_set():
 
 
 def test_t21_max_bins_follow_category_count(spark):
-    df = spark.createDataFrame([(str(i),) for i in range(60)], "c string")
-    need = features.max_category_count(df, ["c"])
-    est = models.with_min_bins(models.classifier("random_forest", maxBins=32), need)
-    assert est.getOrDefault("maxBins") >= 60
+    from pyspark.ml import Pipeline
+
+    n = 5000
+    df = spark.range(n).select(F.col("id").cast("string").alias("c"), (F.col("id") % 2).cast("double").alias("label"))
+    prep = features.indexed(["c"], [], handle_invalid="error").fit(df)
+    assert features.category_counts(prep) == {"c": n}
+    est = models.with_min_bins(models.classifier("random_forest", maxBins=32, numTrees=1, maxDepth=2),
+                               max(features.category_counts(prep).values()))
+    assert est.getOrDefault("maxBins") == n
+    Pipeline(stages=[est]).fit(prep.transform(df))  # with one bin less the tree refuses
+
+
+def test_one_category_column_is_named(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "x")], "c string, d string")
+    prep = features.string_indexer(["c", "d"], handle_invalid="error")
+    from pyspark.ml import Pipeline
+
+    with pytest.raises(ValueError, match="'d'"):
+        features.check_levels(Pipeline(stages=[prep]).fit(df))
 
 
 def test_t23_constant_column_correlation_is_null(spark):
@@ -84,6 +99,76 @@ def test_t23_constant_column_correlation_is_null(spark):
     assert rows[0].corr is None
 
 
+def test_correlation_uses_complete_pairs_only(spark):
+    rows = [(1.0, 1.0), (2.0, 2.0), (9.0, 9.0)] + [(5.0, None)] * 4 + [(float("nan"), 3.0)]
+    df = spark.createDataFrame(rows, "a double, `b.c` double")
+    assert abs(profile.correlations(df, "a", ["b.c"]).first()["corr"] - 1.0) < 1e-12
+    assert {r["column"]: r.n_missing for r in profile.missing_profile(df).collect()} == {"a": 1, "b.c": 4}
+
+
+def test_summary_keeps_small_values_and_empty_columns(spark):
+    df = spark.createDataFrame([(1e-7, None), (2e-7, None), (float("nan"), None)], "v double, e double")
+    rows = {r["column"]: r for r in profile.summary_exact(df).collect()}
+    assert abs(rows["v"]["mean"] - 1.5e-7) < 1e-20 and rows["v"].n == 2 and rows["v"]["max"] == 2e-7
+    assert rows["e"].n == 0 and rows["e"]["mean"] is None and rows["e"].p50 is None
+    assert {r["column"]: r.n for r in profile.modes(df.select("e"), ["e"]).collect()} == {"e": 0}
+
+
+def test_split_covers_null_keys_and_refuses_parts_too_small(spark):
+    from tessera.operators import split
+
+    df = spark.createDataFrame([(None,), (1,), (None,), (2,)], "k int")
+    parts = split.hash_split(df, "k", {"a": 0.5, "b": 0.5})
+    assert sum(p.count() for p in parts.values()) == 4
+    with pytest.raises(ValueError):
+        split.cuts({"a": 1.0, "b": 1e-12, "c": 1.0})
+
+
+def test_literal_rows_refuse_values_of_another_type(spark):
+    from tessera.sources.files import literal_rows
+
+    with pytest.raises(Exception):
+        literal_rows(spark, [(3.7,)], "a int")
+
+
+def test_all_null_string_column_is_an_error(spark):
+    df = spark.createDataFrame([("a", None)], "x string, y string")
+    with pytest.raises(impute.NoModeError):
+        impute.ModeImputer(inputCols=["x", "y"]).fit(df)
+
+
+def test_verified_steps_raise_when_cells_stay_missing(spark):
+    df = spark.createDataFrame([("a", None), ("b", "y")], "x string, y string")
+    model = impute.ModeImputer(inputCols=["x"]).fit(df)
+    assert impute.fill_verified(model, df, ["x"]).count() == 2
+    with pytest.raises(profile.MissingCellsError):
+        impute.fill_verified(model, df, ["x", "y"])
+    kept, counts = clean.drop_missing_verified(df)
+    assert kept.count() == 1 and counts == {"n_in": 2, "n_out": 1, "n_dropped": 1}
+    good, bad, n = clean.split_valid_checked(df, F.col("y").isNotNull())
+    assert (good.count(), bad.count(), n["n_rows"]) == (1, 1, 2)
+
+
+def test_auc_refuses_scores_of_more_than_two_classes(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from tessera.operators import evaluate
+
+    df = spark.createDataFrame([(1.0, Vectors.dense([0.1, 0.2, 0.7])), (0.0, Vectors.dense([0.5, 0.2, 0.3]))],
+                               ["label", "rawPrediction"])
+    with pytest.raises(Exception, match="2 elements"):
+        evaluate.auc_roc(df).collect()
+
+
+def test_rows_without_a_score_are_counted(spark):
+    from tessera.operators import evaluate
+
+    df = spark.createDataFrame([(1.0, 1.0, 0.9), (0.0, 0.0, 0.1), (1.0, 1.0, float("nan"))],
+                               "label double, prediction double, rawPrediction double")
+    r = evaluate.classification_report(df).first()
+    assert (r.n_in, r.n_scored, r.n_auc, r.auc) == (3, 3, 2, 1.0)
+
+
 def test_grouped_mode_null_group_falls_back_to_global(spark):
     """T-8: NULL group keys never match; the global mode fills them."""
     df = spark.createDataFrame(
