@@ -73,9 +73,7 @@ SAMPLES = 2
 def op2_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best sampled segmentations of every document without replacement, with inclusion scores,
     and what they decode to."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    encoded = sp_sampling.encode(table(spark, sf_dir, "documents"), path, SAMPLES)
-    return sp_sampling.digests(encoded, path)
+    return sp_sampling.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), SAMPLES)
 
 
 # -- 3: WARC ----------------------------------------------------------------
@@ -157,16 +155,13 @@ def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANGUAGES = ("en", "de", "fr", "es")
 
 
-def identified(docs: DataFrame, **options) -> DataFrame:
-    """Documents with their language: ``lang`` is the declaration, ``source`` the host."""
-    model = language_id.train(docs, LANGUAGES)
-    return language_id.identify(docs, model, declared=F.col("lang"), host=F.col("source"), **options)
-
-
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, its probability, and whether the document is accepted."""
-    return identified(table(spark, sf_dir, "documents"), carry=["doc_id", "lang"])
+    """The language of every document, its probability, and whether the document is accepted
+    (``lang`` is the declaration, ``source`` the host)."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, LANGUAGES)
+    return language_id.identify(docs, model, declared=F.col("lang"), host=F.col("source"), carry=["doc_id", "lang"])
 
 
 # -- 8: sharding ------------------------------------------------------------
