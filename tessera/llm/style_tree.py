@@ -18,7 +18,7 @@ are broadcast as one array of hashes of host and node in groups of hosts of at m
 
 Edge cases: a null or empty page has the empty text; a null url is the host ``""``; a
 host of few pages has no entropy to go by, so only declared roles count; if removal
-would leave nothing of a page, the undeclared blocks stay; repeated pages are each
+would leave nothing of a page, or less than half of a declared article, they stay; repeated pages are each
 extracted; an empty table gives no rows; texts are neither cut nor dropped by size.
 Added columns are ``text, n_chars``; input columns of those names are replaced.
 """
@@ -37,6 +37,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessera.llm.dom import Block, read_page
 from tessera.llm.host_reputation import host_of
+from tessera.llm.shield import inner, restored, shielded
 from tessera.llm.store import stored
 
 MIN_PAGES = 10
@@ -129,14 +130,15 @@ def low_nodes(tree: DataFrame, least: float = LEAST, links: float = LINKS) -> Da
 
 
 def main_text(blocks: list[Block], low) -> str:
-    """The page's blocks that stay; ``low(node)`` tells which branches go."""
+    """The page's blocks that stay, with an empty line between them; ``low(node)`` tells which branches go."""
     stay = [b for b in blocks if not b.noise]
     if any(b.main for b in stay):
         stay = [b for b in stay if b.main]
     important = [b for b in stay if not any(map(low, b.chain))]
-    if 2 * sum(len(b.text) for b in important) < sum(len(b.text) for b in stay):
-        important = stay  # the branch with most of the article is never noise
-    return "\n".join(b.text for b in important)
+    least = sum(len(b.text) for b in stay) / 2 if any(b.main for b in stay) else 1
+    if sum(len(b.text) for b in important) < least:
+        important = stay  # most of a declared article, or all of a page, is never noise
+    return "\n\n".join(b.text for b in important)
 
 
 def _node_key(host: str, node: int) -> int:
@@ -175,17 +177,19 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", carry:
     spark = pages.sparkSession
     wanted = [c for c in pages.columns if c != html] if carry is None else carry
     carried = [c for c in wanted if c not in ("text", "n_chars")]
-    rows = pages.select(*carried, F.coalesce(host_of(F.col(url)), F.lit("")).alias("_host"), F.col(html).alias("_html"))
+    rows = pages.select(*shielded(carried), F.coalesce(host_of(F.col(url)), F.lit("")).alias("_host"),
+                        F.col(html).alias("_html"))
     tree = style_tree(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), min_pages, share)
     low = stored(low_nodes(tree, least), "low-nodes")
     groups = max(1, -(-low.count() // MAX_NODES))
-    schema = StructType([rows.schema[c] for c in carried]
+    inside = [inner(i) for i in range(len(carried))]
+    schema = StructType([rows.schema[c] for c in inside]
                         + [StructField("text", StringType()), StructField("n_chars", LongType())])
     out = None
     for g in range(groups):
         mine = rows if groups == 1 else rows.filter(F.pmod(F.xxhash64("_host"), F.lit(groups)) == g)
         nodes = low if groups == 1 else low.filter(F.pmod(F.xxhash64("host"), F.lit(groups)) == g)
         keys = np.array(sorted(_node_key(r["host"], r["node"]) for r in nodes.collect()), np.int64)
-        part = mine.mapInArrow(_extract(spark.sparkContext.broadcast(keys), carried), schema)
+        part = mine.mapInArrow(_extract(spark.sparkContext.broadcast(keys), inside), schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select(*restored(carried), "text", "n_chars")
