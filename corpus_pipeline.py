@@ -20,20 +20,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, partenum, queries, sp_sampling
+from tessera.functions.columns import named
+from tessera.llm import decontaminate, language_id, partenum, queries, sp_sampling
 from tessera.llm.store import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = queries.identified(docs.select(*docs.columns))
-    return judged.filter("accepted").select(*docs.columns)
+    model = language_id.train(docs, queries.LANGUAGES)
+    return language_id.accepted_rows(docs, model, declared="lang", host="source")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = partenum.jaccard_components(docs)
     # Only what goes is looked up: the other members of each component.
     gone = joined.rows.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(stored(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(stored(gone, "near-duplicates"), "doc_id", "left_anti")
+    return left.select(*[named(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

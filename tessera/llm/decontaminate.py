@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textscan
+from tessera.llm.shield import inner, restored, shielded
 
 WINDOW = 13
 _BITS = 22
@@ -176,15 +177,18 @@ def is_contaminated(n_hit: Column, n_words: Column, one_in: int = 20) -> Column:
     return (n_hit > 0) & (n_hit * one_in >= n_words)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the contaminated rows, columns as they were."""
-    judged = judge(docs, benchmark, **options)
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated rows, all columns as they were."""
+    names = docs.columns
+    judged = judge(docs.select(*shielded(names)), benchmark, text=inner(names.index(text)), **options)
+    return judged.filter(~F.col("contaminated")).select(*restored(names))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with every hit span cut out of the text; clean rows stay byte for byte."""
-    judged = judge(docs, benchmark, text=text, **options)
+    names = docs.columns
+    text = inner(names.index(text))
+    judged = judge(docs.select(*shielded(names)), benchmark, text=text, **options)
     raw = F.col(text).cast("binary")
     # The bytes between the spans: from each span's end (or 0) to the next begin (or the end).
     begins = F.concat(F.transform("hit_spans", lambda s: s["begin"]), F.array(F.octet_length(F.col(text)).cast("long")))
@@ -192,4 +196,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
     pieces = F.zip_with(ends, begins, lambda e, b: F.substr(raw, (e + 1).cast("int"), (b - e).cast("int")))
     joined = F.aggregate(pieces, F.lit(b""), lambda acc, p: F.concat(acc, p))
     cut = F.when(F.col("n_hit") > 0, joined.cast("string")).otherwise(F.col(text))
-    return judged.withColumn(text, cut).select(*docs.columns)
+    return judged.withColumn(text, cut).select(*restored(names))

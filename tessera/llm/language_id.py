@@ -2,7 +2,9 @@
 
 Text: a byte 4-gram model for each language, trained on a bounded sample of labelled
 rows (``sample_rows``; chosen by hash, whole texts, copies once), gives every text its mean
-log-likelihood per gram for each language. Declared markup language, address suffix
+log-likelihood per gram for each language. A gram's probability follows from the number of
+training texts that have it, so a text that repeats itself, or is no language at all, has
+little weight. Declared markup language, address suffix
 and host are further evidence. Their weights are learned from the whole table by
 grouped aggregation of what the text alone says: how often each declaration goes with
 each language, and how a host's texts are distributed over the languages, smoothed
@@ -10,9 +12,9 @@ towards its suffix's distribution and that towards the whole table's. The poster
 is the normalised product of the likelihoods and the host's prior.
 
 A row is accepted if it has text, its likeliest language is at least ``least``
-probable, and the text is like that language at all: its mean log-likelihood per gram
-reaches what 99 of 100 training texts of the language reach, less a margin (texts of under
-100 grams are spared this).
+probable, and the text is like that language at all: its mean log-likelihood per gram lies
+above the middle between what 99 of 100 training texts of the language reach and what a
+text of grams never seen in it has (texts of under 100 grams are spared this).
 
 Texts are scored twice, once for the counts and once for the result; between the two
 only the counts by host, suffix and declaration are kept. A host with a third of all
@@ -38,7 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from tessera.functions.columns import named
 from tessera.llm import textscan
+from tessera.llm.shield import inner, restored, shielded
 from tessera.llm.store import stored
 
 GRAM = 4
@@ -46,6 +50,9 @@ BUCKETS = 1 << 16
 SAMPLE_ROWS = 20_000
 #: The text's evidence counts as that of at most so many independent grams.
 EVIDENCE = 40.0
+NEVER = -100.0
+#: From so many training texts on, grams that only one of them has are left out.
+FEW_TEXTS = 20
 STRENGTH = 10.0
 _UP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,6 +118,7 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def _count_grams(languages: Sequence[str]):
+    """Texts of each language that have each bucket."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
@@ -118,9 +126,10 @@ def _count_grams(languages: Sequence[str]):
             label = _column(batch, "language").to_numpy()
             for a, b in textscan.runs(offs):
                 bucket, first = gram_buckets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                row = np.repeat(label[a:b], np.diff(first))
-                counts += np.bincount(row.astype(np.int64) * BUCKETS + bucket,
-                                      minlength=len(languages) * BUCKETS).reshape(len(languages), BUCKETS)
+                row = np.repeat(np.arange(b - a), np.diff(first))
+                once = np.unique(row * BUCKETS + bucket)  # each text counts once for a bucket
+                which = label[a:b].astype(np.int64)[once // BUCKETS] * BUCKETS + once % BUCKETS
+                counts += np.bincount(which, minlength=len(languages) * BUCKETS).reshape(len(languages), BUCKETS)
         language, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_pydict({"language": pa.array(language, pa.int32()),
                                           "bucket": pa.array(bucket, pa.int32()),
@@ -129,7 +138,7 @@ def _count_grams(languages: Sequence[str]):
 
 
 def train(labelled: DataFrame, languages: Sequence[str], text: str = "text", label: str = "lang",
-          sample_rows: int = SAMPLE_ROWS, margin: float = 3.0) -> TextModel:
+          sample_rows: int = SAMPLE_ROWS, strangeness: float = 0.5) -> TextModel:
     """The text model from a bounded sample of rows labelled with one of ``languages``.
 
     Distinct texts are chosen by their hash, ``sample_rows`` of them on average and at
@@ -151,19 +160,29 @@ def train(labelled: DataFrame, languages: Sequence[str], text: str = "text", lab
         F.sum("n").alias("n")).toPandas()
     counts = np.zeros((BUCKETS, len(languages)))
     counts[counted["bucket"].to_numpy(), counted["language"].to_numpy()] = counted["n"].to_numpy()
-    table = np.ascontiguousarray(np.log((counts + 0.05) / (counts.sum(0) + 0.05 * BUCKETS)).T, np.float32)
+    texts = np.zeros(len(languages))
+    for r in known.groupBy("language").count().collect():
+        texts[r["language"]] = r["count"]
+    counts[(counts == 1) & (texts >= FEW_TEXTS)] = 0  # grams of a single text are not the language's
+    # A gram never seen is as likely in all languages, however many texts each has.
+    sums = counts.sum(0)
+    rest = 0.05 / max(1.0, sums.max())
+    table = np.log((counts / np.maximum(sums, 1) + rest) / (1 + rest * BUCKETS))
+    table = np.ascontiguousarray(table.T, np.float32)
+    unseen = float(np.log(rest / (1 + rest * BUCKETS)))
+    table[sums == 0] = NEVER  # a language without training rows is never the likeliest
     model = TextModel(tuple(languages), table, np.full(len(languages), -np.inf))
     scored = score(known.select("language", "text"), model)
     own = F.element_at("means", F.col("language") + 1)
     low = scored.filter("grams >= 100").groupBy("language").agg(F.percentile_approx(own, 0.01).alias("p")).collect()
     for r in low:
-        model.floor[r["language"]] = r["p"] - margin
+        model.floor[r["language"]] = (1 - strangeness) * r["p"] + strangeness * unseen
     return model
 
 
-def score(docs: DataFrame, model: TextModel, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` (without the text unless asked) with ``means`` and ``grams``."""
-    carried = [c for c in docs.columns if (keep_text or c != text) and c not in ("means", "grams")]
+def score(docs: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
+    """``docs`` without the text, with ``means`` and ``grams``."""
+    carried = [c for c in docs.columns if c not in (text, "means", "grams")]
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +251,7 @@ def learn(rows: DataFrame, model: TextModel, strength: float = STRENGTH) -> Evid
 
 def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: Column | None = None,
              suffix: Column | None = None, host: Column | None = None, least: float = 0.5,
-             keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+             carry: list[str] | None = None) -> DataFrame:
     """``docs`` with ``language, probability, accepted, log_likelihood`` (mean per gram in that language).
 
     ``declared``, ``suffix`` and ``host`` are columns of ``docs``; what is not given is
@@ -240,17 +259,13 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: Co
     """
     k = len(model.languages)
     added = ("language", "probability", "accepted", "log_likelihood")
-    carried = [c for c in (docs.columns if carry is None else carry)
-               if c not in added and (keep_text or c != text)]
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in added]
     value = lambda c: F.coalesce(c.cast("string"), F.lit("")) if c is not None else F.lit("")
-    keys = {"_declared": value(declared), "_suffix": value(suffix), "_host": value(host)}
-    rows = docs.withColumns(keys)
-    evidence = learn(rows.select(F.col(text).alias("text"), F.col("_declared").alias("declared"),
-                                 F.col("_suffix").alias("suffix"), F.col("_host").alias("host")), model)
-    scored = score(rows.select(*carried, *keys, F.col(text).alias("_text")), model, "_text")
-    joined = scored.join(evidence.hosts.withColumnsRenamed({"suffix": "_suffix", "host": "_host"}),
-                         ["_suffix", "_host"], "left")
-    joined = joined.join(evidence.declared.withColumnRenamed("declared", "_declared"), "_declared", "left")
+    rows = docs.select(*shielded(carried), value(declared).alias("declared"), value(suffix).alias("suffix"),
+                       value(host).alias("host"), named(text).alias("text"))
+    evidence = learn(rows.select("text", "declared", "suffix", "host"), model)
+    scored = score(rows, model)
+    joined = scored.join(evidence.hosts, ["suffix", "host"], "left").join(evidence.declared, "declared", "left")
     # The text's likelihood counts as that of at most EVIDENCE independent grams.
     weight = F.least(F.col("grams").cast("double"), F.lit(EVIDENCE))
     unseen_host = F.array(*[F.lit(float(np.log(p))) for p in evidence.overall])
@@ -266,6 +281,16 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: Co
     floor = F.element_at(F.array(*[F.lit(float(x)) for x in model.floor]), F.col("_best") + 1)
     accepted = (F.col("grams") > 0) & (F.col("_p") >= least) & ((likely >= floor) | (F.col("grams") < 100))
     return joined.select(
-        *carried, F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.col("_best") + 1).alias("language"),
+        *restored(carried), F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.col("_best") + 1).alias("language"),
         F.col("_p").alias("probability"), accepted.alias("accepted"),
         F.when(F.col("grams") > 0, likely).alias("log_likelihood"))
+
+
+def accepted_rows(docs: DataFrame, model: TextModel, text: str = "text", declared: str | None = None,
+                  suffix: str | None = None, host: str | None = None, least: float = 0.5) -> DataFrame:
+    """The accepted rows of ``docs``, all columns as they were."""
+    names = docs.columns
+    at = lambda c: F.col(inner(names.index(c))) if c else None
+    judged = identify(docs.select(*shielded(names)), model, inner(names.index(text)), at(declared), at(suffix), at(host),
+                      least)
+    return judged.filter("accepted").select(*restored(names))
