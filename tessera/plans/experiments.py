@@ -44,14 +44,20 @@ def _report_table(spark: SparkSession, key: str, rows: list[dict]) -> DataFrame:
     return literal_rows(spark, [[r[key], *[r[c] for c in cols]] for r in rows], ddl)
 
 
-def fit(pipeline: Pipeline, train: DataFrame):
-    """Fit with the training input persisted (MEMORY_AND_DISK) for the duration
-    of the fit: indexers, scalers and the model's own passes read the cached
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` dealt over so many partitions, or as it is: a table that is read from few splits but
+    passed over many times is worth one shuffle."""
+    return df if partitions is None else df.repartition(int(partitions))
+
+
+def fit(pipeline: Pipeline, train: DataFrame, partitions: int | None = None):
+    """Fit with the training input (``spread`` over ``partitions``) persisted
+    (MEMORY_AND_DISK) for the duration of the fit: indexers, scalers and the model's own passes read the cached
     rows instead of recomputing the upstream plan. Released in ``finally``.
     The shared checkpoint folder is registered first, so iterative models
     (``checkpointInterval``) can cut their lineage."""
     checkpoint_dir(train.sparkSession)
-    cached = train.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = spread(train, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipeline.fit(cached)
     finally:
@@ -59,12 +65,12 @@ def fit(pipeline: Pipeline, train: DataFrame):
 
 
 def fit_and_report(pipeline: Pipeline, train: DataFrame, test: DataFrame, task: str, label: str,
-                   n_in: int | None = None):
+                   n_in: int | None = None, partitions: int | None = None):
     """(fitted model, one-row report of the model on ``test``).
 
     ``n_in`` of the report is the number of rows before any was dropped: the caller's
     count, or else those of ``test`` (a stage that skips rows then shows in ``n_scored``)."""
-    model = fit(pipeline, train)
+    model = fit(pipeline, train, partitions)
     n_in = test.count() if n_in is None else n_in
     return model, _report(model.transform(test), task, label).withColumn("n_in", F.lit(int(n_in)).cast("bigint"))
 
@@ -79,6 +85,7 @@ def compare_models(
     label: str = "label",
     sort_by: str | None = None,
     n_in: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Fit the preprocessing once on ``train``, fit every estimator on the
     prepared train set, score ``val``; one report row per model, best first.
@@ -87,8 +94,8 @@ def compare_models(
     n_val = val.count() if n_in is None else n_in
     prep_model = fit(prep, train)
     features.check_levels(prep_model)
-    tr = prep_model.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-    va = prep_model.transform(val).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = spread(prep_model.transform(train), partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    va = spread(prep_model.transform(val), partitions).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
         for name, est in estimators.items():
@@ -110,6 +117,7 @@ def compare_imputers(
     prep: Pipeline,
     estimator,
     label: str = "label",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Each imputation strategy is fitted on ``train`` only and applied to
     both parts (no statistics from ``val``, trap T-4); same features and model.
@@ -117,10 +125,10 @@ def compare_imputers(
     strategy that drops rows is scored on fewer."""
     rows, n_val = [], val.count()
     for name, strategy in strategies.items():
-        imp = fit(strategy, train)
+        imp = fit(strategy, train, partitions)
         tr, va = imp.transform(train), imp.transform(val)
         pipe = Pipeline(stages=[*prep.getStages(), estimator])
-        _, rep = fit_and_report(pipe, tr, va, "classification", label, n_val)
+        _, rep = fit_and_report(pipe, tr, va, "classification", label, n_val, partitions)
         rows.append({"strategy": name, **rep.first().asDict()})
     return _report_table(spark, "strategy", rows).orderBy(F.desc_nulls_last("auc"), F.asc("strategy"))
 
@@ -170,6 +178,7 @@ def tracked_run(
     importance_names: Sequence[str] | None = None,
     on_error: str = "raise",
     n_in: int | None = None,
+    partitions: int | None = None,
 ) -> str:
     """Fit, save the model, score, log params/metrics/artifacts; returns the run id.
 
@@ -179,7 +188,7 @@ def tracked_run(
     instead of raising (K5)."""
     run_id = uuid.uuid4().hex
     base = f"{path.rstrip('/')}/artifacts/{run_id}"
-    model = fit(pipeline, train)
+    model = fit(pipeline, train, partitions)
     artifacts: dict[str, str] = {}
 
     def attempt(name: str, save) -> None:

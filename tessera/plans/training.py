@@ -33,6 +33,11 @@ CAT = fixtures.ADULTS_CATEGORICAL
 NUM = fixtures.ADULTS_NUMERIC
 
 
+def training_partitions(spark: SparkSession) -> int:
+    """Partitions of a training input: the session's number for shuffled data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # Census flow (N1): clean -> 60/20/20 -> drop missing -> one-hot + scaled ----------
 def census_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     parts = split.hash_split(adults_clean(spark, sf_dir), "id", split.TRAIN_VAL_TEST)
@@ -53,7 +58,7 @@ def _classifier_query(name: str):
         p = census_parts(spark, sf_dir)
         pipe = Pipeline(stages=[*census_prep().getStages(), models.classifier(name)])
         _, rep = experiments.fit_and_report(pipe, p["train"], p["val"], "classification", "label",
-                                            census_rows(spark, sf_dir, "val"))
+                                            census_rows(spark, sf_dir, "val"), training_partitions(spark))
         return rep.select(F.lit(name).alias("model"), "*")
 
     run.__doc__ = f"M1-M5 M9: {name} on the census fixture, report on the validation part."
@@ -70,7 +75,7 @@ def q_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = census_parts(spark, sf_dir)
     ests = {n: models.classifier(n) for n in models.CLASSIFIERS}
     return experiments.compare_models(spark, p["train"], p["val"], census_prep(), ests, "classification", "label",
-                                      n_in=census_rows(spark, sf_dir, "val"))
+                                      n_in=census_rows(spark, sf_dir, "val"), partitions=training_partitions(spark))
 
 
 @query("final_test")
@@ -79,7 +84,7 @@ def q_final_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = census_parts(spark, sf_dir)
     pipe = Pipeline(stages=[*census_prep().getStages(), models.classifier("random_forest")])
     _, rep = experiments.fit_and_report(pipe, p["train"], p["test"], "classification", "label",
-                                        census_rows(spark, sf_dir, "test"))
+                                        census_rows(spark, sf_dir, "test"), training_partitions(spark))
     return rep.select(F.lit("random_forest").alias("model"), "*")
 
 
@@ -91,7 +96,7 @@ def q_importance_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     prep = experiments.fit(census_prep(), p["train"])
     features.check_levels(prep)
     tr = prep.transform(p["train"])
-    rf = experiments.fit(Pipeline(stages=[models.classifier("random_forest")]), tr).stages[-1]
+    rf = experiments.fit(Pipeline(stages=[models.classifier("random_forest")]), tr, training_partitions(spark)).stages[-1]
     names = interpret.feature_names(tr, "features")
     imp = interpret.importance(spark, rf, names, interpret.feature_sources(prep))
     return interpret.fold_importance(imp)
@@ -111,7 +116,7 @@ def q_compare_imputers(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]),
     }
     return experiments.compare_imputers(spark, parts["train"], parts["val"], strategies, census_prep(),
-                                        models.classifier("logistic_regression"))
+                                        models.classifier("logistic_regression"), partitions=training_partitions(spark))
 
 
 RUN_PARAMS = ["maxDepth", "numTrees", "maxBins", "seed"]
@@ -132,7 +137,8 @@ def q_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = {"model": type(rf).__name__, **experiments.estimator_params(rf, RUN_PARAMS)}
     path = scratch_path(spark, "runs")  # a test run's log: a user names a durable folder
     run_id = experiments.tracked_run(spark, pipe, parts["train"], parts["test"], params, path, "classification",
-                                     "label", importance_names=CAT + NUM, n_in=whole["test"].count())
+                                     "label", importance_names=CAT + NUM, n_in=whole["test"].count(),
+                                     partitions=training_partitions(spark))
     runs = experiments.read_runs(spark, experiments.log_path(path)).filter(F.col("run_id") == run_id)
     return experiments.compare_runs(runs, ["model", *RUN_PARAMS], ["auc", "accuracy", "f1", "n_in", "n_scored"],
                                     ["model", "importance"], "auc")
@@ -152,7 +158,8 @@ def _regressor_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = gems_parts(spark, sf_dir)
         pipe = Pipeline(stages=[*gems_stages(), models.regressor(name)])
-        _, rep = experiments.fit_and_report(pipe, p["train"], p["test"], "regression", "price")
+        _, rep = experiments.fit_and_report(pipe, p["train"], p["test"], "regression", "price",
+                                            partitions=training_partitions(spark))
         return rep.select(F.lit(name).alias("model"), "*")
 
     run.__doc__ = f"M6-M9: {name} regressor on the gems fixture, report on the test part."
@@ -169,7 +176,8 @@ def q_log_target_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     same split as the other regressors (T-15)."""
     p = gems_parts(spark, sf_dir)
     pipe = features.log_target(gems_stages(), models.regressor("random_forest"), "price")
-    _, rep = experiments.fit_and_report(pipe, p["train"], p["test"], "regression", "price")
+    _, rep = experiments.fit_and_report(pipe, p["train"], p["test"], "regression", "price",
+                                        partitions=training_partitions(spark))
     return rep.select(F.lit("random_forest_log").alias("model"), "*")
 
 
@@ -181,7 +189,8 @@ WHAT_IF_ROW = (3.0, "1-URGENT", "MACHINERY", "P", 62.0, 55.0)
 def q_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score a literal row with the forest fitted on the training part."""
     p = gems_parts(spark, sf_dir)
-    model = experiments.fit(Pipeline(stages=[*gems_stages(), models.regressor("random_forest")]), p["train"])
+    model = experiments.fit(Pipeline(stages=[*gems_stages(), models.regressor("random_forest")]), p["train"],
+                            training_partitions(spark))
     row = files.literal_rows(spark, [WHAT_IF_ROW],
                              "carat double, cut string, color string, clarity string, depth double, tbl double")
     return model.transform(row).select("carat", "cut", "color", "clarity", "prediction")
@@ -191,7 +200,8 @@ def q_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_tree_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6: forest predictions never exceed the largest training price."""
     p = gems_parts(spark, sf_dir)
-    model = experiments.fit(Pipeline(stages=[*gems_stages(), models.regressor("random_forest")]), p["train"])
+    model = experiments.fit(Pipeline(stages=[*gems_stages(), models.regressor("random_forest")]), p["train"],
+                            training_partitions(spark))
     return evaluate.tree_bound(model.transform(p["test"]), p["train"], "price")
 
 
@@ -206,7 +216,7 @@ def q_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = {lr.regParam: [0.0, 0.1, 1.0]}
     cv = models.cross_validator(pipe, grid, RegressionEvaluator(labelCol="price", metricName="rmse"), folds=3,
                                 task="regression")
-    folded = models.with_folds(p["train"], "id").persist(StorageLevel.MEMORY_AND_DISK)
+    folded = experiments.spread(models.with_folds(p["train"], "id"), training_partitions(spark)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cvm = cv.fit(folded)
     finally:
