@@ -59,7 +59,7 @@ WIDE = 48
 #: Up to so many nodes a signature gives all pairs (at most 3.5 for each row).
 FEW = 8
 #: Nodes of one signature in one run of texts from which its members travel spread out.
-FREQUENT = 64
+FREQUENT = 12
 #: Nodes in a block of the comparison across components.
 BLOCK_NODES = 2048
 SKETCH_WORDS = 8
@@ -523,15 +523,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     if not members.isEmpty():
         # The members hung on one node each; what of them are still apart is compared.
         members, sketched = stored(members, "members"), stored(sketches(sets), "sketches")
+        more = None
         for closest in [True] * ROUNDS + [False]:
+            if closest and more is not None and new.isEmpty():
+                continue  # the closest pairs are no links: on to all that are left
+            if more is not None and more.isEmpty():
+                break  # nothing that is still apart is close enough
             more = stored(across(members, roots, sketched, percent, closest), "apart")
             new = stored(verified(more, sets, percent), "more-links")
-            if new.isEmpty():
-                if more.isEmpty():
-                    break  # nothing is close enough
-                continue
-            links = links.union(new)
-            roots = stored(components(links), "roots")
+            if not new.isEmpty():
+                links = links.union(new)
+                roots = stored(components(links), "roots")
 
     placed = classes.join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root"))
