@@ -26,11 +26,13 @@ from tessera.llm.store import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    queries.small_batches(spark)
     model = language_id.train(docs, queries.LANGUAGES)
     return language_id.accepted_rows(docs, model, declared="lang", host="source")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    queries.small_batches(spark)
     joined = partenum.jaccard_components(docs)
     # Only what goes is looked up: the other members of each component.
     gone = joined.rows.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
@@ -39,10 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    queries.small_batches(spark)
     return decontaminate.remove_documents(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    queries.small_batches(spark)
     return sp_sampling.encode(docs, queries.tokenizer_path("piece_bpe_32k.model"), queries.SAMPLES)
 
 

@@ -180,9 +180,9 @@ def train(labelled: DataFrame, languages: Sequence[str], text: str = "text", lab
     return model
 
 
-def score(docs: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``means`` and ``grams``."""
-    carried = [c for c in docs.columns if c not in (text, "means", "grams")]
+def score(docs: DataFrame, model: TextModel, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless asked, with ``means`` and ``grams``."""
+    carried = [c for c in docs.columns if (keep_text or c != text) and c not in ("means", "grams")]
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,10 +261,13 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: Co
     added = ("language", "probability", "accepted", "log_likelihood")
     carried = [c for c in (docs.columns if carry is None else carry) if c not in added]
     value = lambda c: F.coalesce(c.cast("string"), F.lit("")) if c is not None else F.lit("")
-    rows = docs.select(*shielded(carried), value(declared).alias("declared"), value(suffix).alias("suffix"),
-                       value(host).alias("host"), named(text).alias("text"))
-    evidence = learn(rows.select("text", "declared", "suffix", "host"), model)
-    scored = score(rows, model)
+    keys = [value(declared).alias("declared"), value(suffix).alias("suffix"), value(host).alias("host")]
+    evidence = learn(docs.select(named(text).alias("text"), *keys), model)
+    if text in carried:  # the text travels once
+        rows, column = docs.select(*shielded(carried), *keys), inner(carried.index(text))
+    else:
+        rows, column = docs.select(*shielded(carried), *keys, named(text).alias("text")), "text"
+    scored = score(rows, model, column, column != "text")
     joined = scored.join(evidence.hosts, ["suffix", "host"], "left").join(evidence.declared, "declared", "left")
     # The text's likelihood counts as that of at most EVIDENCE independent grams.
     weight = F.least(F.col("grams").cast("double"), F.lit(EVIDENCE))

@@ -25,10 +25,20 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+#: Rows with texts that a task hands to Python at once: some MB, also where texts are long.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; the session is set to hand its rows to Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 # -- 1: benchmark decontamination ------------------------------------------
 _DECONTAMINATE_SQL = r"""
 WITH toks AS (

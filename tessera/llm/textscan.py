@@ -15,7 +15,7 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 #: A batch is worked on in runs of rows of about so many bytes (one text may be longer).
-RUN = 4 << 20
+RUN = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
