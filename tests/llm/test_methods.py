@@ -85,7 +85,8 @@ def _brute_components(texts):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def test_components_equal_brute_force_with_large_groups(spark):
+@pytest.mark.parametrize("partitions", [1, 5])  # in one run of texts, frequent signatures travel spread out
+def test_components_equal_brute_force_with_large_groups(spark, partitions):
     """Copies, near copies far over the star size, chains of near copies, and a passage many texts share."""
     rnd = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -107,7 +108,7 @@ def test_components_equal_brute_force_with_large_groups(spark):
     texts += [base] * 100 + [words(rnd.randint(0, 6)) for _ in range(100)]
     rnd.shuffle(texts)
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(partitions)
     got = {r.id: (r.n_shingles, r.component_id) for r in partenum.jaccard_components(df).rows.collect()}
     assert got == _brute_components(docs)
 
