@@ -89,10 +89,10 @@ class Band:
 
 @lru_cache(maxsize=64)
 def bands(percent: int, largest: int) -> tuple[Band, ...]:
-    """The bands of sizes 1 .. largest at least, by rule."""
+    """The bands of sizes 1 .. largest at least, by rule; a band reaches into the next one only."""
     out, low = [], 1
     while not out or out[-1].high < largest:
-        high = max(low, int(low * BAND))
+        high = max(low, int(low * BAND), 100 * low // percent)
         reach = 100 * high // percent
         k = (high + reach) * (100 - percent) // (100 + percent)
         k2, n2 = (0, 1) if k == 0 or k >= WIDE else (1, 3)

@@ -40,29 +40,33 @@ def _links(sets, percent=85):
     return out
 
 
-def test_linked_sets_share_a_signature():
+@pytest.mark.parametrize("percent", [85, 50, 95])
+def test_linked_sets_share_a_signature(percent):
     rnd = random.Random(5)
     sets = []
+    part = (100 - percent) / 100 * 0.75
     for size in [*range(1, 60), 80, 120, 200, 333, 500, 900, 1500]:
         base = {rnd.getrandbits(64) for _ in range(size)}
         sets.append(base)
         for _ in range(6):
             new = set(base)
-            for x in rnd.sample(sorted(new), rnd.randint(0, max(1, size // 9))):
+            for x in rnd.sample(sorted(new), rnd.randint(0, min(size, int(size * part) + 1))):
                 new.discard(x)
                 if rnd.random() < 0.5:
                     new.add(rnd.getrandbits(64))
-            for _ in range(rnd.randint(0, size // 9)):
+            for _ in range(rnd.randint(0, int(size * part))):
                 new.add(rnd.getrandbits(64))
             sets.append(new or base)
     h = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
     sizes = np.array([len(s) for s in sets])
-    sig, row = partenum.signatures(h, np.repeat(np.arange(len(sets)), sizes), sizes, 85)
+    sig, row = partenum.signatures(h, np.repeat(np.arange(len(sets)), sizes), sizes, percent)
     of = [set() for _ in sets]
     for s, r in zip(sig.tolist(), row.tolist()):
         of[r].add(s)
-    links = _links(sets)
-    assert len(links) > 500
+    links = _links(sets, percent)
+    assert len(links) > 300
+    for b, c in zip(partenum.bands(percent, 5000), partenum.bands(percent, 5000)[1:]):
+        assert c.low == b.high + 1 and b.reach <= c.high
     assert all(of[i] & of[j] for i, j in links)
 
 
