@@ -19,7 +19,6 @@ from tessera.functions.columns import md5_bucket
 from tessera.operators import clean, evaluate, features, impute, profile, split
 from tessera.plans import fixtures
 from tessera.plans.common import (
-    ADULT_COLUMNS,
     ADULT_STRINGS,
     adults_clean,
     adults_complete,
