@@ -21,7 +21,10 @@ it are compared, in blocks of bounded size spread over tasks, through a parity s
 (which never rejects a link) and then exactly. Pairs inside a component need no test:
 first only the closest pair of any two components in a block is tried, in some rounds,
 as a link ends the matter for all their pairs; what is still apart is then compared in
-full.
+full. That suffices for components, but its links are only some of all: with
+``all_links`` the members of large signatures are also compared inside components, in
+the same blocks, and every pair that links is given, with the number of links of each
+row. Their number grows with the square of a group's distinct texts, as the result does.
 Signatures that are frequent within one run of texts are recognised there: their
 members travel spread out, not to one task.
 
@@ -464,10 +467,13 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(_sketches, schema.add("sketch", "binary"))
 
 
-def across(members: DataFrame, roots: DataFrame, sketched: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Candidate pairs of different components among the members of large signatures."""
-    placed = members.join(roots, "node", "left").select(
-        "sig", "node", F.coalesce("root", "node").alias("root"))
+def across(members: DataFrame, roots: DataFrame | None, sketched: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Candidate pairs of different components among the members of large signatures (without roots: all pairs)."""
+    if roots is None:
+        placed = members.select("sig", "node", F.col("node").alias("root"))
+    else:
+        placed = members.join(roots, "node", "left").select(
+            "sig", "node", F.coalesce("root", "node").alias("root"))
     placed = stored(placed, "placed")
     open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                       F.count(F.lit(1)).alias("n")).filter("lo <> hi")
@@ -484,19 +490,36 @@ def across(members: DataFrame, roots: DataFrame, sketched: DataFrame, percent: i
     return dealt.mapInArrow(_compare(percent, closest), out).select("a", "b").filter("a <> b").distinct()
 
 
+def link_counts(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, n_shingles, n_links`` of every row: how many other rows its set links with, its copies among them."""
+    sizes = stored(keys.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
+        links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    others = both.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(
+        F.sum("copies").alias("others"))
+    per = sizes.join(others, "node", "left").select(
+        "node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return keys.join(stored(per, "link-counts"), "node", "left").select(
+        "id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 @dataclass
 class Join:
     """``rows``: id, n_shingles, component_id of every row; ``links``: verified pairs of set
-    keys that connect every component; ``keys``: id, n_shingles and set key of every row."""
+    keys, each once: with ``all_links`` every pair that links, else enough to connect every
+    component; ``keys``: id, n_shingles and set key of every row; ``counts``: with
+    ``all_links`` the id, n_shingles and n_links (other rows it links with) of every row."""
 
     rows: DataFrame
     links: DataFrame
     keys: DataFrame
+    counts: DataFrame | None = None
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4,
-                       percent: int = 85) -> Join:
-    """Components of the texts whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more."""
+                       percent: int = 85, all_links: bool = False) -> Join:
+    """Components of the texts whose shingle sets have a Jaccard similarity of ``percent`` / 100 or
+    more, and all links between different sets if asked (copies have one set)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     longs = lambda *names: StructType([StructField(c, LongType()) for c in names])
@@ -534,6 +557,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             if not new.isEmpty():
                 links = links.union(new)
                 roots = stored(components(links), "roots")
+        if all_links:
+            inside = stored(across(members, None, sketched, percent, False), "inside")
+            links = stored(links.union(verified(inside, sets, percent)).distinct(), "all-links")
 
     placed = classes.join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root"))
@@ -542,4 +568,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     by_node = stored(placed.join(smallest, "root").select("node", "component_id"), "node-components")
     linked = full.join(by_node, "node").select("id", "n_shingles", "component_id")
     alone = keys.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return Join(linked.union(alone), links, keys)
+    return Join(linked.union(alone), links, keys, link_counts(keys, links) if all_links else None)

@@ -117,6 +117,36 @@ def test_components_equal_brute_force_with_large_groups(spark, partitions):
     assert got == _brute_components(docs)
 
 
+@pytest.mark.parametrize("partitions", [1, 4])  # in one run of texts, frequent signatures travel spread out
+def test_all_links_equal_brute_force(spark, partitions):
+    """Links inside large components too: edited copies far over the star size, copies, and a shared passage."""
+    rnd = random.Random(13)
+    words = lambda n: [f"w{rnd.randrange(300)}" for _ in range(n)]
+    base, passage = words(90), words(40)
+    texts = [base] * 5
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(300)}"
+        texts.append(t)
+    texts += [words(rnd.randint(3, 9)) + passage + words(rnd.randint(3, 9)) for _ in range(30)]
+    texts += [words(rnd.randint(0, 3)) for _ in range(20)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[i:i + 4]) for i in range(len(t) - 3)} if len(t) >= 4 else ({tuple(t)} if t else set()) for t in texts]
+    want = {(i, j) for i, j in _links(sets, 85)} | {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[i] == sets[j]}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(partitions)
+    joined = partenum.jaccard_components(df, all_links=True)
+    of = {}
+    for r in joined.keys.filter("n_shingles > 0").collect():
+        of.setdefault(r.node, []).append(r.id)
+    pairs = [(r.a, r.b) for r in joined.links.collect()]
+    assert len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs)
+    got = {(min(i, j), max(i, j)) for a, b in pairs for i in of[a] for j in of[b]}
+    assert got | {(i, j) for ids in of.values() for i in ids for j in ids if i < j} == want
+    counts = Counter(x for pair in want for x in pair)
+    assert {r.id: r.n_links for r in joined.counts.collect()} == {d: counts[d] for d, _ in docs}
+
+
 def test_connected_components_of_paths_and_stars(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
