@@ -11,13 +11,15 @@ what the markup itself declares not to be content (menus, headers, footers, asid
 notices, adverts, forms, comments) and, on a page with articles, what lies outside.
 
 The counts are one row for each host, node and feature of a batch, summed by Spark, so
-a host with a third of all pages is pre-aggregated like any other. A removable node is
-on at least ``share`` of its host's pages, which bounds their number for each host. They
-are broadcast as one array of hashes of host and node in groups of hosts of at most
-``MAX_NODES``: usually one group, else the pages are read once for each group.
+a host with a third of all pages is pre-aggregated like any other. A node is judged by the
+pages that have it, however few of its host's these are; its importance is smoothed
+towards 1 by that of ``SMOOTH`` pages, so a text must be on some pages before it counts as
+repeated. Low nodes are broadcast as one array of hashes of host and node in groups of hosts
+of about ``MAX_NODES``: usually one group, else the pages are read once for each group (a
+host's nodes are in one group, 8 bytes each).
 
 Edge cases: a null or empty page has the empty text; a null url is the host ``""``; a
-host of few pages has no entropy to go by, so only declared roles count; if removal
+node of one page has no entropy to go by, so only declared roles count; if removal
 would leave nothing of a page, or less than half of a declared article, they stay; repeated pages are each
 extracted; an empty table gives no rows; texts are neither cut nor dropped by size.
 Added columns are ``text, n_chars``; input columns of those names are replaced.
@@ -40,8 +42,9 @@ from tessera.llm.host_reputation import host_of
 from tessera.llm.shield import inner, restored, shielded
 from tessera.llm.store import stored
 
-MIN_PAGES = 10
-SHARE = 0.05
+MIN_PAGES = 2
+#: Pages of full importance that every node has besides its own.
+SMOOTH = 2
 LEAST = 0.3
 DAMPING = 0.9
 MAX_NODES = 1 << 18
@@ -91,11 +94,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "links": pa.array([links[k] for k in keys], pa.int64())})
 
 
-def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, smooth: float = SMOOTH) -> DataFrame:
     """``host, node, pages, presentation, content, importance, link_share`` of every node with text below.
 
-    ``pages`` has ``host, html``. Nodes on fewer than ``min_pages`` pages, or on a
-    smaller share of the host's than ``share``, are left out.
+    ``pages`` has ``host, html``. Nodes on fewer than ``min_pages`` pages are left out.
     """
     counted = pages.mapInArrow(_count, _STATS).groupBy("host", "node", "kind", "feature").agg(
         F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
@@ -104,7 +106,6 @@ def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
     c, log_c = F.col("n"), F.col("n") * F.log("n")
     shown = counted.filter("kind = 0").groupBy("host", "node").agg(
         F.sum(c).alias("pages"), F.sum(log_c).alias("repeated"))
-    whole = counted.filter("kind = 0 AND node = 0").groupBy("host").agg(F.sum("n").alias("host_pages"))
     said = counted.filter("kind = 1").groupBy("host", "node").agg(
         F.sum(c).alias("blocks"), F.sum(log_c).alias("same"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     # What is said in a node counts for the nodes above it as well.
@@ -112,14 +113,14 @@ def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHAR
     tree = said.join(below, ["host", "node"]).groupBy("host", F.col("above").alias("node")).agg(
         *[F.sum(x).alias(x) for x in ("blocks", "same", "chars", "links")])
     m = F.log("pages")
-    found = tree.join(shown, ["host", "node"]).join(whole, "host").filter(
-        (F.col("pages") >= min_pages) & (F.col("pages") >= share * F.col("host_pages")))
+    found = tree.join(shown, ["host", "node"]).filter(F.col("pages") >= max(2, min_pages))
     found = found.withColumns({
         "presentation": F.lit(1.0) - F.col("repeated") / (F.col("pages") * m),
         "content": F.greatest(F.lit(0.0), F.lit(1.0) - F.col("same") / (F.col("blocks") * m)),
         "link_share": F.col("links") / F.greatest(F.col("chars"), F.lit(1)),
     })
     importance = (1 - DAMPING) * F.col("presentation") + DAMPING * F.col("content")
+    importance = (F.col("pages") * importance + smooth) / (F.col("pages") + smooth)
     return found.select("host", "node", "pages", "presentation", "content", importance.alias("importance"), "link_share")
 
 
@@ -145,6 +146,12 @@ def _node_key(host: str, node: int) -> int:
     return _signed(xxhash.xxh64_intdigest(f"{node} {host}"))
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(_column(batch, "host").to_pylist(), _column(batch, "node").to_pylist())
+        yield pa.RecordBatch.from_pydict({"key": pa.array([_node_key(h, n) for h, n in pairs], pa.int64())})
+
+
 def _extract(low, carried: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed = low.value
@@ -172,14 +179,14 @@ def _extract(low, carried: list[str]):
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", carry: list[str] | None = None,
-                 min_pages: int = MIN_PAGES, share: float = SHARE, least: float = LEAST) -> DataFrame:
+                 min_pages: int = MIN_PAGES, smooth: float = SMOOTH, least: float = LEAST) -> DataFrame:
     """The columns ``carry`` of ``pages`` (default: all but the html) with ``text`` and ``n_chars``."""
     spark = pages.sparkSession
     wanted = [c for c in pages.columns if c != html] if carry is None else carry
     carried = [c for c in wanted if c not in ("text", "n_chars")]
     rows = pages.select(*shielded(carried), F.coalesce(host_of(F.col(url)), F.lit("")).alias("_host"),
                         F.col(html).alias("_html"))
-    tree = style_tree(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), min_pages, share)
+    tree = style_tree(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), min_pages, smooth)
     low = stored(low_nodes(tree, least), "low-nodes")
     groups = max(1, -(-low.count() // MAX_NODES))
     inside = [inner(i) for i in range(len(carried))]
@@ -189,7 +196,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", carry:
     for g in range(groups):
         mine = rows if groups == 1 else rows.filter(F.pmod(F.xxhash64("_host"), F.lit(groups)) == g)
         nodes = low if groups == 1 else low.filter(F.pmod(F.xxhash64("host"), F.lit(groups)) == g)
-        keys = np.array(sorted(_node_key(r["host"], r["node"]) for r in nodes.collect()), np.int64)
+        keys = np.sort(nodes.mapInArrow(_keys, "key bigint").toArrow().column("key").to_numpy())
         part = mine.mapInArrow(_extract(spark.sparkContext.broadcast(keys), inside), schema)
         out = part if out is None else out.unionByName(part)
     return out.select(*restored(carried), "text", "n_chars")

@@ -281,6 +281,18 @@ def test_style_tree_removes_repeated_branches(spark):
     assert got[100].startswith("Site name and slogan")  # too few pages to tell
 
 
+def test_style_tree_judges_rare_and_few_nodes(spark):
+    """A section's template on 2 % of its host's pages, and a host of six pages."""
+    plain = "<html><body><div class=c><p>Story {i} of the day</p></div></body></html>"
+    section = ('<html><body><div class="c"><p>Story {i} of the day</p></div><div class="strip">Subscribers read this '
+               'section first</div></body></html>')
+    rows = [(i, "http://hot.org/", (section if i % 50 == 0 else plain).format(i=i)) for i in range(600)]
+    rows += [(1000 + i, "http://six.org/", section.format(i=i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract_text(df).collect()}
+    assert got == {i: f"Story {i % 1000} of the day" for i, _, _ in rows}
+
+
 def test_extraction_edges(spark):
     page = ('<html><head><title>t</title><body class=home><div id=cookie-notice>We use cookies</div><header><a href=/>Home</a>'
             '</header><div class="with-sidebar"><main><h1>T &amp; U</h1>\n<p>One<br>two <b>bold</b>  text<p>Three <ul><li>a<li>b'
