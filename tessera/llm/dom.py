@@ -46,19 +46,23 @@ NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                         "widget toolbar pagination pager login signup search form complementary contentinfo dialog".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond discussion".split())
 MAIN_TAGS = frozenset({"article", "main"})
+#: A class with one of these says how the page is laid out (``with-sidebar``), not what the element is.
+LAYOUT_WORDS = frozenset({"with", "has", "no", "without"})
 MAX_DEPTH = 64
 
-CLEAR, SOFT, HARD = 0, 1, 2
+#: WRAPPED: an article in an element with a noise class, which stays only if nothing else does.
+CLEAR, WRAPPED, SOFT, HARD = 0, 1, 2, 3
 
 
 class Block(NamedTuple):
-    """Text of a block; ``noise``: in an element declared not to be content; ``main``: in an article."""
+    """Text of a block; ``noise``: in an element declared not to be content (CLEAR if not); ``main``: length of
+    the chain down to the article it is in, 0 without one."""
 
     text: str
     path: int
     chain: tuple[int, ...]
-    noise: bool
-    main: bool
+    noise: int
+    main: int
     link_chars: int
 
 
@@ -80,7 +84,7 @@ def _path(parent: int, name: str) -> int:
     return found
 
 
-def _declared(tag: str, attrs: str, inside_main: bool) -> tuple[str, int]:
+def _declared(tag: str, attrs: str, inside_main: int) -> tuple[str, int]:
     """The element's name for its path, and whether it is declared noise."""
     name, noise = tag, CLEAR
     if tag in NOISE_TAGS and not (tag == "header" and inside_main):
@@ -90,7 +94,10 @@ def _declared(tag: str, attrs: str, inside_main: bool) -> tuple[str, int]:
         for m in _ATTR.finditer(attrs):
             value = (m[2] or m[3] or m[4] or "").lower()
             name += f" {m[1].lower()}={_DIGITS.sub('', value)}"
-            words.update(_WORD.findall(value))
+            for token in value.split():
+                found = _WORD.findall(token)
+                if LAYOUT_WORDS.isdisjoint(found):
+                    words.update(found)
         if words & COMMENT_WORDS:
             noise = HARD
         elif words & NOISE_WORDS and not (inside_main and words & NOISE_WORDS == {"header"}):
@@ -104,8 +111,8 @@ def read_page(html: str) -> Page:
     """Blocks of a page in page order, and how its elements are nested."""
     blocks: list[Block] = []
     children: dict[int, list[int]] = {}
-    # tag, path, chain of paths, noise, in an article, in a link
-    stack: list[tuple] = [("", 0, (), CLEAR, False, False)]
+    # tag, path, chain of paths, noise, length of the article's chain, in a link
+    stack: list[tuple] = [("", 0, (), CLEAR, 0, False)]
     parts: list[str] = []
     linked = 0
     place = stack[0]
@@ -115,7 +122,7 @@ def read_page(html: str) -> Page:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                blocks.append(Block(text, place[1], place[2], place[3] > CLEAR, place[4], linked))
+                blocks.append(Block(text, place[1], place[2], place[3], place[4], linked))
             parts.clear()
         linked = 0
 
@@ -200,14 +207,13 @@ def read_page(html: str) -> Page:
             continue
         end_block()
         name, noise = _declared(tag, attrs, top[4])
-        main = top[4]
         if tag == "body" and top[0] == "head":
             stack.pop()
             top = stack[-1]
-        if tag in MAIN_TAGS and noise == CLEAR and top[3] < HARD:
-            main, above = True, CLEAR  # an article is content whatever its wrapper is called
-        else:
-            above = top[3]
+        main, above = top[4], top[3]
+        declares = tag in MAIN_TAGS and noise == CLEAR
+        if declares and above == SOFT:
+            above = CLEAR if tag == "main" else WRAPPED  # a page has one main; an article may be a teaser
         if len(top[2]) < MAX_DEPTH:
             path = _path(top[1], name)
             chain = (*top[2], path)
@@ -217,6 +223,8 @@ def read_page(html: str) -> Page:
             children.setdefault(path, [])
         else:
             path, chain = top[1], top[2]
+        if declares and above == CLEAR and not main:
+            main = len(chain)
         stack.append((tag, path, chain, max(noise, above), main, False))
     end_block()
     return Page(blocks, children)

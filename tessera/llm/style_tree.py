@@ -6,9 +6,10 @@ and contents (the text of its blocks) are counted. A node's presentation importa
 is the entropy of its presentations over the pages, to the base of their number; its
 content importance is one less the entropy of its blocks over the pages that have
 them: a text on every page counts nothing. Both are put together with those of the
-nodes below, and branches of low importance are removed from each page, along with
-what the markup itself declares not to be content (menus, headers, footers, asides,
-notices, adverts, forms, comments) and, on a page with articles, what lies outside.
+nodes below, what lies in an article or main element adds to a node's importance, and
+branches of low importance are removed from each page, along with what the markup itself
+declares not to be content (menus, headers, footers, asides, notices, adverts, forms,
+comments; also articles in an element with such a class, unless the page has no other text).
 
 The counts are one row for each host, node and feature of a batch, summed by Spark, so
 a host with a third of all pages is pre-aggregated like any other. A node is judged by the
@@ -20,8 +21,8 @@ host's nodes are in one group, 8 bytes each).
 
 Edge cases: a null or empty page has the empty text; a null url is the host ``""``; a
 node of one page has no entropy to go by, so only declared roles count; if removal
-would leave nothing of a page, or less than half of a declared article, they stay; repeated pages are each
-extracted; an empty table gives no rows; texts are neither cut nor dropped by size.
+would leave nothing of a page, or of an article that is not itself of low importance, they stay;
+repeated pages are each extracted; an empty table gives no rows; texts are neither cut nor dropped by size.
 Added columns are ``text, n_chars``; input columns of those names are replaced.
 """
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessera.llm.dom import Block, read_page
+from tessera.llm.dom import WRAPPED, Block, read_page
 from tessera.llm.host_reputation import host_of
 from tessera.llm.shield import inner, restored, shielded
 from tessera.llm.store import stored
@@ -46,11 +47,13 @@ MIN_PAGES = 2
 #: Pages of full importance that every node has besides its own.
 SMOOTH = 2
 LEAST = 0.3
+#: What a node's importance gains if all of its text lies in an article.
+EVIDENCE = 0.15
 DAMPING = 0.9
 MAX_NODES = 1 << 18
 LINKS = 0.6
 
-_STATS = "host string, node bigint, kind int, feature bigint, n bigint, chars bigint, links bigint"
+_STATS = "host string, node bigint, kind int, feature bigint, n bigint, chars bigint, links bigint, mains bigint"
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -72,6 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n: Counter = Counter()
             chars: Counter = Counter()
             links: Counter = Counter()
+            mains: Counter = Counter()
             for host, html in zip(hosts[a : a + 256], htmls.slice(a, 256).to_pylist()):
                 page = read_page(html or "")
                 for node, below in page.children.items():
@@ -82,6 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(key)
                     chars[key] += len(b.text)
                     links[key] += min(b.link_chars, len(b.text))
+                    mains[key] += len(b.text) if b.main else 0
                     seen.update((host, b.path, 2, above) for above in b.chain)
                 n.update(seen)
             keys = list(n)
@@ -91,7 +96,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "kind": pa.array(cols[2], pa.int32()), "feature": pa.array(cols[3], pa.int64()),
                 "n": pa.array([n[k] for k in keys], pa.int64()),
                 "chars": pa.array([chars[k] for k in keys], pa.int64()),
-                "links": pa.array([links[k] for k in keys], pa.int64())})
+                "links": pa.array([links[k] for k in keys], pa.int64()),
+                "mains": pa.array([mains[k] for k in keys], pa.int64())})
 
 
 def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, smooth: float = SMOOTH) -> DataFrame:
@@ -100,18 +106,19 @@ def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, smooth: float = SMO
     ``pages`` has ``host, html``. Nodes on fewer than ``min_pages`` pages are left out.
     """
     counted = pages.mapInArrow(_count, _STATS).groupBy("host", "node", "kind", "feature").agg(
-        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+        *[F.sum(x).alias(x) for x in ("n", "chars", "links", "mains")])
     counted = stored(counted, "style-counts")
     # c pages of m share a presentation: -sum(c/m log_m(c/m)) = 1 - sum(c ln c) / (m ln m).
     c, log_c = F.col("n"), F.col("n") * F.log("n")
     shown = counted.filter("kind = 0").groupBy("host", "node").agg(
         F.sum(c).alias("pages"), F.sum(log_c).alias("repeated"))
     said = counted.filter("kind = 1").groupBy("host", "node").agg(
-        F.sum(c).alias("blocks"), F.sum(log_c).alias("same"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+        F.sum(c).alias("blocks"), F.sum(log_c).alias("same"),
+        *[F.sum(x).alias(x) for x in ("chars", "links", "mains")])
     # What is said in a node counts for the nodes above it as well.
     below = counted.filter("kind = 2").select("host", "node", F.col("feature").alias("above"))
     tree = said.join(below, ["host", "node"]).groupBy("host", F.col("above").alias("node")).agg(
-        *[F.sum(x).alias(x) for x in ("blocks", "same", "chars", "links")])
+        *[F.sum(x).alias(x) for x in ("blocks", "same", "chars", "links", "mains")])
     m = F.log("pages")
     found = tree.join(shown, ["host", "node"]).filter(F.col("pages") >= max(2, min_pages))
     found = found.withColumns({
@@ -121,6 +128,7 @@ def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES, smooth: float = SMO
     })
     importance = (1 - DAMPING) * F.col("presentation") + DAMPING * F.col("content")
     importance = (F.col("pages") * importance + smooth) / (F.col("pages") + smooth)
+    importance = importance + EVIDENCE * F.col("mains") / F.greatest(F.col("chars"), F.lit(1))
     return found.select("host", "node", "pages", "presentation", "content", importance.alias("importance"), "link_share")
 
 
@@ -132,13 +140,16 @@ def low_nodes(tree: DataFrame, least: float = LEAST, links: float = LINKS) -> Da
 
 def main_text(blocks: list[Block], low) -> str:
     """The page's blocks that stay, with an empty line between them; ``low(node)`` tells which branches go."""
-    stay = [b for b in blocks if not b.noise]
-    if any(b.main for b in stay):
-        stay = [b for b in stay if b.main]
+    stay = [b for b in blocks if not b.noise] or [b for b in blocks if b.noise == WRAPPED]
     important = [b for b in stay if not any(map(low, b.chain))]
-    least = sum(len(b.text) for b in stay) / 2 if any(b.main for b in stay) else 1
-    if sum(len(b.text) for b in important) < least:
-        important = stay  # most of a declared article, or all of a page, is never noise
+    # An article that is not low itself has content: if all of its parts are low, it stays whole.
+    article = lambda b: b.chain[: b.main]
+    left = {article(b) for b in important}
+    whole = {a for a in map(article, stay) if a and a not in left and not any(map(low, a))}
+    if whole:
+        kept = set(map(id, important))
+        important = [b for b in stay if id(b) in kept or article(b) in whole]
+    important = important or stay  # all of a page is never noise
     return "\n\n".join(b.text for b in important)
 
 

@@ -293,6 +293,24 @@ def test_style_tree_judges_rare_and_few_nodes(spark):
     assert got == {i: f"Story {i % 1000} of the day" for i, _, _ in rows}
 
 
+def test_articles_are_evidence_and_no_filter(spark):
+    """A body in a div beside one teaser, a notice longer than half of a short article, and related articles."""
+    story = "The council of town {i} met on day {i} to vote."
+    notice = "Share this story with all of your friends and sign up for our letter to get one more every day."
+    teaser = f"<html><body><div class=story><p>{story}</p></div><article><h3>Teaser {{i}}</h3></article></body></html>"
+    short = f"<html><body><article><p>{story}</p><div class=end>{notice}</div></article></body></html>"
+    related = (f"<html><body class=has-sidebar><div><p>{story}</p></div><div class=related><article>See {{i}}</article></div>"
+               "</body></html>")
+    only = f"<html><body><div class='sidebar-wrap'><article><p>{story}</p></article></div></body></html>"
+    rows = [(1000 * k + i, f"http://h{k}.org/", page.format(i=i)) for k, page in enumerate((teaser, short, related, only))
+            for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract_text(df).collect()}
+    for i in range(30):
+        assert got[i] == story.format(i=i) + f"\n\nTeaser {i}"
+        assert got[1000 + i] == got[2000 + i] == got[3000 + i] == story.format(i=i)
+
+
 def test_extraction_edges(spark):
     page = ('<html><head><title>t</title><body class=home><div id=cookie-notice>We use cookies</div><header><a href=/>Home</a>'
             '</header><div class="with-sidebar"><main><h1>T &amp; U</h1>\n<p>One<br>two <b>bold</b>  text<p>Three <ul><li>a<li>b'
