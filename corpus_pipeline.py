@@ -6,8 +6,9 @@ stage's input. All but the last return the columns of ``documents`` unchanged, w
 the rows they drop:
 
 1. language ID: documents that are in none of the languages go;
-2. n-gram Jaccard join: of each group of near-duplicates the document with the smallest
-   id stays (rows without an id are in no group and stay; of rows that share the
+2. n-gram Jaccard join, of 5-word shingles with a Jaccard similarity of 0.8 or more (the
+   query ``op4_partenum_jaccard`` has its own 4 words and 0.85): of each group of
+   near-duplicates the document with the smallest id stays (rows without an id are in no group and stay; of rows that share the
    smallest id all stay);
 3. benchmark decontamination: contaminated documents go;
 4. SentencePiece encoding: the sampled segmentations of what is left, with the pieces.
@@ -24,6 +25,9 @@ from tessera.functions.columns import named
 from tessera.llm import decontaminate, language_id, partenum, queries, sp_sampling
 from tessera.llm.store import stored
 
+#: Words of a shingle, and the least Jaccard similarity of near-duplicates in percent.
+SHINGLE, PERCENT = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     queries.small_batches(spark)
@@ -33,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     queries.small_batches(spark)
-    joined = partenum.jaccard_components(docs)
+    joined = partenum.jaccard_components(docs, shingle=SHINGLE, percent=PERCENT)
     # Only what goes is looked up: the other members of each component.
     gone = joined.rows.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     left = docs.join(stored(gone, "near-duplicates"), "doc_id", "left_anti")

@@ -1,5 +1,6 @@
 """The corpus pipeline against the stages' plain meaning, and without its near relatives."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -42,6 +43,23 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert all(r["ids"] and r.sample in (1, 2) for r in rows)
 
 
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    """Against brute force, with pairs between that limit and the one of op4 (4 words, 0.85)."""
+    rnd = random.Random(5)
+    texts = []
+    for n in [*range(44, 56), 100, 150]:
+        words = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+        texts += [words, [*words[:n // 2], "edit", *words[n // 2 + 1:]]]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    assert all(len(sets[i] & sets[j]) == 0 for i in range(len(texts)) for j in range(i) if i // 2 != j // 2)
+    gone = {i + 1 for i in range(0, len(texts), 2) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    out = corpus_pipeline.near_duplicates(spark, df, SF_SMALL)
+    assert set(range(len(texts))) - {r.doc_id for r in out.collect()} == gone
+    four = [{tuple(t[i:i + 4]) for i in range(len(t) - 3)} for t in texts]
+    assert any(100 * len(four[i] & four[i - 1]) < 85 * len(four[i] | four[i - 1]) for i in gone)
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert {"doc_id", "sample", "ids", "log_prob", "log_inclusion"} <= set(out.columns) and out.count() > 100
