@@ -8,8 +8,9 @@ the rows they drop:
 1. language ID: documents that are in none of the languages go;
 2. n-gram Jaccard join, of 5-word shingles with a Jaccard similarity of 0.8 or more (the
    query ``op4_partenum_jaccard`` has its own 4 words and 0.85): of each group of
-   near-duplicates the document with the smallest id stays (rows without an id are in no group and stay; of rows that share the
-   smallest id all stay);
+   near-duplicates one row stays, that with the smallest id (a null id is the largest; of
+   rows that share the id, the one with the smallest hash of all columns; of equal rows
+   one). Rows without words are in no group and stay;
 3. benchmark decontamination: contaminated documents go;
 4. SentencePiece encoding: the sampled segmentations of what is left, with the pieces.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import named
 from tessera.llm import decontaminate, language_id, partenum, queries, sp_sampling
+from tessera.llm.shield import restored, shielded
 from tessera.llm.store import stored
 
 #: Words of a shingle, and the least Jaccard similarity of near-duplicates in percent.
@@ -37,11 +39,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     queries.small_batches(spark)
-    joined = partenum.jaccard_components(docs, shingle=SHINGLE, percent=PERCENT)
-    # Only what goes is looked up: the other members of each component.
-    gone = joined.rows.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    left = docs.join(stored(gone, "near-duplicates"), "doc_id", "left_anti")
-    return left.select(*[named(c) for c in docs.columns])
+    told = [x for c in docs.columns for x in (named(c), named(c).isNull())]
+    rows = docs.select(*shielded(docs.columns), named("doc_id").cast("long").alias("id"), named("text").alias("text"),
+                       F.xxhash64(*told).alias("row"))
+    joined = partenum.jaccard_components(rows, "id", "text", SHINGLE, PERCENT, row="row")
+    # Only what goes is looked up: the other rows of each component.
+    lost, again = _not_first(joined)
+    same = lambda t: F.col("r.id").eqNullSafe(t["id"]) & (F.col("r.row") == t["row"])
+    kept = rows.drop("text").alias("r").join(lost, same(lost), "left_anti")
+    if not again.isEmpty():  # equal rows, of which one stays
+        once, many = (kept.join(again, same(again), how) for how in ("left_anti", "left_semi"))
+        kept = once.unionByName(many.dropDuplicates(["id", "row"]))
+    return kept.select(*restored(docs.columns))
+
+
+def _not_first(joined: partenum.Join) -> tuple[DataFrame, DataFrame]:
+    """``id, row`` of the rows that are not their component's first, and of the first ones that occur again."""
+    found = joined.keys.filter("n_shingles > 0").groupBy("node", "id", "row").agg(F.count(F.lit(1)).alias("n"))
+    found = stored(found.join(joined.roots, "node").select("root", "id", "row", "n"), "near-duplicate-rows")
+    # First the least id, then the least row of those with it.
+    ids = found.groupBy("root").agg(F.min("id").alias("first_id"), F.sum("n").alias("n_rows")).filter("n_rows > 1")
+    mine = stored(found.join(stored(ids.select("root", "first_id"), "first-ids"), "root"), "near-duplicate-groups")
+    first = mine.filter("id <=> first_id").groupBy("root").agg(F.min("row").alias("first_row"))
+    placed = mine.join(stored(first, "first-rows"), "root")
+    is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("row") == F.col("first_row"))
+    lost = placed.filter(~is_first).select("id", "row").distinct()
+    again = placed.filter(is_first & (F.col("n") > 1)).select("id", "row")
+    return stored(lost, "near-duplicates"), stored(again, "equal-rows")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

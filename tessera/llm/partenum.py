@@ -28,7 +28,7 @@ row. Their number grows with the square of a group's distinct texts, as the resu
 Signatures that are frequent within one run of texts are recognised there: their
 members travel spread out, not to one task.
 
-Candidate pairs are verified on the whole sets. Components come from ``components``.
+Candidate pairs that sizes and parity sketches let through are verified on the whole sets. Components come from ``components``.
 
 Edge cases: null, empty and wordless texts have the empty set and link with nothing;
 a text of fewer words than a shingle is one shingle of all its words; repeated rows are
@@ -66,6 +66,8 @@ FREQUENT = 12
 #: Nodes in a block of the comparison across components.
 BLOCK_NODES = 2048
 SKETCH_WORDS = 8
+#: For pairs that the small sketch lets through: large sets fill that one.
+WIDE_WORDS = 64
 #: Rounds in which only the closest pairs of components are tried, before all that are left.
 ROUNDS = 3
 #: Largest bitmap of the filter for needed ids, in bits.
@@ -194,14 +196,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _scan_sets(n: int):
+def _scan_sets(n: int, carried: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = textscan.text_bytes(_column(batch, "text"))
             for a, b in textscan.runs(offs):
                 h, row, sizes = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], n)
                 yield pa.RecordBatch.from_pydict({
-                    "id": _column(batch, "id").slice(a, b - a), "n_shingles": pa.array(sizes, pa.int64()),
+                    **{c: _column(batch, c).slice(a, b - a) for c in carried}, "n_shingles": pa.array(sizes, pa.int64()),
                     "node": _signed(set_keys(h, row, sizes))})
     return scan
 
@@ -385,21 +387,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("both") * 100 >= (n - F.col("both")) * percent).select("a", "b")
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(words: int):
     """Size and parity sketch of each set: a feature flips one bit, so sketches differ in no more bits than sets."""
-    for batch in batches:
-        lists = _column(batch, "shingles")
-        ends = lists.offsets.to_numpy()
-        h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
-        sizes = np.diff(ends)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        bit = textscan.mix(h ^ _C[0]) % np.uint64(64 * SKETCH_WORDS)
-        flips = np.bincount(row * 64 * SKETCH_WORDS + bit.astype(np.int64),
-                            minlength=len(sizes) * 64 * SKETCH_WORDS) & 1
-        packed = np.packbits(flips.astype(np.uint8).reshape(len(sizes), -1), axis=1)
-        yield pa.RecordBatch.from_pydict({
-            "node": _column(batch, "node"), "size": pa.array(sizes, pa.int64()),
-            "sketch": pa.array([r.tobytes() for r in packed], pa.binary())})
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                lists = _column(batch, "shingles")
+                ends = lists.offsets.to_numpy()
+                h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+                sizes = np.diff(ends)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                bit = textscan.mix(h ^ _C[0]) % np.uint64(64 * words)
+                flips = np.bincount(row * 64 * words + bit.astype(np.int64), minlength=len(sizes) * 64 * words) & 1
+                packed = np.packbits(flips.astype(np.uint8).reshape(len(sizes), -1), axis=1)
+                yield pa.RecordBatch.from_pydict({
+                    "node": _column(batch, "node"), "size": pa.array(sizes, pa.int64()),
+                    "sketch": pa.array([r.tobytes() for r in packed], pa.binary())})
+    return scan
 
 
 def _closest(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -461,10 +466,32 @@ def _compare(percent: int, closest: bool):
     return scan
 
 
-def sketches(sets: DataFrame) -> DataFrame:
+def sketches(sets: DataFrame, words: int = SKETCH_WORDS) -> DataFrame:
     """``node, size, sketch`` of every set."""
     schema = StructType([StructField("node", LongType()), StructField("size", LongType())])
-    return sets.mapInArrow(_sketches, schema.add("sketch", "binary"))
+    return sets.mapInArrow(_sketches(words), schema.add("sketch", "binary"))
+
+
+def _likely(percent: int, words: int):
+    """The pairs that sizes and sketches let through."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_column(batch, c).to_numpy() for c in ("size_a", "size_b"))
+            p, q = (np.frombuffer(b"".join(_column(batch, c).to_pylist()), np.uint64).reshape(-1, words)
+                    for c in ("sketch_a", "sketch_b"))
+            differ = np.bitwise_count(p ^ q).sum(1).astype(np.int64)
+            passes = (np.minimum(x, y) * 100 >= np.maximum(x, y) * percent) & (
+                differ * (100 + percent) <= (x + y) * (100 - percent))
+            yield batch.select(["a", "b"]).filter(pa.array(passes))
+    return scan
+
+
+def likely(pairs: DataFrame, sketched: DataFrame, percent: int, words: int = SKETCH_WORDS) -> DataFrame:
+    """``pairs`` without those that sizes and parity sketches rule out: their whole sets need not travel."""
+    side = lambda c: sketched.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"),
+                                     F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.mapInArrow(_likely(percent, words), StructType([StructField(c, LongType()) for c in ("a", "b")]))
 
 
 def across(members: DataFrame, roots: DataFrame | None, sketched: DataFrame, percent: int, closest: bool) -> DataFrame:
@@ -508,22 +535,29 @@ class Join:
     """``rows``: id, n_shingles, component_id of every row; ``links``: verified pairs of set
     keys, each once: with ``all_links`` every pair that links, else enough to connect every
     component; ``keys``: id, n_shingles and set key of every row; ``counts``: with
-    ``all_links`` the id, n_shingles and n_links (other rows it links with) of every row."""
+    ``all_links`` the id, n_shingles and n_links (other rows it links with) of every row;
+    ``roots``: set key (node) and its component's (root) of every set but the empty one."""
 
     rows: DataFrame
     links: DataFrame
     keys: DataFrame
     counts: DataFrame | None = None
+    roots: DataFrame | None = None
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4,
-                       percent: int = 85, all_links: bool = False) -> Join:
+                       percent: int = 85, all_links: bool = False, row: str | None = None) -> Join:
     """Components of the texts whose shingle sets have a Jaccard similarity of ``percent`` / 100 or
-    more, and all links between different sets if asked (copies have one set)."""
+    more, and all links between different sets if asked (copies have one set).
+
+    ``row`` is a long column that ``keys`` have as ``row`` (what tells rows of one id apart).
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"),
+                       *([F.col(row).alias("row")] if row else []))
+    carried = ["id", "row"] if row else ["id"]
     longs = lambda *names: StructType([StructField(c, LongType()) for c in names])
-    keys = stored(rows.mapInArrow(_scan_sets(shingle), longs("id", "n_shingles", "node")), "keys")
+    keys = stored(rows.mapInArrow(_scan_sets(shingle, carried), longs(*carried, "n_shingles", "node")), "keys")
     full = keys.filter("n_shingles > 0")
     classes = stored(full.groupBy("node").agg(
         F.min("id").alias("least_id"), F.any_value("id").alias("any_id")), "classes")
@@ -541,11 +575,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = sets_of(rows, nodes, classes, shingle)
+    sketched = stored(sketches(sets), "sketches")
+    pairs = stored(likely(pairs, sketched, percent), "likely-pairs")
+    wide = stored(sketches(sets, WIDE_WORDS), "wide-sketches")
+    pairs = stored(likely(pairs, wide, percent, WIDE_WORDS), "likelier-pairs")
     links = stored(verified(pairs, sets, percent), "links")
     roots = stored(components(links), "roots")
     if not members.isEmpty():
         # The members hung on one node each; what of them are still apart is compared.
-        members, sketched = stored(members, "members"), stored(sketches(sets), "sketches")
+        members = stored(members, "members")
         more = None
         for closest in [True] * ROUNDS + [False]:
             if closest and more is not None and new.isEmpty():
@@ -553,13 +591,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             if more is not None and more.isEmpty():
                 break  # nothing that is still apart is close enough
             more = stored(across(members, roots, sketched, percent, closest), "apart")
-            new = stored(verified(more, sets, percent), "more-links")
+            new = stored(verified(likely(more, wide, percent, WIDE_WORDS), sets, percent), "more-links")
             if not new.isEmpty():
                 links = links.union(new)
                 roots = stored(components(links), "roots")
         if all_links:
             inside = stored(across(members, None, sketched, percent, False), "inside")
-            links = stored(links.union(verified(inside, sets, percent)).distinct(), "all-links")
+            links = stored(links.union(verified(likely(inside, wide, percent, WIDE_WORDS), sets, percent)).distinct(), "all-links")
 
     placed = classes.join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root"))
@@ -568,4 +606,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     by_node = stored(placed.join(smallest, "root").select("node", "component_id"), "node-components")
     linked = full.join(by_node, "node").select("id", "n_shingles", "component_id")
     alone = keys.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return Join(linked.union(alone), links, keys, link_counts(keys, links) if all_links else None)
+    return Join(linked.union(alone), links, keys, link_counts(keys, links) if all_links else None,
+                placed.select("node", "root"))

@@ -60,6 +60,25 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark):
     assert any(100 * len(four[i] & four[i - 1]) < 85 * len(four[i] | four[i - 1]) for i in gone)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, null ids, and a text of its own under the id of a near copy."""
+    rnd = random.Random(6)
+    a, b, c, d, e = ([f"w{rnd.randrange(5000)}" for _ in range(80)] for _ in range(5))
+    near = lambda t: [*t[:40], "edit", *t[41:]]
+    rows = [(3, a, "x"), (5, near(a), "x"), (5, b, "x"), (7, c, "x"), (7, c, "x"), (7, c, "x"), (None, c, "x"),
+            (None, d, "x"), (None, d, "x"), (None, near(d), "x"), (9, e, "x"), (9, e, "y"), (9, near(e), "x"),
+            (None, [], "x"), (11, [], "x")]
+    df = spark.createDataFrame([(i, " ".join(t), s) for i, t, s in rows], "doc_id bigint, text string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df.repartition(5), SF_SMALL).collect()]
+    want = [(3, a), (5, b), (7, c), (None, []), (11, [])]
+    for i, t in want:
+        assert got.count((i, " ".join(t))) == 1
+    assert sum(i is None and t != "" for i, t in got) == 1 and sum(i == 9 for i, t in got) == 1
+    assert len(got) == len(want) + 2
+    again = corpus_pipeline.near_duplicates(spark, df.repartition(2), SF_SMALL)
+    assert sorted(got, key=str) == sorted([(r.doc_id, r.text) for r in again.collect()], key=str)
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert {"doc_id", "sample", "ids", "log_prob", "log_inclusion"} <= set(out.columns) and out.count() > 100
