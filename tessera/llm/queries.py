@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, host_reputation, iblt, language_id, partenum, sharding, sp_sampling, style_tree, token_counts, warc
+from tessera.llm import decontaminate, filter_audit, host_reputation, iblt, language_id, partenum, sharding, sp_sampling, style_tree, token_counts, warc
 from tessera.llm.store import stored
 from tessera.session import scratch_path
 
@@ -277,3 +277,43 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return style_tree.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
+# -- 12: filter interaction audit ---------------------------------------------
+_AUDIT_SQL = r"""
+WITH lab AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id),
+docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+toks AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM docs),
+masks AS (
+  SELECT part, good, toxic, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w)
+    THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+  FROM toks LEFT JOIN lab USING (doc_id)),
+counters AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM masks GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND (a.b | b.b | c.b | d.b | e.b) = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS prior
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+told AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (prior | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & prior = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & prior <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & prior = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & prior = 0), 0) AS toxic_lost
+  FROM counters, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM told
+"""
+
+
+@query("op12_filter_audit", _AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from all documents, in every order of them."""
+    return filter_audit.audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels"))
