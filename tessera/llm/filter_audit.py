@@ -171,23 +171,15 @@ def _nullable(f):
     return run
 
 
-def orders_table(filters: str = FILTERS) -> list[tuple[str, int, str, int, int]]:
-    """``filter_order, step, filter, bit, prior`` (bits of the filters before it) of every order and step."""
-    out = []
-    for order in permutations(filters):
-        prior = 0
-        for step, f in enumerate(order, 1):
-            out.append(("".join(order), step, f, BIT[f], prior))
-            prior |= BIT[f]
-    return out
-
-
 def interactions(counters: DataFrame) -> DataFrame:
     """One row for each part, order of the filters and step, from ``part, mask, n, good, toxic``."""
-    steps = F.array(*(F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(b).alias("bit"),
-                               F.lit(p).alias("prior")) for o, s, _, b, p in orders_table()))
+    orders = F.split(F.lit(" ".join("".join(o) for o in permutations(FILTERS))), " ")
     # At most 32 rows a part, each meets every order and step.
-    at = counters.withColumn("s", F.explode(steps)).select("part", "mask", "n", "good", "toxic", "s.*")
+    at = counters.withColumn("filter_order", F.explode(orders)).withColumn(
+        "step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
+    bits = lambda fits: sum((F.when(fits(F.instr("filter_order", f), F.col("step")), b).otherwise(0)
+                             for f, b in BIT.items()), F.lit(0))
+    at = at.withColumn("bit", bits(lambda p, s: p == s)).withColumn("prior", bits(lambda p, s: p < s))
     m, bit, prior = F.col("mask"), F.col("bit"), F.col("prior")
     fails, passed = m.bitwiseAND(bit) != 0, m.bitwiseAND(prior) == 0
     total = lambda c, x: F.sum(F.when(c, F.col(x)).otherwise(0)).cast("long")
