@@ -12,7 +12,9 @@ a band's sizes also takes part in that band. No linked pair is lost:
 * ``n1`` exceeds ``k // (k2 + 1)``, the number of partitions with over ``k2`` differences;
 * signatures without features are left out, as long as the set has more partitions
   that cannot be empty under any subset than can differ; a set that has not emits
-  its empty ones as well (two sets meet if one of them needs no empty signature).
+  its empty ones as well (two sets meet if one of them needs no empty signature). With
+  ``n2 = 1`` there are so many partitions that sets of a band's smallest size have enough
+  filled ones but for six deviations, as unrelated sets would share the empty signatures.
 
 Equal sets are one node, so copies cost one signature per task. A signature shared by
 few nodes gives all their pairs. One shared by many gives a star, and once the stars'
@@ -40,6 +42,7 @@ the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -53,7 +56,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.llm import textscan
 from tessera.llm.components import components
-from tessera.llm.store import stored
+from tessera.llm.store import drop, stored
 
 #: Ratio of a band's largest to its smallest size.
 BAND = 1.45
@@ -103,11 +106,20 @@ def bands(percent: int, largest: int) -> tuple[Band, ...]:
         k2, n2 = (0, 1) if k == 0 or k >= WIDE else (1, 3)
         bad = k // (k2 + 1)
         spare = 0 if k == 0 else 2 if n2 > 1 else 4 + bad * 3 // 100
-        out.append(Band(low, high, reach, k, k2, n2, bad + 1 + spare))
+        n1 = bad + 1 + spare
+        while k and n2 == 1 and not _filled(n1, low, bad):
+            n1 += 1
+        out.append(Band(low, high, reach, k, k2, n2, n1))
         low = high + 1
     return tuple(out)
 
 
+def _filled(n1: int, size: int, bad: int) -> bool:
+    """Whether sets of a size fill more than ``bad`` of ``n1`` partitions, but for six deviations."""
+    empty = math.exp(-size / n1)
+    return n1 * (1 - empty) >= bad + 6 * math.sqrt(0.6 * n1 * empty * (1 - empty))
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All rows' distinct shingle hashes in row order, the row of each, and the size of each set."""
     w = textscan.words(data, offs, textscan.without_blanks())
@@ -371,8 +383,10 @@ def sets_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int)
     found = rows.select(slot, "text").mapInArrow(
         _scan_needed(shingle, rows.sparkSession.sparkContext.broadcast(bits)), schema)
     # A node's copies have equal sets: any one of them will do.
-    return stored(found.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(
+    sets = stored(found.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(
         F.any_value("shingles").alias("shingles")), "sets")
+    drop(needed)
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -575,21 +589,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = sets_of(rows, nodes, classes, shingle)
+    # The members hung on one node each; what of them are still apart is compared below.
+    members = stored(members, "members")
+    drop(grouped)
     sketched = stored(sketches(sets), "sketches")
-    pairs = stored(likely(pairs, sketched, percent), "likely-pairs")
+    likelier = stored(likely(pairs, sketched, percent), "likely-pairs")
+    drop(pairs)
     wide = stored(sketches(sets, WIDE_WORDS), "wide-sketches")
-    pairs = stored(likely(pairs, wide, percent, WIDE_WORDS), "likelier-pairs")
+    pairs = stored(likely(likelier, wide, percent, WIDE_WORDS), "likelier-pairs")
+    drop(likelier)
     links = stored(verified(pairs, sets, percent), "links")
+    drop(pairs)
     roots = stored(components(links), "roots")
     if not members.isEmpty():
-        # The members hung on one node each; what of them are still apart is compared.
-        members = stored(members, "members")
         more = None
         for closest in [True] * ROUNDS + [False]:
             if closest and more is not None and new.isEmpty():
                 continue  # the closest pairs are no links: on to all that are left
             if more is not None and more.isEmpty():
                 break  # nothing that is still apart is close enough
+            if more is not None:
+                drop(more)
             more = stored(across(members, roots, sketched, percent, closest), "apart")
             new = stored(verified(likely(more, wide, percent, WIDE_WORDS), sets, percent), "more-links")
             if not new.isEmpty():
@@ -598,6 +618,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         if all_links:
             inside = stored(across(members, None, sketched, percent, False), "inside")
             links = stored(links.union(verified(likely(inside, wide, percent, WIDE_WORDS), sets, percent)).distinct(), "all-links")
+            drop(inside)
+        if more is not None:
+            drop(more)
+    drop(members, sketched, wide, sets)
 
     placed = classes.join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root"))

@@ -240,3 +240,10 @@ def test_whole_tokens_are_single_tokens():
     c = token_counts.Counting(path, proved)
     words = [" the", "ing", " Zebra", "'s", "\n", "qzxv", " qzxv"]
     assert c.count(words).tolist() == [len(t.encode(w).ids) for w in words]
+
+
+@pytest.mark.parametrize("size", [200, 400, 600, 3000])
+def test_unrelated_sets_share_no_frequent_signature(size):
+    h = np.random.default_rng(size).integers(0, 2**63, 300 * size, dtype=np.uint64)
+    sig, _ = partenum.signatures(h, np.repeat(np.arange(300), size), np.full(300, size), 80)
+    assert np.unique(sig, return_counts=True)[1].max() <= 8
