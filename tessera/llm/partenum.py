@@ -107,8 +107,8 @@ def bands(percent: int, largest: int) -> tuple[Band, ...]:
         bad = k // (k2 + 1)
         spare = 0 if k == 0 else 2 if n2 > 1 else 4 + bad * 3 // 100
         n1 = bad + 1 + spare
-        while k and n2 == 1 and not _filled(n1, low, bad):
-            n1 += 1
+        if k and n2 == 1:  # at low thresholds sets may be too small for any number
+            n1 = next((n for n in range(n1, 2 * n1) if _filled(n, low, bad)), n1)
         out.append(Band(low, high, reach, k, k2, n2, n1))
         low = high + 1
     return tuple(out)
