@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, filter_audit, host_reputation, iblt, language_id, partenum, sharding, sp_sampling, style_tree, token_counts, warc
+from tessera.llm import conversation_repair, decontaminate, filter_audit, host_reputation, iblt, language_id, partenum, sharding, sp_sampling, style_tree, token_counts, warc
 from tessera.llm.store import stored
 from tessera.session import scratch_path
 
@@ -317,3 +317,10 @@ FROM told
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes from all documents, in every order of them."""
     return filter_audit.audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+# -- 13: conversation structure repair -----------------------------------------
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the cheapest edits that mend it."""
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
