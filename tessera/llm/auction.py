@@ -71,15 +71,34 @@ class Lattice:
             least = min(INF, least + min(ahead, default=INF))
             self.price[i] = [least] * 4
         self.price[self.n] = [exits.get(e, INF) for e in range(4)]
+        # Nodes without any way to the end would raise each other's prices for ever.
+        for i, reach in enumerate(self._reached(lambda i, s, arc: True)[:-1]):
+            self.price[i] = [p if r else INF for p, r in zip(self.price[i], reach)]
+        self.settled = [[p >= INF for p in layer] for layer in self.price[:-1]] + [[True] * 4]
 
     def auction(self, state: int, layer: int = 0) -> int:
-        """The least cost from a node to the end; prices are raised on the way."""
-        price, layers = self.price, self.layers
+        """The least cost from a node to the end; prices are raised on the way.
+
+        Origins go from the last layer back: a path that meets a node whose way to the end is known is done, so
+        the work grows with the turns and not with their square.
+        """
+        for i in range(self.n - 1, layer, -1):
+            for s in range(4):
+                if not self.settled[i][s]:
+                    self._grow(i, s)
+        if layer < self.n and not self.settled[layer][state]:
+            self._grow(layer, state)
+        return self.price[layer][state]
+
+    def _grow(self, layer: int, state: int) -> None:
+        price, layers, settled = self.price, self.layers, self.settled
         path = [(layer, state)]
         while True:
             i, s = path[-1]
-            if i == self.n:
-                return price[layer][state]
+            if settled[i][s] and price[i][s] < INF:
+                for i, s in path:  # tight arcs all the way
+                    settled[i][s] = True
+                return
             best, to = INF, None
             for _, cost, ahead, t in layers[i][s]:
                 if cost + price[i + ahead][t] < best:
@@ -88,22 +107,27 @@ class Lattice:
                 price[i][s] = best
                 if len(path) > 1:
                     path.pop()
-                elif best >= INF:
-                    return INF
-            elif to is None:
-                return INF
+            elif to is None:  # no way to the end
+                settled[i][s] = True
+                path.pop()
+                if not path:
+                    return
             else:  # extend it
                 path.append(to)
 
-    def alive(self) -> list[list[bool]]:
-        """The nodes from which tight arcs lead to the end: their prices are exact distances."""
-        out = [[False] * 4 for _ in range(self.n)] + [[e in self.exits and self.exits[e] < INF for e in range(4)]]
+    def _reached(self, passes) -> list[list[bool]]:
+        """The nodes from which arcs that pass lead to the end."""
+        out = [[False] * 4 for _ in range(self.n)] + [[self.exits.get(e, INF) < INF for e in range(4)]]
         for i in range(self.n - 1, -1, -1):
-            for _ in range(4):  # inserts stay in a layer
+            for _ in range(3):  # inserts stay in a layer
                 for s in range(4):
-                    out[i][s] = out[i][s] or any(self.tight(i, s, a) and out[i + a[2]][a[3]] for a in self.layers[i][s])
+                    out[i][s] = out[i][s] or any(out[i + a[2]][a[3]] and passes(i, s, a) for a in self.layers[i][s])
         return out
 
+    def alive(self) -> list[list[bool]]:
+        """The nodes from which tight arcs lead to the end: their prices are exact distances."""
+        return self._reached(self.tight)
+
     def tight(self, i: int, s: int, arc: Arc) -> bool:
         return self.price[i][s] < INF and self.price[i][s] == arc[1] + self.price[i + arc[2]][arc[3]]
 
@@ -157,12 +181,11 @@ def boundary_prices(segments: list[tuple[int, ...]]) -> list[list[int]]:
 
 
 @lru_cache(maxsize=1 << 12)
-def segment_trace(codes: tuple[str, ...], exits: tuple[int, ...], state: int) -> tuple[str, int]:
-    """Letters of a segment entered in a state, and the state after it; ``exits`` are the boundary's prices."""
+def segment_traces(codes: tuple[str, ...], exits: tuple[int, ...]) -> tuple[tuple[str, int], ...]:
+    """For each state that a segment may be entered in its letters and the state after it (-1: no way);
+    ``exits`` are the boundary's prices."""
     lattice = turns_lattice(codes, {e: p for e, p in enumerate(exits) if p < INF})
-    if lattice.auction(state) >= INF:
-        return "", -1
-    return lattice.trace(state)
+    return tuple(lattice.trace(s) if lattice.auction(s) < INF else ("", -1) for s in range(4))
 
 
 def end_trace(state: int) -> str:

@@ -22,11 +22,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import named
@@ -72,10 +71,6 @@ def undamaged(rows: DataFrame) -> DataFrame:
                        F.lit(False).alias("gone"))
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in names))
-
-
 def with_faults(rows: DataFrame) -> DataFrame:
     """``rows`` with ``fault``: blank, duplicate (of an earlier row), truncated, or none of them (empty)."""
     bare = F.rtrim(F.col("text"), F.lit(BLANKS))
@@ -84,9 +79,10 @@ def with_faults(rows: DataFrame) -> DataFrame:
     # Only what occurs again is looked up; its first row in order is no duplicate.
     place = F.struct("turn", "seq")
     again = rows.filter(~F.col("gone")).groupBy("conv_id", "role", "h").agg(
-        F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    names = ["conv_id", "role", "h"]
-    told = rows.join(again, _same(rows, again, names), "left").select(*(rows[c] for c in rows.columns), "earliest")
+        F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        F.col("conv_id").alias("conv_id_"), F.col("role").alias("role_"), F.col("h").alias("h_"), "earliest")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("conv_id", "role", "h")]
+    told = rows.join(again, same, "left").select(*rows.columns, "earliest")
     late = F.coalesce(F.struct("turn", "seq") > F.col("earliest"), F.lit(False))
     fault = F.when(F.col("end") == "", "blank").when(late, "duplicate").when(
         ~F.col("end").isin(*ENDS), "truncated").otherwise("")
@@ -220,7 +216,7 @@ def _trace(schema: pa.Schema):
             rows = batch.to_pylist()
             for r in rows:
                 codes, exits = tuple(r["codes"].split()), tuple(r.pop("exits"))
-                found = [auction.segment_trace(codes, exits, s) for s in range(4)]
+                found = auction.segment_traces(codes, exits)
                 r["letters"], r["ends"] = [x for x, _ in found], [e for _, e in found]
             yield pa.RecordBatch.from_pylist(rows, schema)
     return trace
