@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import conversation_repair, decontaminate, filter_audit, host_reputation, iblt, language_id, partenum, sharding, sp_sampling, style_tree, token_counts, warc
+from tessera.llm import conversation_repair, decontaminate, filter_audit, host_reputation, iblt, language_id, partenum, sharding, sp_sampling, style_tree, suffix_dedup, token_counts, warc
 from tessera.llm.store import stored
 from tessera.session import scratch_path
 
@@ -279,6 +279,13 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
 
 
+# -- 11: suffix-array dedup ------------------------------------------------------
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document is covered by 100-byte strings that also start earlier, and what stays."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 # -- 12: filter interaction audit ---------------------------------------------
 _AUDIT_SQL = r"""
 WITH lab AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
