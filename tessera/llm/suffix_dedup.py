@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +48,25 @@ _PLACE_BITS = np.uint64(30)
 _STEPS = [np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)]
 
 
+_VALUES = textscan.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEPS[0])
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class _Hashes:
     """Hashes of any stretch of the bytes: sums of byte values times powers, divided by the first power."""
 
     def __init__(self, data: np.ndarray, step: np.uint64):
-        back = np.uint64(pow(int(step), -1, 1 << 64))
         n = len(data)
-        power, self.back = np.full(n, step), np.full(n + 1, back)
-        power[:1], self.back[0] = 1, 1
-        power, self.back = np.multiply.accumulate(power), np.multiply.accumulate(self.back)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(textscan._byte_values()[data] * power)))
+        size = 1 << max(20, n.bit_length())
+        self.back = _powers(pow(int(step), -1, 1 << 64), size)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUES[data] * _powers(int(step), size)[:n], out=self.sums[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return textscan.mix((self.sums[end] - self.sums[begin]) * self.back[begin])
