@@ -137,20 +137,24 @@ def common_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     by_symbol = np.argsort(before, kind="stable")
     step = np.empty(n, np.int64)  # where a row goes when its symbol is put in front
     step[by_symbol] = np.arange(n)
+    run = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
     prefix = np.full(n + 1, -1, np.int64)
     prefix[[0, n]] = 0
     low, high = np.zeros(1, np.int64), np.full(1, n)
     for value in range(length):
         if not len(low):
             break
+        alike = run[low] == run[high - 1]  # one symbol before all: the ends tell the interval
+        ends_of = step[low[alike]], step[high[alike] - 1] + 1
+        low, high = low[~alike], high[~alike]
         sizes = high - low
         of = np.repeat(np.arange(len(low)), sizes)
         rows = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[of]
         by = np.argsort(of * 512 + before[rows], kind="stable")
         pair, to = (of * 512 + before[rows])[by], step[rows[by]]
-        begins = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        ends = np.append(begins[1:], len(pair)) - 1
-        low, high = to[begins], to[ends] + 1
+        begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1])))
+        ends = np.append(begins[1:], len(pair))[: len(begins)] - 1
+        low, high = np.concatenate((ends_of[0], to[begins])), np.concatenate((ends_of[1], to[ends] + 1))
         # All of one length are disjoint: each border is met once at most, the text's end starts the chain.
         open_ = (prefix[high] < 0) | ((high == n) & (value == 0)) | ((high == n) & (prefix[n] == value))
         prefix[n] = value + 1 if (open_ & (high == n)).any() else prefix[n]
