@@ -42,7 +42,9 @@ LENGTH, GRAM = 100, 24
 PLACES = LENGTH - GRAM + 1
 HALF = (PLACES + 1) // 2
 #: Different contexts of a key that are judged as one text, and bytes of texts that are judged at once.
-GROUP, TEXT_BYTES = 2048, 1 << 20
+GROUP, TEXT_BYTES = 2048, 1 << 18
+#: Bytes of rows that are hashed at once, so that their arrays stay in the processor's cache.
+RUN = 1 << 17
 #: Bits of a place in a run of texts.
 _PLACE_BITS = np.uint64(30)
 _STEPS = [np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)]
@@ -110,7 +112,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = textscan.text_bytes(batch.column(2))
-        for a, b in textscan.runs(offs):
+        for a, b in textscan.runs(offs, RUN):
             row, off, windows, key, content = contexts(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column(0).take(pa.array(row + a)), "tie": batch.column(1).take(pa.array(row + a)),
@@ -120,21 +122,36 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CONTEXT = "id long, tie long, off long, windows long, key long, content long"
 
 
+def _sorted_rotations(text: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the rotations in the order of their first ``length`` symbols (of 9 bits); beyond that it is free."""
+    n, width = len(text), 7
+    key = text
+    for i in range(1, width):
+        key = key << 9 | np.roll(text, -i)
+    order = np.argsort(key)
+    slots, told, rank = np.arange(n), key[order], np.empty(n, np.int64)
+    while True:
+        # Equal rotations have the place of their first as rank; those alone in it are done.
+        new = np.concatenate(([True], told[1:] != told[:-1]))
+        rank[order[slots]] = slots[np.flatnonzero(new)][np.cumsum(new) - 1]
+        many = ~(new & np.append(new[1:], True))
+        slots = slots[many]
+        if width >= length or not len(slots):
+            return order
+        at = order[slots]
+        key = rank[at] * n + rank[(at + width) % n]
+        by = np.argsort(key)
+        order[slots], told = at[by], key[by]
+        width *= 2
+
+
 def common_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the rotations of ``text`` (small numbers), and the class of each in it: those of one class share
     their first ``length`` symbols. By extension of intervals on the Burrows-Wheeler transform."""
     n = len(text)
-    rank, width = text.astype(np.int64), 1
-    while True:  # by doubling, as far as the classes need; beyond that the order is free
-        order = np.argsort(rank * (int(rank.max()) + 1) + np.roll(rank, -width), kind="stable")
-        pair = (rank * (int(rank.max()) + 1) + np.roll(rank, -width))[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(pair[1:] != pair[:-1])))
-        width *= 2
-        if width > length + 1:
-            break
+    order = _sorted_rotations(text.astype(np.int64), length + 2)
     before = text[order - 1].astype(np.int64)
-    by_symbol = np.argsort(before, kind="stable")
+    by_symbol = np.argsort(before.astype(np.uint16), kind="stable")
     step = np.empty(n, np.int64)  # where a row goes when its symbol is put in front
     step[by_symbol] = np.arange(n)
     run = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
@@ -150,8 +167,9 @@ def common_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
         sizes = high - low
         of = np.repeat(np.arange(len(low)), sizes)
         rows = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[of]
-        by = np.argsort(of * 512 + before[rows], kind="stable")
-        pair, to = (of * 512 + before[rows])[by], step[rows[by]]
+        to = step[rows]
+        by = np.argsort(to)  # the rows of an interval with one symbol go to places next to each other
+        pair, to = (of * 512 + before[rows])[by], to[by]
         begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1])))
         ends = np.append(begins[1:], len(pair))[: len(begins)] - 1
         low, high = np.concatenate((ends_of[0], to[begins])), np.concatenate((ends_of[1], to[ends] + 1))
