@@ -69,10 +69,11 @@ def fit_and_report(pipeline: Pipeline, train: DataFrame, test: DataFrame, task:
     """(fitted model, one-row report of the model on ``test``).
 
     ``n_in`` of the report is the number of rows before any was dropped: the caller's
-    count, or else those of ``test`` (a stage that skips rows then shows in ``n_scored``)."""
+    count, or else those of ``test`` (a stage that skips rows then shows in ``n_scored``).
+    ``test`` is ``spread`` like the training input: a large model scores a small file in many tasks."""
     model = fit(pipeline, train, partitions)
     n_in = test.count() if n_in is None else n_in
-    return model, _report(model.transform(test), task, label).withColumn("n_in", F.lit(int(n_in)).cast("bigint"))
+    return model, _report(model.transform(spread(test, partitions)), task, label).withColumn("n_in", F.lit(int(n_in)).cast("bigint"))
 
 
 def compare_models(
