@@ -47,10 +47,16 @@ TRACKED_RF = {"maxDepth": 10, "numTrees": 10, "maxBins": 42}
 # give another forest from the same rows.
 TREE_EXECUTION = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 _TREES = (RandomForestClassifier, GBTClassifier, RandomForestRegressor, GBTRegressor)
+# A boosted model grows one small tree at a time: sending it along costs less than a cached, broadcast and
+# released table of node ids at every level of every tree. The splits are the same either way.
+BOOSTED_EXECUTION = {"cacheNodeIds": False}
+_BOOSTED = (GBTClassifier, GBTRegressor)
 
 
 def _build(cls: type, params: dict[str, Any], features: str, label: str, seed: int):
-    kwargs = {**(TREE_EXECUTION if issubclass(cls, _TREES) else {}), **params}
+    execution = {**(TREE_EXECUTION if issubclass(cls, _TREES) else {}),
+                 **(BOOSTED_EXECUTION if issubclass(cls, _BOOSTED) else {})}
+    kwargs = {**execution, **params}
     kwargs.update(featuresCol=features, labelCol=label)
     est = cls(**kwargs)
     if est.hasParam("seed"):
