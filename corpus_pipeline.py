@@ -46,11 +46,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Only what goes is looked up: the other rows of each component.
     lost, again = _not_first(joined)
     same = lambda t: F.col("r.id").eqNullSafe(t["id"]) & (F.col("r.row") == t["row"])
-    kept = rows.drop("text").alias("r").join(lost, same(lost), "left_anti")
+    told = _marked(rows.drop("text"), lost.union(again))
+    sure = told.filter("NOT maybe").drop("maybe")
+    kept = told.filter("maybe").drop("maybe").alias("r").join(lost, same(lost), "left_anti")
     if not again.isEmpty():  # equal rows, of which one stays
         once, many = (kept.join(again, same(again), how) for how in ("left_anti", "left_semi"))
         kept = once.unionByName(many.dropDuplicates(["id", "row"]))
-    return kept.select(*restored(docs.columns))
+    return sure.unionByName(kept).select(*restored(docs.columns))
+
+
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with a column ``maybe``: false only for rows whose ``id, row`` are none of ``keys``. They are told
+    by a bitmap of bounded size, so that only the others travel to be looked up."""
+    n_bits = min(partenum.MAX_BITS, max(1 << 12, 1 << (8 * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id", "row"), F.lit(n_bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("slot"), F.lit(64)).cast("int"))
+    words = stored(keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(bit).alias("bits")), "lost-bitmap")
+    at = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6)).join(F.broadcast(words), "word", "left")
+    return at.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("slot", "word", "bits")
 
 
 def _not_first(joined: partenum.Join) -> tuple[DataFrame, DataFrame]:

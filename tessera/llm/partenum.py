@@ -68,9 +68,11 @@ FEW = 8
 FREQUENT = 12
 #: Nodes in a block of the comparison across components.
 BLOCK_NODES = 2048
-SKETCH_WORDS = 8
-#: For pairs that the small sketch lets through: large sets fill that one.
-WIDE_WORDS = 64
+#: Words of a set's parity sketch: one bit for each feature, in powers of two between these. Smaller ones fill up
+#: and let through what is far apart. For the pairs that pass, all sets have a sketch of the largest.
+SKETCH_WORDS, WIDE_WORDS = 8, 64
+#: Pairs of a block that are compared at once.
+PAIRS_AT_ONCE = 1 << 16
 #: Rounds in which only the closest pairs of components are tried, before all that are left.
 ROUNDS = 3
 #: Largest bitmap of the filter for needed ids, in bits.
@@ -374,19 +376,39 @@ def _bitmap(ids: DataFrame, n: int) -> tuple[int, Bitmap]:
     return n_bits, Bitmap(n_bits, [(r["w"], r["bits"]) for r in words.collect()])
 
 
-def sets_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """``node, shingles`` for every node of ``nodes``: one text of each class is read again."""
+def _needed(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The ids by which ``nodes`` are read again, and ``node, shingles`` of the rows with these ids."""
     needed = stored(classes.join(nodes, "node").select("node", F.col("any_id").alias("id")), "needed")
     n_bits, bits = _bitmap(needed.select("id"), needed.count())
     slot = F.pmod(F.xxhash64("id"), F.lit(n_bits)).alias("slot")
     schema = StructType([StructField("node", LongType()), StructField("shingles", ArrayType(LongType()))])
-    found = rows.select(slot, "text").mapInArrow(
+    return needed, rows.select(slot, "text").mapInArrow(
         _scan_needed(shingle, rows.sparkSession.sparkContext.broadcast(bits)), schema)
-    # A node's copies have equal sets: any one of them will do.
-    sets = stored(found.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(
-        F.any_value("shingles").alias("shingles")), "sets")
+
+
+def _one_each(found: DataFrame, needed: DataFrame, name: str) -> DataFrame:
+    """One row for each needed node: its copies have equal sets, any one of them will do."""
+    out = stored(found.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(*(
+        F.any_value(c).alias(c) for c in found.columns if c != "node")), name)
     drop(needed)
-    return sets
+    return out
+
+
+def sets_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles`` for every node of ``nodes``: one text of each class is read again."""
+    needed, found = _needed(rows, nodes, classes, shingle)
+    return _one_each(found, needed, "sets")
+
+
+def sketches_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """``node, size, sketch, wide`` for every node of ``nodes``: whole sets do not travel for that."""
+    needed, found = _needed(rows, nodes, classes, shingle)
+    schema = StructType([StructField("node", LongType()), StructField("size", LongType())])
+    return _one_each(found.mapInArrow(_sketches, schema.add("sketch", "binary").add("wide", "binary")), needed, "sketches")
+
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -401,24 +423,67 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("both") * 100 >= (n - F.col("both")) * percent).select("a", "b")
 
 
-def _sketches(words: int):
-    """Size and parity sketch of each set: a feature flips one bit, so sketches differ in no more bits than sets."""
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                lists = _column(batch, "shingles")
-                ends = lists.offsets.to_numpy()
-                h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
-                sizes = np.diff(ends)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                bit = textscan.mix(h ^ _C[0]) % np.uint64(64 * words)
-                flips = np.bincount(row * 64 * words + bit.astype(np.int64), minlength=len(sizes) * 64 * words) & 1
-                packed = np.packbits(flips.astype(np.uint8).reshape(len(sizes), -1), axis=1)
-                yield pa.RecordBatch.from_pydict({
-                    "node": _column(batch, "node"), "size": pa.array(sizes, pa.int64()),
-                    "sketch": pa.array([r.tobytes() for r in packed], pa.binary())})
-    return scan
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and parity sketches of each set: a feature flips one bit, so sketches differ in no more bits than sets."""
+    n_bits = 64 * WIDE_WORDS
+    for whole in batches:
+        for at in range(0, len(whole), 512):
+            batch = whole.slice(at, 512)
+            lists = _column(batch, "shingles")
+            ends = lists.offsets.to_numpy()
+            h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+            sizes = np.diff(ends)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            bit = textscan.mix(h ^ _C[0]) % np.uint64(n_bits)
+            flips = np.bincount(row * n_bits + bit.astype(np.int64), minlength=len(sizes) * n_bits) & 1
+            wide = np.packbits(flips.astype(np.uint8).reshape(len(sizes), -1), axis=1).view(np.uint64)
+            yield pa.RecordBatch.from_pydict({
+                "node": _column(batch, "node"), "size": pa.array(sizes, pa.int64()),
+                "sketch": pa.array([folded(r, n).tobytes() for r, n in zip(wide, sketch_words(sizes).tolist())], pa.binary()),
+                "wide": pa.array([r.tobytes() for r in wide], pa.binary())})
+
+
+def sketch_words(sizes: np.ndarray) -> np.ndarray:
+    """The least power of two words that have a bit for each feature, within the limits."""
+    words = np.full(len(sizes), SKETCH_WORDS)
+    while (more := (words * 64 < sizes) & (words < WIDE_WORDS)).any():
+        words[more] *= 2
+    return words
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of fewer words, a power of two: those of the same sets at that length."""
+    parts = sketches.reshape(*sketches.shape[:-1], -1, words)
+    return np.bitwise_xor.reduce(parts, axis=-2)
+
+
+class _Sketched:
+    """Sketches of different lengths, which are compared at the length of the shorter one."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in sketches], np.int64)
+        self.at = np.zeros(len(sketches), np.int64)
+        self.rows = {}
+        for n in np.unique(self.words).tolist():
+            mine = np.flatnonzero(self.words == n)
+            self.at[mine] = np.arange(len(mine))
+            self.rows[n, n] = np.frombuffer(b"".join(sketches[i] for i in mine.tolist()), np.uint64).reshape(-1, n)
+
+    def of(self, n: int, words: int) -> np.ndarray:
+        if (n, words) not in self.rows:
+            self.rows[n, words] = folded(self.rows[n, n], words)
+        return self.rows[n, words]
+
+    def apart(self, i: np.ndarray, other: _Sketched, j: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of the pairs differ."""
+        x, y = self.words[i], other.words[j]
+        out = np.zeros(len(i), np.int64)
+        kinds, kind = np.unique(x * (WIDE_WORDS + 1) + y, return_inverse=True)
+        for k, (n, m) in enumerate(divmod(v, WIDE_WORDS + 1) for v in kinds.tolist()):
+            mine = np.flatnonzero(kind == k)
+            p, q = self.of(n, min(n, m)), other.of(m, min(n, m))
+            out[mine] = np.bitwise_count(p[self.at[i[mine]]] ^ q[other.at[j[mine]]]).sum(1)
+        return out
 
 
 def _closest(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -434,21 +499,24 @@ def _compare(percent: int, closest: bool):
     """Blocks in order of (sig, i, j) to pairs of different components that the sketch lets through:
     all of them, or the closest of any two components."""
     def close(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        left = rows["block"] == rows["i"]
-        right = rows["block"] == rows["j"]
-        p, q = np.flatnonzero(left), np.flatnonzero(right)
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, SKETCH_WORDS)
+        size, root = rows["size"], rows["root"]
+        p, q = np.flatnonzero(rows["block"] == rows["i"]), np.flatnonzero(rows["block"] == rows["j"])
+        one = rows["i"][0] == rows["j"][0]
+        sketch = _Sketched(rows["sketch"].tolist())
         out_a, out_b, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for i in p.tolist():
-            o = q[(rows["root"][q] != rows["root"][i])]
-            small, great = np.minimum(rows["size"][o], rows["size"][i]), np.maximum(rows["size"][o], rows["size"][i])
-            o = o[small * 100 >= great * percent]
-            differ = np.bitwise_count(sketch[o] ^ sketch[i]).sum(1).astype(np.int64)
-            passes = differ * (100 + percent) <= (rows["size"][o] + rows["size"][i]) * (100 - percent)
-            o, differ = o[passes], differ[passes]
-            out_a.append(np.full(len(o), i))
-            out_b.append(o)
-            out_d.append(differ / (rows["size"][o] + rows["size"][i]))
+        step = max(1, PAIRS_AT_ONCE // max(1, len(q)))
+        for at in range(0, len(p), step):
+            x, y = p[at : at + step, None], q[None, :]
+            fits = (root[x] != root[y]) & (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent)
+            if one:  # each pair once
+                fits &= x < y
+            a, b = np.nonzero(fits)
+            a, b = p[at + a], q[b]
+            differ, both = sketch.apart(a, sketch, b), size[a] + size[b]
+            passes = differ * (100 + percent) <= both * (100 - percent)
+            out_a.append(a[passes])
+            out_b.append(b[passes])
+            out_d.append(differ[passes] / both[passes])
         a, b, apart = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d)
         if closest and len(a):
             best = _closest(a, b, rows["root"][a], rows["root"][b], apart)
@@ -480,32 +548,25 @@ def _compare(percent: int, closest: bool):
     return scan
 
 
-def sketches(sets: DataFrame, words: int = SKETCH_WORDS) -> DataFrame:
-    """``node, size, sketch`` of every set."""
-    schema = StructType([StructField("node", LongType()), StructField("size", LongType())])
-    return sets.mapInArrow(_sketches(words), schema.add("sketch", "binary"))
-
-
-def _likely(percent: int, words: int):
+def _likely(percent: int):
     """The pairs that sizes and sketches let through."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (_column(batch, c).to_numpy() for c in ("size_a", "size_b"))
-            p, q = (np.frombuffer(b"".join(_column(batch, c).to_pylist()), np.uint64).reshape(-1, words)
-                    for c in ("sketch_a", "sketch_b"))
-            differ = np.bitwise_count(p ^ q).sum(1).astype(np.int64)
+            p, q = (_Sketched(_column(batch, c).to_pylist()) for c in ("sketch_a", "sketch_b"))
+            every = np.arange(len(x))
             passes = (np.minimum(x, y) * 100 >= np.maximum(x, y) * percent) & (
-                differ * (100 + percent) <= (x + y) * (100 - percent))
+                p.apart(every, q, every) * (100 + percent) <= (x + y) * (100 - percent))
             yield batch.select(["a", "b"]).filter(pa.array(passes))
     return scan
 
 
-def likely(pairs: DataFrame, sketched: DataFrame, percent: int, words: int = SKETCH_WORDS) -> DataFrame:
+def likely(pairs: DataFrame, sketched: DataFrame, percent: int, sketch: str = "sketch") -> DataFrame:
     """``pairs`` without those that sizes and parity sketches rule out: their whole sets need not travel."""
     side = lambda c: sketched.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"),
-                                     F.col("sketch").alias(f"sketch_{c}"))
+                                     F.col(sketch).alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(_likely(percent, words), StructType([StructField(c, LongType()) for c in ("a", "b")]))
+    return both.mapInArrow(_likely(percent), StructType([StructField(c, LongType()) for c in ("a", "b")]))
 
 
 def across(members: DataFrame, roots: DataFrame | None, sketched: DataFrame, percent: int, closest: bool) -> DataFrame:
@@ -519,7 +580,7 @@ def across(members: DataFrame, roots: DataFrame | None, sketched: DataFrame, per
     open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                       F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     open_ = stored(open_.select("sig", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")), "open")
-    rows = placed.join(open_, "sig").join(sketched, "node")
+    rows = placed.join(open_, "sig").join(sketched.select("node", "size", "sketch"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -587,19 +648,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     members = grouped.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct()
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(rows, nodes, classes, shingle)
+    # Sketches first: only the sets of pairs that pass them are read and travel.
+    sketched = sketches_of(rows, nodes_of(pairs), classes, shingle)
     # The members hung on one node each; what of them are still apart is compared below.
     members = stored(members, "members")
     drop(grouped)
-    sketched = stored(sketches(sets), "sketches")
+
+    def tested(pairs: DataFrame, name: str) -> DataFrame:
+        near = stored(likely(pairs, sketched, percent, "wide"), "likelier-pairs")
+        sets = sets_of(rows, nodes_of(near), classes, shingle)
+        out = stored(verified(near, sets, percent), name)
+        drop(near, sets)
+        return out
+
     likelier = stored(likely(pairs, sketched, percent), "likely-pairs")
     drop(pairs)
-    wide = stored(sketches(sets, WIDE_WORDS), "wide-sketches")
-    pairs = stored(likely(likelier, wide, percent, WIDE_WORDS), "likelier-pairs")
+    links = tested(likelier, "links")
     drop(likelier)
-    links = stored(verified(pairs, sets, percent), "links")
-    drop(pairs)
     roots = stored(components(links), "roots")
     if not members.isEmpty():
         more = None
@@ -611,17 +676,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             if more is not None:
                 drop(more)
             more = stored(across(members, roots, sketched, percent, closest), "apart")
-            new = stored(verified(likely(more, wide, percent, WIDE_WORDS), sets, percent), "more-links")
+            new = tested(more, "more-links")
             if not new.isEmpty():
                 links = links.union(new)
                 roots = stored(components(links), "roots")
         if all_links:
             inside = stored(across(members, None, sketched, percent, False), "inside")
-            links = stored(links.union(verified(likely(inside, wide, percent, WIDE_WORDS), sets, percent)).distinct(), "all-links")
+            links = stored(links.union(tested(inside, "inside-links")).distinct(), "all-links")
             drop(inside)
         if more is not None:
             drop(more)
-    drop(members, sketched, wide, sets)
+    drop(members, sketched)
 
     placed = classes.join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root"))

@@ -247,3 +247,35 @@ def test_unrelated_sets_share_no_frequent_signature(size):
     h = np.random.default_rng(size).integers(0, 2**63, 300 * size, dtype=np.uint64)
     sig, _ = partenum.signatures(h, np.repeat(np.arange(300), size), np.full(300, size), 80)
     assert np.unique(sig, return_counts=True)[1].max() <= 8
+
+
+def test_sketches_of_large_sets_tell_far_pairs_and_keep_links():
+    """Far pairs of large sets do not pass, so what the blocks give grows with the close pairs; links always pass."""
+    rnd = np.random.default_rng(11)
+    sets, kinds = [], []
+    for size in (3, 60, 511, 513, 900, 2000, 3500):
+        for part in (0.99, 0.9, 0.5):  # of the features that both have
+            both = rnd.integers(0, 1 << 62, int(size * part))
+            pair = [np.unique(np.concatenate((both, rnd.integers(0, 1 << 62, size - len(both))))) for _ in "ab"]
+            n = len(np.intersect1d(*pair))
+            sets += pair
+            kinds.append((size, 100 * n >= 80 * (len(pair[0]) + len(pair[1]) - n), part))
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(len(sets)), pa.int64()), "shingles": pa.array(
+        [s.tolist() for s in sets], pa.list_(pa.int64()))})
+    rows = pa.Table.from_batches(partenum._sketches(iter([batch]))).to_pydict()
+    pairs = {"a": rows["node"][::2], "b": rows["node"][1::2]}
+    for c in ("size", "sketch"):
+        pairs |= {f"{c}_a": rows[c][::2], f"{c}_b": rows[c][1::2]}
+    passed = pa.Table.from_batches(partenum._likely(80)(iter([pa.RecordBatch.from_pydict(pairs)])))["a"].to_pylist()
+    for i, (size, linked, part) in enumerate(kinds):
+        assert not linked or 2 * i in passed
+        assert part != 0.5 or size < 60 or 2 * i not in passed
+    # In blocks, each pair is given once and only if it passes.
+    n = len(sets)
+    block = pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in {
+        "sig": [1] * n, "i": [0] * n, "j": [0] * n, "block": [0] * n, "node": rows["node"], "root": rows["node"],
+        "size": rows["size"], "sketch": rows["sketch"]}.items()})
+    given = pa.Table.from_batches(partenum._compare(80, False)(iter([block])))
+    given = list(zip(given["a"].to_pylist(), given["b"].to_pylist()))
+    assert len(given) == len(set(given)) and set(passed) == {a for a, b in given if b == a + 1 and a % 2 == 0}
+    assert {2 * i for i, k in enumerate(kinds) if k[1]} <= set(passed)

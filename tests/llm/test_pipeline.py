@@ -91,3 +91,15 @@ def test_nothing_in_the_library_imports_the_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"^\s*(from|import) tessera\.llm", path.read_text(), re.M), path
+
+
+def test_only_rows_that_may_go_are_looked_up(spark):
+    """The lookup of what goes takes the rows that a bitmap lets through, not all documents."""
+    rows = spark.range(20000).select("id", F.xxhash64("id").alias("row")).union(
+        spark.createDataFrame([(None, 5), (None, 6)], "id bigint, row bigint"))
+    keys = rows.filter("id % 50 = 0 OR row = 5")
+    marked = corpus_pipeline._marked(rows, keys)
+    assert marked.columns == ["id", "row", "maybe"] and marked.count() == 20002
+    assert marked.filter("maybe AND (id % 50 = 0 OR row = 5)").count() == keys.count()
+    assert marked.filter("maybe").count() < 4000
+    assert not corpus_pipeline._marked(rows, keys.limit(0)).filter("maybe").count()
