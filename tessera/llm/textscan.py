@@ -1,7 +1,7 @@
 """Words of whole Arrow text columns as numpy arrays, with a 64-bit hash of each.
 
 Helpers for the tasks of the text operators. A batch's UTF-8 bytes are scanned in
-blocks of about ``BLOCK`` bytes, cut only at separators, so memory does not grow
+pieces of about ``PIECE`` bytes, cut only at separators, so memory does not grow
 with the length of a text; nothing is looped over row by row.
 """
 
@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+#: Bytes whose words are found at once: about 40 bytes of numbers for each.
+PIECE = 1 << 17
 #: A batch is worked on in runs of rows of about so many bytes (one text may be longer).
 RUN = 1 << 19
 
@@ -68,7 +70,7 @@ class _Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            ones = np.ones(max(n, BLOCK + 1), np.uint64)
+            ones = np.ones(max(n, PIECE + 1), np.uint64)
             up, down = ones.copy(), ones.copy()
             up[1:], down[1:] = _BASE, inverse
             self.up, self.down = np.cumprod(up), np.cumprod(down)
@@ -117,7 +119,7 @@ def words(data: np.ndarray, offs: np.ndarray, lex: Lexicon) -> Words:
     rows, hashes, begins, ends = len(offs) - 1, [], [], []
     a = 0
     while a < len(data):
-        b = min(a + BLOCK, len(data))
+        b = min(a + PIECE, len(data))
         while b < len(data):  # move the cut back to a separator or a row's begin, else on
             near = data[max(a + 1, b - 4096) : b]
             gap = np.flatnonzero(~lex.inside[near])
@@ -128,7 +130,7 @@ def words(data: np.ndarray, offs: np.ndarray, lex: Lexicon) -> Words:
             if row > a:
                 b = int(row)
                 break
-            b = min(b + BLOCK, len(data))
+            b = min(b + PIECE, len(data))
         part = data[a:b]
         lo, hi = np.searchsorted(offs, (a, b), side="left")
         cuts = offs[lo:hi] - a  # row begins inside this block

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -249,6 +250,27 @@ def test_unrelated_sets_share_no_frequent_signature(size):
     assert np.unique(sig, return_counts=True)[1].max() <= 8
 
 
+def _peak_mb(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_of_long_texts_take_little_memory_at_once():
+    data = np.frombuffer(b"some words of a text " * 50_000, np.uint8)
+    offs = np.array([0, len(data)])
+    textscan._POWERS.__init__()
+    kept = sum(x.nbytes for x in textscan.words(data[:100], np.array([0, 100]), textscan.without_blanks()))
+    assert kept < 10_000 and sum(x.nbytes for x in textscan._POWERS.get(1)) < 4e6
+    textscan._POWERS.__init__()
+    out = []
+    peak = _peak_mb(lambda: out.append(textscan.words(data, offs, textscan.without_blanks())))
+    assert peak < 8 + 2 * sum(x.nbytes for x in out[0]) / 1e6
+
+
 def test_sketches_of_large_sets_tell_far_pairs_and_keep_links():
     """Far pairs of large sets do not pass, so what the blocks give grows with the close pairs; links always pass."""
     rnd = np.random.default_rng(11)
