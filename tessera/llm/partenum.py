@@ -52,7 +52,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tessera.llm import textscan
 from tessera.llm.components import components
@@ -71,8 +71,10 @@ BLOCK_NODES = 2048
 #: Words of a set's parity sketch: one bit for each feature, in powers of two between these. Smaller ones fill up
 #: and let through what is far apart. For the pairs that pass, all sets have a sketch of the largest.
 SKETCH_WORDS, WIDE_WORDS = 8, 64
-#: Pairs of a block that are compared at once.
-PAIRS_AT_ONCE = 1 << 16
+#: Sets whose widest sketches are made at once: 2 MB of counters.
+SKETCHED_AT_ONCE = 64
+#: Pairs of a block that are compared at once, and those of them whose sketches are laid side by side.
+PAIRS_AT_ONCE, SKETCHES_AT_ONCE = 1 << 16, 1 << 12
 #: Rounds in which only the closest pairs of components are tried, before all that are left.
 ROUNDS = 3
 #: Largest bitmap of the filter for needed ids, in bits.
@@ -376,14 +378,21 @@ def _bitmap(ids: DataFrame, n: int) -> tuple[int, Bitmap]:
     return n_bits, Bitmap(n_bits, [(r["w"], r["bits"]) for r in words.collect()])
 
 
-def _needed(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """The ids by which ``nodes`` are read again, and ``node, shingles`` of the rows with these ids."""
+_SETS = StructType([StructField("node", LongType()), StructField("shingles", ArrayType(LongType()))])
+_SKETCHES = StructType([StructField("node", LongType()), StructField("size", LongType()),
+                        StructField("sketch", BinaryType()), StructField("wide", BinaryType())])
+
+
+def _needed(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int,
+            sketched: bool) -> tuple[DataFrame, DataFrame]:
+    """The ids by which ``nodes`` are read again, and the sets or sketches of the rows with these ids. One worker
+    makes both of a row: a second Python step would double an executor's workers, which stay with their memory."""
     needed = stored(classes.join(nodes, "node").select("node", F.col("any_id").alias("id")), "needed")
     n_bits, bits = _bitmap(needed.select("id"), needed.count())
     slot = F.pmod(F.xxhash64("id"), F.lit(n_bits)).alias("slot")
-    schema = StructType([StructField("node", LongType()), StructField("shingles", ArrayType(LongType()))])
+    scan = _scan_needed(shingle, rows.sparkSession.sparkContext.broadcast(bits))
     return needed, rows.select(slot, "text").mapInArrow(
-        _scan_needed(shingle, rows.sparkSession.sparkContext.broadcast(bits)), schema)
+        (lambda batches: _sketches(scan(batches))) if sketched else scan, _SKETCHES if sketched else _SETS)
 
 
 def _one_each(found: DataFrame, needed: DataFrame, name: str) -> DataFrame:
@@ -396,15 +405,14 @@ def _one_each(found: DataFrame, needed: DataFrame, name: str) -> DataFrame:
 
 def sets_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """``node, shingles`` for every node of ``nodes``: one text of each class is read again."""
-    needed, found = _needed(rows, nodes, classes, shingle)
+    needed, found = _needed(rows, nodes, classes, shingle, False)
     return _one_each(found, needed, "sets")
 
 
 def sketches_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """``node, size, sketch, wide`` for every node of ``nodes``: whole sets do not travel for that."""
-    needed, found = _needed(rows, nodes, classes, shingle)
-    schema = StructType([StructField("node", LongType()), StructField("size", LongType())])
-    return _one_each(found.mapInArrow(_sketches, schema.add("sketch", "binary").add("wide", "binary")), needed, "sketches")
+    needed, found = _needed(rows, nodes, classes, shingle, True)
+    return _one_each(found, needed, "sketches")
 
 
 def nodes_of(pairs: DataFrame) -> DataFrame:
@@ -425,7 +433,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and parity sketches of each set: a feature flips one bit, so sketches differ in no more bits than sets."""
-    n_bits = 64 * WIDE_WORDS
     for whole in batches:
         for at in range(0, len(whole), 512):
             batch = whole.slice(at, 512)
@@ -433,16 +440,25 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = lists.offsets.to_numpy()
             h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
             sizes = np.diff(ends)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            bit = textscan.mix(h ^ _C[0]) % np.uint64(n_bits)
-            flips = np.bincount(row * n_bits + bit.astype(np.int64), minlength=len(sizes) * n_bits) & 1
-            wide = np.packbits(flips.astype(np.uint8).reshape(len(sizes), -1), axis=1).view(np.uint64)
+            ends = ends - ends[0]
+            wide = np.concatenate([_parity(h[ends[a] : ends[min(a + SKETCHED_AT_ONCE, len(sizes))]],
+                                           sizes[a : a + SKETCHED_AT_ONCE])
+                                   for a in range(0, len(sizes), SKETCHED_AT_ONCE)])
             yield pa.RecordBatch.from_pydict({
                 "node": _column(batch, "node"), "size": pa.array(sizes, pa.int64()),
                 "sketch": pa.array([folded(r, n).tobytes() for r, n in zip(wide, sketch_words(sizes).tolist())], pa.binary()),
                 "wide": pa.array([r.tobytes() for r in wide], pa.binary())})
 
 
+def _parity(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The widest sketches of some sets: one counter for each bit while they are made."""
+    n_bits = 64 * WIDE_WORDS
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (textscan.mix(h ^ _C[0]) % np.uint64(n_bits)).astype(np.int64)
+    flips = (np.bincount(row * n_bits + bit, minlength=len(sizes) * n_bits) & 1).astype(np.uint8)
+    return np.packbits(flips.reshape(len(sizes), -1), axis=1).view(np.uint64)
+
+
 def sketch_words(sizes: np.ndarray) -> np.ndarray:
     """The least power of two words that have a bit for each feature, within the limits."""
     words = np.full(len(sizes), SKETCH_WORDS)
@@ -480,9 +496,11 @@ class _Sketched:
         out = np.zeros(len(i), np.int64)
         kinds, kind = np.unique(x * (WIDE_WORDS + 1) + y, return_inverse=True)
         for k, (n, m) in enumerate(divmod(v, WIDE_WORDS + 1) for v in kinds.tolist()):
-            mine = np.flatnonzero(kind == k)
+            every = np.flatnonzero(kind == k)
             p, q = self.of(n, min(n, m)), other.of(m, min(n, m))
-            out[mine] = np.bitwise_count(p[self.at[i[mine]]] ^ q[other.at[j[mine]]]).sum(1)
+            for a in range(0, len(every), SKETCHES_AT_ONCE):
+                mine = every[a : a + SKETCHES_AT_ONCE]
+                out[mine] = np.bitwise_count(p[self.at[i[mine]]] ^ q[other.at[j[mine]]]).sum(1)
         return out
 
 
@@ -498,12 +516,12 @@ def _closest(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarra
 def _compare(percent: int, closest: bool):
     """Blocks in order of (sig, i, j) to pairs of different components that the sketch lets through:
     all of them, or the closest of any two components."""
-    def close(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        size, root = rows["size"], rows["root"]
+    def close(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size, root, node = rows["size"], rows["root"], rows["node"]
         p, q = np.flatnonzero(rows["block"] == rows["i"]), np.flatnonzero(rows["block"] == rows["j"])
         one = rows["i"][0] == rows["j"][0]
         sketch = _Sketched(rows["sketch"].tolist())
-        out_a, out_b, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        held, n_held = [], 0  # rows of the pairs and how far they are apart
         step = max(1, PAIRS_AT_ONCE // max(1, len(q)))
         for at in range(0, len(p), step):
             x, y = p[at : at + step, None], q[None, :]
@@ -514,20 +532,31 @@ def _compare(percent: int, closest: bool):
             a, b = p[at + a], q[b]
             differ, both = sketch.apart(a, sketch, b), size[a] + size[b]
             passes = differ * (100 + percent) <= both * (100 - percent)
-            out_a.append(a[passes])
-            out_b.append(b[passes])
-            out_d.append(differ[passes] / both[passes])
-        a, b, apart = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d)
-        if closest and len(a):
-            best = _closest(a, b, rows["root"][a], rows["root"][b], apart)
-            a, b = a[best], b[best]
-        a, b = rows["node"][a], rows["node"][b]
-        return np.minimum(a, b), np.maximum(a, b)
+            held.append((a[passes], b[passes], differ[passes] / both[passes]))
+            n_held += len(held[-1][0])
+            if n_held < _Found.LIMIT and at + step < len(p):
+                continue
+            a, b, apart = (np.concatenate(c) for c in zip(*held))
+            if closest and len(a):
+                best = _closest(a, b, root[a], root[b], apart)
+                a, b, apart = a[best], b[best], apart[best]
+            if closest and at + step < len(p):  # a later pair may be closer still
+                held, n_held = [(a, b, apart)], 0
+                continue
+            held, n_held = [], 0
+            yield np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     names = ("sig", "i", "j", "block", "node", "root", "size", "sketch")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = _Found(), None
+
+        def compared(rows: dict) -> Iterator[pa.RecordBatch]:
+            for pairs in close(rows):
+                found.add(0, *pairs)
+                if found.size > _Found.LIMIT:
+                    yield from found.flush()
+
         for batch in batches:
             rows = {c: np.array(_column(batch, c).to_pylist(), object) if c == "sketch" else
                     _column(batch, c).to_numpy() for c in names}
@@ -537,13 +566,11 @@ def _compare(percent: int, closest: bool):
                                     | (rows["j"][1:] != rows["j"][:-1])) + 1
             a = 0
             for b in change.tolist():
-                found.add(0, *close({c: v[a:b] for c, v in rows.items()}))
+                yield from compared({c: v[a:b] for c, v in rows.items()})
                 a = b
             held = {c: v[a:] for c, v in rows.items()}
-            if found.size > _Found.LIMIT:
-                yield from found.flush()
         if held is not None and len(held["sig"]):
-            found.add(0, *close(held))
+            yield from compared(held)
         yield from found.flush()
     return scan
 

@@ -259,6 +259,55 @@ def _peak_mb(f):
         tracemalloc.stop()
 
 
+def test_a_task_has_one_python_step(spark, monkeypatch):
+    """Two in a row need two workers a task, whose memory an executor keeps."""
+    plans, keep = [], partenum.stored
+    monkeypatch.setattr(partenum, "stored", lambda df, name: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join([*words[:59], f"end{i}"])) for i in range(30)], "doc_id bigint, text string")
+    assert {r.component_id for r in partenum.jaccard_components(df).rows.collect()} == {0}
+    steps = [plan.count("MapInArrow") for plan in plans]
+    assert steps.count(1) >= 3
+    # Between the two steps of the signatures their rows are dealt anew.
+    assert all(n <= 1 + plan.count("RepartitionByExpression") for n, plan in zip(steps, plans))
+
+
+def test_sketches_and_comparisons_take_little_memory_at_once():
+    rnd = np.random.default_rng(3)
+    n, size = 1024, 4000
+    h = rnd.integers(0, 1 << 62, (n, size))
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(n), pa.int64()), "shingles": pa.ListArray.from_arrays(
+        pa.array(np.arange(0, n * size + 1, size, np.int32)), pa.array(h.ravel()))})
+    out = []
+    assert _peak_mb(lambda: out.extend(partenum._sketches(iter([batch])))) < 24
+    rows = pa.Table.from_batches(out)
+    block = pa.RecordBatch.from_pydict({c: pa.array([0] * n) for c in ("sig", "i", "j", "block")} | {
+        "root": rows["node"].combine_chunks(), **{c: rows[c].combine_chunks() for c in ("node", "size", "sketch")}})
+    assert _peak_mb(lambda: list(partenum._compare(80, False)(iter([block])))) < 24
+
+
+@pytest.mark.parametrize("closest", [True, False])
+def test_many_pairs_of_a_block_are_handed_on_as_they_come(closest, monkeypatch):
+    """All pairs of a block pass: what a task holds is bounded, and what it gives is the same."""
+    n = 300
+    rnd = np.random.default_rng(4)
+    sketch = np.frombuffer(rnd.bytes(64), np.uint64)
+    near = [(sketch ^ np.uint64(1 << int(i))).tobytes() for i in rnd.integers(0, 8, n)]
+    block = pa.RecordBatch.from_pydict({c: pa.array([0] * n) for c in ("sig", "i", "j", "block")} | {
+        "node": pa.array(rnd.permutation(n)), "root": pa.array(rnd.integers(0, 20, n)), "size": pa.array([400] * n),
+        "sketch": pa.array(near, pa.binary())})
+    given, largest = [], []
+    for limit, at_once in ((1 << 30, 1 << 30), (500, 1 << 10)):
+        monkeypatch.setattr(partenum._Found, "LIMIT", limit)
+        monkeypatch.setattr(partenum, "PAIRS_AT_ONCE", at_once)
+        out = list(partenum._compare(80, closest)(iter([block])))
+        largest.append(max(b.num_rows for b in out))
+        given.append(sorted({(r["a"], r["b"]) for b in out for r in b.to_pylist()}))
+    assert given[0] == given[1] and len(given[0]) == (190 if closest else len(given[0]))
+    assert closest or largest[1] < 3000 < largest[0]
+
+
 def test_words_of_long_texts_take_little_memory_at_once():
     data = np.frombuffer(b"some words of a text " * 50_000, np.uint8)
     offs = np.array([0, len(data)])
