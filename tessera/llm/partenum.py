@@ -21,9 +21,9 @@ few nodes gives all their pairs. One shared by many gives a star, and once the s
 true links have made components, only members of *different* components that share
 it are compared, in blocks of bounded size spread over tasks, through a parity sketch
 (which never rejects a link) and then exactly. Pairs inside a component need no test:
-first only the closest pair of any two components in a block is tried, in some rounds,
-as a link ends the matter for all their pairs; what is still apart is then compared in
-full. That suffices for components, but its links are only some of all: with
+of a block with many such pairs first only the closest of any two components is tried,
+in some rounds, as a link ends the matter for all their pairs; what is still apart is then
+compared in full. Once no block has left out a pair, that is done. That suffices for components, but its links are only some of all: with
 ``all_links`` the members of large signatures are also compared inside components, in
 the same blocks, and every pair that links is given, with the number of links of each
 row. Their number grows with the square of a group's distinct texts, as the result does.
@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tessera.llm import textscan
-from tessera.llm.components import components
+from tessera.llm.components import components, dealt_anew
 from tessera.llm.store import drop, stored
 
 #: Ratio of a band's largest to its smallest size.
@@ -384,35 +384,30 @@ _SKETCHES = StructType([StructField("node", LongType()), StructField("size", Lon
 
 
 def _needed(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int,
-            sketched: bool) -> tuple[DataFrame, DataFrame]:
-    """The ids by which ``nodes`` are read again, and the sets or sketches of the rows with these ids. One worker
-    makes both of a row: a second Python step would double an executor's workers, which stay with their memory."""
-    needed = stored(classes.join(nodes, "node").select("node", F.col("any_id").alias("id")), "needed")
-    n_bits, bits = _bitmap(needed.select("id"), needed.count())
+            sketched: bool) -> DataFrame:
+    """The sets or sketches of the rows with the ids by which ``nodes`` are read again. One worker makes both of a
+    row: a second Python step would double an executor's workers, which stay with their memory."""
+    n_bits, bits = _bitmap(classes.join(nodes, "node").select(F.col("any_id").alias("id")), nodes.count())
     slot = F.pmod(F.xxhash64("id"), F.lit(n_bits)).alias("slot")
     scan = _scan_needed(shingle, rows.sparkSession.sparkContext.broadcast(bits))
-    return needed, rows.select(slot, "text").mapInArrow(
+    return rows.select(slot, "text").mapInArrow(
         (lambda batches: _sketches(scan(batches))) if sketched else scan, _SKETCHES if sketched else _SETS)
 
 
-def _one_each(found: DataFrame, needed: DataFrame, name: str) -> DataFrame:
+def _one_each(found: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """One row for each needed node: its copies have equal sets, any one of them will do."""
-    out = stored(found.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(*(
+    return stored(found.join(nodes, "node", "left_semi").groupBy("node").agg(*(
         F.any_value(c).alias(c) for c in found.columns if c != "node")), name)
-    drop(needed)
-    return out
 
 
 def sets_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """``node, shingles`` for every node of ``nodes``: one text of each class is read again."""
-    needed, found = _needed(rows, nodes, classes, shingle, False)
-    return _one_each(found, needed, "sets")
+    return _one_each(_needed(rows, nodes, classes, shingle, False), nodes, "sets")
 
 
 def sketches_of(rows: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """``node, size, sketch, wide`` for every node of ``nodes``: whole sets do not travel for that."""
-    needed, found = _needed(rows, nodes, classes, shingle, True)
-    return _one_each(found, needed, "sketches")
+    return _one_each(_needed(rows, nodes, classes, shingle, True), nodes, "sketches")
 
 
 def nodes_of(pairs: DataFrame) -> DataFrame:
@@ -514,14 +509,14 @@ def _closest(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarra
 
 
 def _compare(percent: int, closest: bool):
-    """Blocks in order of (sig, i, j) to pairs of different components that the sketch lets through:
-    all of them, or the closest of any two components."""
-    def close(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks in order of (sig, i, j) to pairs of different components that the sketch lets through: all of them
+    (kind 0), or of a block that has more of them than rows the closest of any two components (kind 1)."""
+    def close(rows: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         size, root, node = rows["size"], rows["root"], rows["node"]
         p, q = np.flatnonzero(rows["block"] == rows["i"]), np.flatnonzero(rows["block"] == rows["j"])
         one = rows["i"][0] == rows["j"][0]
         sketch = _Sketched(rows["sketch"].tolist())
-        held, n_held = [], 0  # rows of the pairs and how far they are apart
+        held, n_held, kind = [], 0, 0  # rows of the pairs and how far they are apart
         step = max(1, PAIRS_AT_ONCE // max(1, len(q)))
         for at in range(0, len(p), step):
             x, y = p[at : at + step, None], q[None, :]
@@ -537,14 +532,14 @@ def _compare(percent: int, closest: bool):
             if n_held < _Found.LIMIT and at + step < len(p):
                 continue
             a, b, apart = (np.concatenate(c) for c in zip(*held))
-            if closest and len(a):
+            if closest and (kind or len(a) > len(node)):
                 best = _closest(a, b, root[a], root[b], apart)
-                a, b, apart = a[best], b[best], apart[best]
+                a, b, apart, kind = a[best], b[best], apart[best], 1
             if closest and at + step < len(p):  # a later pair may be closer still
                 held, n_held = [(a, b, apart)], 0
                 continue
             held, n_held = [], 0
-            yield np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            yield kind, np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     names = ("sig", "i", "j", "block", "node", "root", "size", "sketch")
 
@@ -553,7 +548,7 @@ def _compare(percent: int, closest: bool):
 
         def compared(rows: dict) -> Iterator[pa.RecordBatch]:
             for pairs in close(rows):
-                found.add(0, *pairs)
+                found.add(*pairs)
                 if found.size > _Found.LIMIT:
                     yield from found.flush()
 
@@ -597,7 +592,8 @@ def likely(pairs: DataFrame, sketched: DataFrame, percent: int, sketch: str = "s
 
 
 def across(members: DataFrame, roots: DataFrame | None, sketched: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Candidate pairs of different components among the members of large signatures (without roots: all pairs)."""
+    """Candidate pairs ``a, b`` of different components among the members of large signatures (without roots: all
+    pairs); ``kind`` is 1 where a block has left out others."""
     if roots is None:
         placed = members.select("sig", "node", F.col("node").alias("root"))
     else:
@@ -606,7 +602,7 @@ def across(members: DataFrame, roots: DataFrame | None, sketched: DataFrame, per
     placed = stored(placed, "placed")
     open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                       F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    open_ = stored(open_.select("sig", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")), "open")
+    open_ = open_.select(dealt_anew("sig"), F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks"))
     rows = placed.join(open_, "sig").join(sketched.select("node", "size", "sketch"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn(
@@ -616,7 +612,8 @@ def across(members: DataFrame, roots: DataFrame | None, sketched: DataFrame, per
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     out = StructType([StructField(c, LongType()) for c in ("kind", "a", "b")])
-    return dealt.mapInArrow(_compare(percent, closest), out).select("a", "b").filter("a <> b").distinct()
+    return dealt.mapInArrow(_compare(percent, closest), out).filter("a <> b").groupBy("a", "b").agg(
+        F.max("kind").alias("kind"))
 
 
 def link_counts(keys: DataFrame, links: DataFrame) -> DataFrame:
@@ -692,34 +689,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     drop(pairs)
     links = tested(likelier, "links")
     drop(likelier)
-    roots = stored(components(links), "roots")
+    roots = components(links)
     if not members.isEmpty():
-        more = None
+        new = None
         for closest in [True] * ROUNDS + [False]:
-            if closest and more is not None and new.isEmpty():
+            if closest and new is not None and new.isEmpty():
                 continue  # the closest pairs are no links: on to all that are left
-            if more is not None and more.isEmpty():
-                break  # nothing that is still apart is close enough
-            if more is not None:
-                drop(more)
             more = stored(across(members, roots, sketched, percent, closest), "apart")
-            new = tested(more, "more-links")
+            if more.isEmpty():
+                drop(more)
+                break  # nothing that is still apart is close enough
+            whole = more.filter("kind = 1").isEmpty()
+            new = tested(more.select("a", "b"), "more-links")
+            drop(more)
             if not new.isEmpty():
                 links = links.union(new)
-                roots = stored(components(links), "roots")
+                roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
+            if whole:
+                break  # every pair that was still apart is tested
         if all_links:
             inside = stored(across(members, None, sketched, percent, False), "inside")
-            links = stored(links.union(tested(inside, "inside-links")).distinct(), "all-links")
+            links = stored(links.union(tested(inside.select("a", "b"), "inside-links")).distinct(), "all-links")
             drop(inside)
-        if more is not None:
-            drop(more)
     drop(members, sketched)
 
     placed = classes.join(roots, "node", "left").select(
         "node", "least_id", F.coalesce("root", "node").alias("root"))
     placed = stored(placed, "class-roots")
-    smallest = stored(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "smallest")
-    by_node = stored(placed.join(smallest, "root").select("node", "component_id"), "node-components")
+    smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id")).select(
+        dealt_anew("root"), "component_id")
+    by_node = placed.join(smallest, "root").select("node", "component_id")
     linked = full.join(by_node, "node").select("id", "n_shingles", "component_id")
     alone = keys.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return Join(linked.union(alone), links, keys, link_counts(keys, links) if all_links else None,

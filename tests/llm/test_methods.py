@@ -308,6 +308,55 @@ def test_many_pairs_of_a_block_are_handed_on_as_they_come(closest, monkeypatch):
     assert closest or largest[1] < 3000 < largest[0]
 
 
+def test_components_write_one_table_a_round_and_end_at_stars(spark, monkeypatch):
+    """Each table costs a write task for each shuffle partition, however few its rows."""
+    written, keep = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or keep(df, name))
+    stars = [(1, i) for i in range(2, 40)] + [(50, 51), (51, 50), (3, 1), (60, 60)]
+    got = components.components(spark.createDataFrame(stars, "a bigint, b bigint"))
+    assert sorted(map(tuple, got.collect())) == [(i, 1) for i in range(2, 40)] + [(51, 50)] and len(written) == 1
+    written.clear()
+    joined = [(1, i) for i in range(2, 20)] + [(30, i) for i in range(31, 50)] + [(19, 49), (19, 40), (60, 61), (62, 61)]
+    got = components.components(spark.createDataFrame(joined, "a bigint, b bigint"))
+    assert {r.node: r.root for r in got.collect()} == {i: 1 for i in [*range(2, 20), *range(30, 50)]} | {61: 60, 62: 60}
+    assert len(written) <= 3
+
+
+def test_a_join_writes_few_tables(spark, monkeypatch):
+    """Groups of near copies under one frequent signature, some linked only across groups."""
+    written, keep = [], partenum.stored
+    for module in (partenum, components):
+        monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or keep(df, name))
+    rnd = random.Random(5)
+    base, docs = [f"w{i}" for i in range(80)], []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(300)}"
+        docs.append((i, " ".join(t)))
+    got = partenum.jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert {r.id: (r.n_shingles, r.component_id) for r in got.rows.collect()} == _brute_components(docs)
+    assert "apart" in written and len(written) <= 26
+
+
+def test_a_block_of_few_pairs_gives_them_all():
+    """Then no later round has to look for those that were left out."""
+    rnd = np.random.default_rng(6)
+    sketches = [np.frombuffer(rnd.bytes(64), np.uint64) for _ in range(40)]
+    rows = [s.tobytes() for s in sketches for _ in range(2)]  # only twins are close
+
+    def given(root, rows):
+        n = len(rows)
+        block = pa.RecordBatch.from_pydict({c: pa.array([0] * n) for c in ("sig", "i", "j", "block")} | {
+            "node": pa.array(range(n)), "root": pa.array(root), "size": pa.array([400] * n), "sketch": pa.array(rows, pa.binary())})
+        return [r for b in partenum._compare(80, True)(iter([block])) for r in b.to_pylist()]
+
+    few = given([i % 2 for i in range(80)], rows)  # two components, 40 pairs
+    assert {(r["a"], r["b"]) for r in few} == {(2 * i, 2 * i + 1) for i in range(40)} and {r["kind"] for r in few} == {0}
+    many = given([i % 2 for i in range(80)], rows[:1] * 80)  # 1600 pairs
+    assert len(many) == 1 and many[0]["kind"] == 1
+
+
 def test_words_of_long_texts_take_little_memory_at_once():
     data = np.frombuffer(b"some words of a text " * 50_000, np.uint8)
     offs = np.array([0, len(data)])
