@@ -86,3 +86,60 @@ def test_boosted_trees_without_cached_node_ids_are_the_same(spark, make, label):
     a, b = ([r.prediction for r in m.transform(df).select("prediction").collect()] for m in (plain, cached))
     assert a == pytest.approx(b, rel=1e-9)
     df.unpersist()
+
+
+def test_even_partitions_are_whole_rounds_of_the_cores(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda _: cores))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "600")
+        for cores, wanted in ((1, 8), (2, 8), (3, 9), (4, 8), (5, 10), (6, 6), (8, 8), (48, 48)):
+            assert training.even_partitions(spark) == wanted
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        assert training.even_partitions(spark) == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+class Layout(Estimator):
+    """Notes the columns and the rows of each partition that it is given."""
+
+    columns, parts = None, None
+
+    def _fit(self, df):
+        Layout.columns = df.columns
+        Layout.parts = [list(map(tuple, p)) for p in df.rdd.glom().collect()]
+        return Seen()
+
+
+def compared(spark, df, est, **more):
+    prep = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features")])
+    return experiments.compare_models(spark, df, df, prep, {"m": est}, "regression", "price", **more).first()
+
+
+def test_compared_models_get_the_columns_they_read_in_order(spark):
+    r = compared(spark, rows(spark), Layout(), partitions=3, reads=["b", "price"])
+    assert Layout.columns == ["b", "price"] and r.n_scored == 400
+    assert len(Layout.parts) == 3 and all(p == sorted(p) and len(p) > 100 for p in Layout.parts)
+    assert sorted(x for p in Layout.parts for x in p) == sorted(map(tuple, rows(spark).select("b", "price").collect()))
+    compared(spark, rows(spark), Layout(), partitions=3)
+    assert Layout.columns == ["a", "b", "price", "label", "features"]
+
+
+def test_a_forest_does_not_depend_on_how_rows_come_to_a_partition(spark):
+    def scored(*order):
+        df = rows(spark).coalesce(1).sortWithinPartitions(*order)
+        est = models.regressor("random_forest", numTrees=3, maxDepth=4)
+        return compared(spark, df, est, partitions=1, reads=["features", "price"]).r2
+
+    assert scored("a") == scored("b") == scored(F.desc("price")) > 0.5
+
+
+def test_leaderboard_fits_the_longest_models_first(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(training, "census_parts", lambda *_: {"train": rows(spark), "val": rows(spark)})
+    monkeypatch.setattr(training, "census_rows", lambda *_: 400)
+    monkeypatch.setattr(experiments, "compare_models", lambda *a, **more: seen.update(more, names=list(a[4])))
+    training.q_leaderboard(spark, "nowhere")
+    assert set(seen["names"]) == set(models.CLASSIFIERS) and set(seen["names"][:3]) == set(training.LONGEST)
+    assert seen["reads"] == ["features", "label"] and seen["partitions"] == training.even_partitions(spark)
